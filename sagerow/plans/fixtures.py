@@ -36,7 +36,7 @@ def order_rationales(spark: SparkSession, d: str) -> DataFrame:
     per = li.groupBy("l_orderkey").agg(
         F.array_sort(
             F.collect_list(
-                F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "thought")
+                F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "thought", "amount")
             )
         ).alias("_lines"),
         F.sum("amount").alias("total"),
@@ -44,6 +44,7 @@ def order_rationales(spark: SparkSession, d: str) -> DataFrame:
     return per.select(
         "l_orderkey",
         F.array_join(F.transform("_lines", lambda x: x["thought"]), " ").alias("thoughts"),
+        F.array_join(F.transform("_lines", lambda x: x["amount"].cast("string")), " + ").alias("amounts"),
         F.col("total").cast("bigint").alias("total"),
     )
 
@@ -76,6 +77,8 @@ order_rationales AS (
   SELECT l_orderkey,
          string_agg('<<' || q || '*' || c || '=' || (q * c) || '>>', ' '
                     ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS thoughts,
+         string_agg(CAST(q * c AS VARCHAR), ' + '
+                    ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS amounts,
          CAST(sum(q * c) AS BIGINT) AS total
   FROM li_t GROUP BY l_orderkey),
 task_lines AS (
@@ -104,6 +107,22 @@ def qa(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def mult_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(line_no, value) lines in the multiplication form ``a + b + c #### total``."""
+    o = order_rationales(spark, d)
+    return o.select(
+        F.col("l_orderkey").cast("bigint").alias("line_no"),
+        F.concat(F.lit("order "), F.col("l_orderkey"), F.lit("||"), F.col("amounts"), F.lit(" #### "), F.col("total")).alias("value"),
+    )
+
+
+MULT_LINES_SQL = """
+mult_lines AS (
+  SELECT CAST(l_orderkey AS BIGINT) AS line_no, 'order ' || l_orderkey || '||' || amounts || ' #### ' || total AS value
+  FROM order_rationales)
+"""
+
+
 QA_SQL = """
 conv_t AS (
   SELECT conv_id, turn, role, text,
@@ -236,7 +255,7 @@ runs AS (
          CAST(floor(flops / fps) AS BIGINT) AS steps,
          CASE WHEN floor(flops / fps) >= 1000
               THEN list_transform(range(1, CAST(floor(floor(flops / fps) / 1000) AS BIGINT) + 1),
-                   i -> 1.7 + 40.0 * pow(params, -0.3) + 25.0 * pow(1000.0 * i * batch_size * 256.0, -0.2) + jitter)
+                   lambda i: 1.7 + 40.0 * pow(params, -0.3) + 25.0 * pow(1000.0 * i * batch_size * 256.0, -0.2) + jitter)
               ELSE [] END AS val_nlls,
          1.7 + 40.0 * pow(params, -0.3) + 25.0 * pow(greatest(floor(flops / fps), 1) * batch_size * 256.0, -0.2) + jitter
            AS final_val_nll,
