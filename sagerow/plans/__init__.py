@@ -1,4 +1,4 @@
 """Named queries over the driver tables (import registers them)."""
 
-from . import evaluation, tasks  # noqa: F401
+from . import curation, evaluation, tasks  # noqa: F401
 from .registry import ORACLES, OPERATORS, QUERIES  # noqa: F401
