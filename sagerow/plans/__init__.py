@@ -1,4 +1,4 @@
 """Named queries over the driver tables (import registers them)."""
 
-from . import corpus, curation, evaluation, tasks, text  # noqa: F401
+from . import analytics, corpus, curation, evaluation, tasks, text  # noqa: F401
 from .registry import ORACLES, OPERATORS, QUERIES  # noqa: F401
