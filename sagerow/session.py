@@ -52,14 +52,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "stage", partitions: int | None = None) -> DataFrame:
     """Materialise ``df`` as parquet in the shared checkpoint folder and read it back.
 
     Survives executor loss (the files live on shared storage), unlike
-    ``localCheckpoint``.
+    ``localCheckpoint``. ``partitions`` spreads the rows over that many
+    files so later rounds read them in parallel.
     """
     spark = df.sparkSession
     root = checkpoint_root(spark).rstrip("/")
     path = f"{root}/{name}-{uuid.uuid4().hex}"
+    if partitions:
+        df = df.repartition(partitions)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
