@@ -93,12 +93,21 @@ def _re2(rep: str) -> str:
     return rep.replace("\\", "\\\\").replace("{1}", "\\1").replace("{2}", "\\2")
 
 
+_META = set("\\^$.|?*+()[]{}")
+
+
 def _chain(c: Column, rules) -> Column:
     for pat, rep in rules:
-        c = F.regexp_replace(c, ("(?U)" + pat) if "\\s" in pat else pat, _java(rep))
+        if not (set(pat) & _META) and "{" not in rep:
+            c = F.replace(c, F.lit(pat), F.lit(rep))  # literal rule: no regex engine
+        else:
+            c = F.regexp_replace(c, ("(?U)" + pat) if "\\s" in pat else pat, _java(rep))
     return c
 
 
+
+
+
 def _let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``
     (a one-element ``transform`` binds it as a lambda variable)."""
@@ -121,13 +130,25 @@ def normalize_punctuation(df, text: str, lang: str, out: str = "normalized"):
     """Ordered punctuation rewrite with language branches (SCA-12).
 
     Staged as columns so the rule chain is computed once around the NFC UDF."""
-    staged = df.withColumn("_pre_nfc", _chain(F.col(text), NORMALIZE_BEFORE_NFC))
+    ascii_rules = [r for r in NORMALIZE_BEFORE_NFC if all(ord(ch) < 128 for ch in r[0])]
+    wide_rules = NORMALIZE_BEFORE_NFC[len(ascii_rules):]
+    assert NORMALIZE_BEFORE_NFC[: len(ascii_rules)] == ascii_rules  # ASCII rules come first
+    pre = _chain(F.col(text), ascii_rules)
+    # the remaining rules match only non-ASCII characters
+    staged = df.withColumn("_pre_ascii", pre)
+    wide = F.when(F.col("_pre_ascii").rlike("[^\\x00-\\x7F]"), _chain(F.col("_pre_ascii"), wide_rules)).otherwise(F.col("_pre_ascii"))
+    staged = staged.withColumn("_pre_nfc", wide).drop("_pre_ascii")
     staged = staged.withColumn("_nfc", nfc_where_needed(F.col("_pre_nfc")))
     return staged.withColumn(out, _normalize_after(F.col("_nfc"), F.col(lang))).drop("_pre_nfc", "_nfc")
 
 
 def _normalize_after(t: Column, lg: Column) -> Column:
-    t = _chain(t, NORMALIZE_AFTER_NFC)
+    # Every after-NFC rule except the space squeezes and '' needs â or Â in
+    # the text, and none of the three creates one: texts without them take
+    # the short chain, in the same order.
+    plain = [r for r in NORMALIZE_AFTER_NFC if r[0] in (" +", "''")]
+    hit = t.contains("â") | t.contains("Â")
+    t = F.when(hit, _chain(t, NORMALIZE_AFTER_NFC)).otherwise(_chain(t, plain))
     t = (
         F.when(lg == "en", _chain(t, QUOTE_RULES_EN))
         .when(lg.isin(*QUOTE_NONE_LANGS), t)
@@ -240,13 +261,18 @@ def _word_rule(w: Column, nxt: Column, lang: Column) -> Column:
 
 def _tokenize_line(line: Column, lang: Column) -> Column:
     def on_words(ws: Column) -> Column:
-        t = F.array_join(F.transform(ws, lambda w, i: _word_rule(w, F.get(ws, i + 1), lang)), " ")
+        t = F.array_join(F.transform(ws, lambda w, i: _word_or_rule(w, F.get(ws, i + 1), lang)), " ")
         t = F.regexp_replace(F.regexp_replace(t, " +", " "), "^ | $", "")
         return F.translate(t, DOT_MARK, ".")
 
     return _let(F.split(_prepare(line, lang), r"(?U)\s", -1), on_words)
 
 
+def _word_or_rule(w: Column, nxt: Column, lang: Column) -> Column:
+    """Words without a period are never changed by the period rule."""
+    return F.when(~w.contains("."), w).otherwise(_word_rule(w, nxt, lang))
+
+
 def tokenize_words(text: Column | str, lang: Column | str) -> Column:
     """Tokenise every line; markup lines ``<...>`` and blank lines pass
     through unchanged; lines are joined back with newlines (SCA-13, FIL-11,

@@ -181,10 +181,14 @@ def unigram(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
 
     docs = read_table(spark, d, "documents").select(tx.collapse_ws("text").alias("t"))
     counts = vb.piece_counts(docs, ["t"])
-    n_tot, v = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    denom = float(n_tot) + ALPHA_SMOOTHING * (v + 1)
-    model = counts.select("token", "n", F.log((F.col("n") + ALPHA_SMOOTHING) / F.lit(denom)).alias("logp"))
-    return model, math.log(ALPHA_SMOOTHING / denom)
+    # totals as a scalar subquery: planned with the main query, no driver trip
+    denom = counts.select((F.sum("n") + ALPHA_SMOOTHING * (F.count(F.lit(1)) + 1)).cast("double")).scalar()
+    model = counts.select(
+        "token", "n",
+        F.log((F.col("n") + ALPHA_SMOOTHING) / denom).alias("logp"),
+        F.log(F.lit(ALPHA_SMOOTHING) / denom).alias("logp_unk"),
+    )
+    return model, None
 
 
 UNIGRAM_SQL = PIECES_SQL + """,
@@ -222,15 +226,22 @@ FROM nll JOIN refs USING (dataset, part)""",
 )
 def corpus_nll(spark: SparkSession, d: str) -> DataFrame:
     """NLL of each source under the unigram model, divided by the model's
-    token count and by a second tokeniser's count (digit chunks)."""
-    u, lu = unigram(spark, d)
+    token count and by a second tokeniser's count (digit chunks).
+
+    One piece pass: counts per (dataset, part, token) feed both the model
+    (documents only) and the scoring join."""
     docs = read_table(spark, d, "documents").select(F.lit("documents").alias("dataset"), F.col("source").alias("part"), "text")
     bench = read_table(spark, d, "benchmark").select(F.lit("benchmark").alias("dataset"), F.lit("benchmark").alias("part"), "text")
     texts = docs.unionByName(bench)
     toks = texts.select("dataset", "part", F.explode(tx.byte_level_pieces(tx.collapse_ws("text"))).alias("token"))
-    scored = toks.join(u.select("token", "logp"), "token", "left")
+    c = toks.groupBy("dataset", "part", "token").agg(F.count(F.lit(1)).alias("n"))
+    model_counts = c.filter(F.col("dataset") == "documents").groupBy("token").agg(F.sum("n").alias("n"))
+    denom = model_counts.select((F.sum("n") + ALPHA_SMOOTHING * (F.count(F.lit(1)) + 1)).cast("double")).scalar()
+    model = model_counts.select("token", F.log((F.col("n") + ALPHA_SMOOTHING) / denom).alias("logp"))
+    lu = F.log(F.lit(ALPHA_SMOOTHING) / denom)
+    scored = c.join(model, "token", "left")
     nll = scored.groupBy("dataset", "part").agg(
-        F.sum(-F.coalesce(F.col("logp"), F.lit(lu))).alias("s"), F.count(F.lit(1)).alias("n_model")
+        F.sum(-F.coalesce(F.col("logp"), lu) * F.col("n")).alias("s"), F.sum("n").alias("n_model")
     )
     refs = texts.groupBy("dataset", "part").agg(F.sum(F.size(tx.digit_chunks("text"))).alias("n_ref"))
     j = nll.join(refs, ["dataset", "part"])
