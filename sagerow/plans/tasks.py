@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -349,3 +351,52 @@ def length_bucketed_batches(spark: SparkSession, d: str) -> DataFrame:
         F.max("len").cast("int").alias("max_len"),
         F.sum(F.col("max_in") - F.col("len")).cast("bigint").alias("pad_tokens"),
     )
+
+
+REFINE_LEN = 128
+REFINE_ROUNDS = 4
+
+
+def demo_thought_writer(tokens: Tokens = WORD_TOKENS):
+    """Stand-in model for refinement: writes the row's next gold thought
+    right after the first SEP (EOS after the last thought), then pads."""
+
+    def step(pdf):
+        out = []
+        for ids, thoughts, r in zip(pdf["ids"], pdf["tgt_ids_list"], pdf["round"]):
+            ids = list(ids)
+            p = ids.index(tokens.sep_id)
+            t = list(thoughts[r]) + ([tokens.eos_id] if r == len(thoughts) - 1 else []) if r < len(thoughts) else []
+            new = (ids[: p + 1] + t)[:REFINE_LEN]
+            out.append(new + [tokens.pad_id] * (REFINE_LEN - len(new)))
+        return pd.Series(out)
+
+    return step
+
+
+REFINE_SQL = with_ctes(fx.TASK_LINES_SQL, GSM_TASKS_SQL, TASK_PIECES_SQL) + f"""
+SELECT task_id, CAST(least(n, {REFINE_ROUNDS}) AS INTEGER) AS rounds_used, n <= {REFINE_ROUNDS} AS finished,
+       array_to_string(list_concat(x, list_transform(range({REFINE_LEN} - len(x)), lambda y: 2)), '|') AS ids
+FROM (SELECT task_id, n,
+        CASE WHEN n <= {REFINE_ROUNDS}
+             THEN list_concat(src_ids, flatten(list_slice(tgt_ids_list, 1, n - 1)), [1], tgt_ids_list[n], [0])
+             ELSE list_concat(src_ids, flatten(list_slice(tgt_ids_list, 1, {REFINE_ROUNDS})), [1]) END AS x
+      FROM (SELECT *, len(tgt_ids_list) AS n FROM task_ids))"""
+
+
+@query("refine_cot", "UDF-3 SCA-18 FIL-10", REFINE_SQL)
+def refine_cot(spark: SparkSession, d: str) -> DataFrame:
+    """Up to 4 refinement passes over the test rows ``src + SEP``: the model
+    writes one thought per pass, finished rows leave the loop, the others
+    get their SEP moved behind the new thought."""
+    from ..operators.refine import refine
+
+    tk = WORD_TOKENS
+    t = gsm_tasks_df(spark, d)
+    ids = task_ids(t, task_vocab(t))
+    start = ids.select(
+        "task_id", "tgt_ids_list",
+        ar.right_pad(F.concat("src_ids", F.array(F.lit(tk.sep_id))), REFINE_LEN, tk).alias("ids"),
+    )
+    out = refine(start, demo_thought_writer(tk), REFINE_ROUNDS, REFINE_LEN, "ids", tk)
+    return out.select("task_id", F.col("rounds_used").cast("int"), "finished", tx.show_array("ids").alias("ids"))
