@@ -387,3 +387,20 @@ def combined_training_set(spark: SparkSession, d: str) -> DataFrame:
     )
     u = orig.unionByName(gen)
     return u.select("task_id", "origin", "src", F.size("tgt").cast("int").alias("n_thoughts"))
+
+
+@query(
+    "qa_pairs",
+    "JOI-10 SRC-7",
+    with_ctes(fx.QA_SQL)
+    + """
+SELECT conv_id, turn, question, answer,
+       CASE WHEN substr(md5('42:' || CAST(conv_id AS VARCHAR)), 1, 1) < '4' THEN 'test' ELSE 'train' END AS split
+FROM qa""",
+)
+def qa_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """User turn + next assistant turn, with a seeded conversation-level
+    train/test split (a conversation never straddles the split)."""
+    q = fx.qa(spark, d)
+    key = F.md5(F.concat(F.lit("42:"), F.col("conv_id").cast("string")))
+    return q.withColumn("split", F.when(F.substring(key, 1, 1) < "4", "test").otherwise("train"))

@@ -400,3 +400,21 @@ def refine_cot(spark: SparkSession, d: str) -> DataFrame:
     )
     out = refine(start, demo_thought_writer(tk), REFINE_ROUNDS, REFINE_LEN, "ids", tk)
     return out.select("task_id", F.col("rounds_used").cast("int"), "finished", tx.show_array("ids").alias("ids"))
+
+
+@query(
+    "vocab_file_roundtrip",
+    "SRC-9 JOI-7 TOK-7 TOK-8",
+    with_ctes(fx.TASK_LINES_SQL, GSM_TASKS_SQL) + "\nSELECT task_id, true AS roundtrip_ok FROM gsm_tasks",
+)
+def vocab_file_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The task vocabulary is written as a (token, id) parquet table, loaded
+    back, and used both ways: token → id to encode every source, id → token
+    to decode it; the decoded source equals the original."""
+    t = gsm_tasks_df(spark, d)
+    path = f"{checkpoint_root(spark).rstrip('/')}/vocab-{uuid.uuid4().hex}"
+    task_vocab(t).select("token", "id").write.mode("overwrite").parquet(path)
+    vocab = spark.read.parquet(path)
+    enc = vb.encode(t, ["task_id"], "src", vocab, out="ids")
+    dec = vb.decode(enc, ["task_id"], "ids", vocab, out="back")
+    return t.join(dec, "task_id", "left").select("task_id", F.coalesce(F.col("back") == F.col("src"), F.lit(False)).alias("roundtrip_ok"))
