@@ -114,9 +114,10 @@ def group_bounds(df: DataFrame, keys: list[str], x: str, lo_q: float, hi_q: floa
 
 
 def within_group_bounds(df: DataFrame, bounds: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """Rows with lo ≤ x ≤ hi of their own group (FIL-9); the bounds table has
-    one row per group."""
-    return df.join(F.broadcast(bounds), keys).filter(F.col(x).between(F.col("lo"), F.col("hi")))
+    """Rows with lo ≤ x ≤ hi of their own group (FIL-9). The bounds table has
+    one row per group; the number of groups is not bounded, so AQE decides
+    at run time whether it is small enough to broadcast."""
+    return df.join(bounds, keys).filter(F.col(x).between(F.col("lo"), F.col("hi")))
 
 
 def masked_weighted_mean(df: DataFrame, keys: list[str], x: str, mask: Column, w: Column) -> DataFrame:
