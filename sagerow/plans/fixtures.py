@@ -33,20 +33,13 @@ def order_rationales(spark: SparkSession, d: str) -> DataFrame:
     li = li.withColumn("thought", F.concat(F.lit("<<"), q, F.lit("*"), c, F.lit("="), q * c, F.lit(">>"))).withColumn(
         "amount", q * c
     )
+    order = "ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
     per = li.groupBy("l_orderkey").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "thought", "amount")
-            )
-        ).alias("_lines"),
-        F.sum("amount").alias("total"),
-    )
-    return per.select(
-        "l_orderkey",
-        F.array_join(F.transform("_lines", lambda x: x["thought"]), " ").alias("thoughts"),
-        F.array_join(F.transform("_lines", lambda x: x["amount"].cast("string")), " + ").alias("amounts"),
-        F.col("total").cast("bigint").alias("total"),
+        F.expr(f"listagg(thought, ' ') WITHIN GROUP ({order})").alias("thoughts"),
+        F.expr(f"listagg(cast(amount AS string), ' + ') WITHIN GROUP ({order})").alias("amounts"),
+        F.sum("amount").cast("bigint").alias("total"),
     )
+    return per
 
 
 def task_lines(spark: SparkSession, d: str) -> DataFrame:

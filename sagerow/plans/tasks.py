@@ -14,7 +14,7 @@ from ..functions import arrays as ar
 from ..functions import text as tx
 from ..operators import vocab as vb
 from ..operators.rank import global_index
-from ..session import checkpoint_root
+from ..session import checkpoint_root, cut_lineage
 from ..sources import tasks as st
 from . import fixtures as fx
 from .registry import query, with_ctes
@@ -95,22 +95,49 @@ def gsm_tasks_df(spark: SparkSession, d: str) -> DataFrame:
     return st.gsm8k_tasks(fx.task_lines(spark, d))
 
 
-def task_vocab(tasks: DataFrame) -> DataFrame:
-    src_p = tasks.select(F.explode(tx.byte_level_pieces(F.col("src"))).alias("token"))
-    tgt_p = tasks.select(F.explode("tgt").alias("t")).select(F.explode(tx.byte_level_pieces(F.col("t"))).alias("token"))
-    counts = src_p.unionByName(tgt_p).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+def task_pieces(tasks: DataFrame) -> DataFrame:
+    """(task_id, k, pos, token): byte-level pieces of the source (k = -1)
+    and of every thought (k = 0..n-1), from one pass over the tasks, written
+    once to the shared checkpoint folder (the vocabulary and the encoding
+    both read it)."""
+    texts = tasks.select(
+        "task_id",
+        F.explode(
+            F.concat(
+                F.array(F.struct(F.lit(-1).alias("k"), F.col("src").alias("t"))),
+                F.transform("tgt", lambda x, i: F.struct(i.alias("k"), x.alias("t"))),
+            )
+        ).alias("e"),
+    )
+    p = texts.select("task_id", F.col("e.k").alias("k"), F.posexplode_outer(tx.byte_level_pieces(F.col("e.t"))).alias("pos", "token"))
+    return cut_lineage(p, "task-pieces", tasks.sparkSession.sparkContext.defaultParallelism)
+
+
+def task_vocab(tasks: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
+    p = task_pieces(tasks) if pieces is None else pieces
+    counts = p.where(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return vb.vocab_from_counts(counts, first_id=3)
 
 
-def task_ids(tasks: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(task_id, src_ids, tgt_ids_list): every thought encoded on its own."""
-    src = vb.encode(tasks, ["task_id"], "src", vocab, out="src_ids")
-    th = tasks.select("task_id", F.posexplode("tgt").alias("k", "t"))
-    th_ids = vb.encode(th, ["task_id", "k"], "t", vocab, out="ids")
-    tgt = th_ids.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("_l")).select(
-        "task_id", F.transform("_l", lambda s: s["ids"]).alias("tgt_ids_list")
+def task_ids(tasks: DataFrame, vocab: DataFrame | None = None, pieces: DataFrame | None = None) -> DataFrame:
+    """(task_id, src_ids, tgt_ids_list): every thought encoded on its own,
+    with one join of all pieces against the vocabulary."""
+    p = task_pieces(tasks) if pieces is None else pieces
+    v = task_vocab(tasks, p) if vocab is None else vocab
+    j = p.join(v.select("token", "id"), "token", "left")
+    # one regroup per task: (k, pos, id) sorted, then split by k
+    per_task = j.groupBy("task_id").agg(
+        F.array_sort(F.collect_list(F.struct("k", "pos", "id"))).alias("_a"), F.max("k").alias("_n")
+    )
+
+    def ids_of(k):
+        return F.transform(F.filter("_a", lambda s: (s["k"] == k) & s["pos"].isNotNull()), lambda s: s["id"])
+
+    return per_task.select(
+        "task_id",
+        ids_of(F.lit(-1)).alias("src_ids"),
+        F.transform(F.sequence(F.lit(0), F.col("_n")), lambda i: ids_of(i)).alias("tgt_ids_list"),
     )
-    return src.join(tgt, "task_id")
 
 
 # ---- queries ---------------------------------------------------------------------
@@ -248,7 +275,7 @@ def task_token_layout(spark: SparkSession, d: str) -> DataFrame:
     sequence budget, ``src + SEP + tgt``, batches of 8 padded to the batch max."""
     tk = WORD_TOKENS
     t = gsm_tasks_df(spark, d)
-    ids = task_ids(t, task_vocab(t))
+    ids = task_ids(t)
     tgt = F.flatten(ar.with_eos("tgt_ids_list", tk))
     tr = ids.select("task_id", ar.truncate_pair("src_ids", tgt, SEQ_LEN).alias("p"))
     lay = tr.select("task_id", ar.sep_layout("p.src_ids", "p.tgt_ids", tk).alias("l")).select("task_id", "l.ids", "l.src_len")
@@ -299,7 +326,7 @@ def test_collation_shift_sep(spark: SparkSession, d: str) -> DataFrame:
     moved to the first pad position."""
     tk = WORD_TOKENS
     t = gsm_tasks_df(spark, d)
-    ids = task_ids(t, task_vocab(t)).filter(F.size("src_ids") < TEST_SEQ_LEN)
+    ids = task_ids(t).filter(F.size("src_ids") < TEST_SEQ_LEN)
     s = F.concat(F.col("src_ids"), F.array(F.lit(tk.sep_id)))
     x = ids.select("task_id", s.alias("s"), (F.size("src_ids") + 1).alias("src_len"), F.get("tgt_ids_list", 0).alias("first"))
     gen = x.withColumn("g", ar.right_pad(F.concat("s", "first"), TEST_SEQ_LEN, tk))
@@ -340,7 +367,7 @@ def length_bucketed_batches(spark: SparkSession, d: str) -> DataFrame:
     """True length-sorted batching: rows ranked by sequence length, batches
     of 8 consecutive ranks, padding measured per batch."""
     t = gsm_tasks_df(spark, d)
-    ids = task_ids(t, task_vocab(t)).select(
+    ids = task_ids(t).select(
         "task_id", (F.size("src_ids") + 1 + F.size(F.flatten("tgt_ids_list")) + 1).alias("len")
     )
     r = global_index(ids, ["len", "task_id"], out="pos")
@@ -393,7 +420,7 @@ def refine_cot(spark: SparkSession, d: str) -> DataFrame:
 
     tk = WORD_TOKENS
     t = gsm_tasks_df(spark, d)
-    ids = task_ids(t, task_vocab(t))
+    ids = task_ids(t)
     start = ids.select(
         "task_id", "tgt_ids_list",
         ar.right_pad(F.concat("src_ids", F.array(F.lit(tk.sep_id))), REFINE_LEN, tk).alias("ids"),
