@@ -230,20 +230,30 @@ def _prefix_test(pre: Column, lang: Column, kind: int) -> Column:
     return F.when(lang == "de", member("de")).when(lang == "el", member("el")).otherwise(member("en"))
 
 
+def _guard(t: Column, trigger: str, rules_fn) -> Column:
+    """``rules_fn(t)`` on values containing ``trigger``, else ``t``; ``t`` is
+    bound once (expressions inside lambdas are not shared)."""
+    return _let(t, lambda v: F.when(v.contains(trigger), rules_fn(v)).otherwise(v))
+
+
 def _prepare(line: Column, lang: Column) -> Column:
+    # Each rule group runs only on lines holding the character its patterns
+    # need; other lines are unchanged by it, so the result is the same.
     t = F.concat(F.lit(" "), line, F.lit(" "))
     t = F.regexp_replace(t, rf"(?U)([^{ALNUM}\s.'`,\-])", " $1 ")
     # dot runs: mark their dots, then isolate the run
-    t = F.regexp_replace(t, r"\.(?=\.)|(?<=\.)\.", DOT_MARK)
-    t = F.regexp_replace(t, f"({DOT_MARK}+)", " $1 ")
-    t = _chain(t, COMMA_RULES)
-    t = F.regexp_replace(t, "`", "'")
-    t = F.regexp_replace(t, "''", ' " ')
-    return (
-        F.when(lang == "en", _chain(t, CONTRACTIONS["en"]))
-        .when(lang.isin("fr", "it"), _chain(t, CONTRACTIONS["fr"]))
-        .otherwise(_chain(t, CONTRACTIONS["other"]))
-    )
+    t = _guard(t, "..", lambda v: F.regexp_replace(F.regexp_replace(v, r"\.(?=\.)|(?<=\.)\.", DOT_MARK), f"({DOT_MARK}+)", " $1 "))
+    t = _guard(t, ",", lambda v: _chain(v, COMMA_RULES))
+    t = F.replace(F.replace(t, F.lit("`"), F.lit("'")), F.lit("''"), F.lit(' " '))
+
+    def contract(v: Column) -> Column:
+        return (
+            F.when(lang == "en", _chain(v, CONTRACTIONS["en"]))
+            .when(lang.isin("fr", "it"), _chain(v, CONTRACTIONS["fr"]))
+            .otherwise(_chain(v, CONTRACTIONS["other"]))
+        )
+
+    return _guard(t, "'", contract)
 
 
 def _word_rule(w: Column, nxt: Column, lang: Column) -> Column:
