@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..functions.prefixes import prefixes_for
 from ..functions.scaling import l2_normalize
 from ..operators import vocab as vb
+from ..session import cut_lineage
 from ..sources.tables import read_table
 from .registry import query
 from .tasks import sql_pieces, sql_strip
@@ -234,7 +235,9 @@ def corpus_nll(spark: SparkSession, d: str) -> DataFrame:
     bench = read_table(spark, d, "benchmark").select(F.lit("benchmark").alias("dataset"), F.lit("benchmark").alias("part"), "text")
     texts = docs.unionByName(bench)
     toks = texts.select("dataset", "part", F.explode(tx.byte_level_pieces(tx.collapse_ws("text"))).alias("token"))
-    c = toks.groupBy("dataset", "part", "token").agg(F.count(F.lit(1)).alias("n"))
+    # written once: the model, its totals and the scoring join all read it
+    c = cut_lineage(toks.groupBy("dataset", "part", "token").agg(F.count(F.lit(1)).alias("n")), "piece-counts",
+                    spark.sparkContext.defaultParallelism)
     model_counts = c.filter(F.col("dataset") == "documents").groupBy("token").agg(F.sum("n").alias("n"))
     denom = model_counts.select((F.sum("n") + ALPHA_SMOOTHING * (F.count(F.lit(1)) + 1)).cast("double")).scalar()
     model = model_counts.select("token", F.log((F.col("n") + ALPHA_SMOOTHING) / denom).alias("logp"))
