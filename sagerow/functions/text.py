@@ -28,9 +28,12 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+WS = r"\p{IsWhite_Space}"  # what (?U)\s means in Java, without the flag's cost
+
+
 def ustrip(x: Column | str) -> Column:
     """Python ``str.strip()``: Unicode whitespace at both ends (SCA-9)."""
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_c(x), rf"^{WS}+|{WS}+$", "")
 
 
 def is_blank(x: Column | str) -> Column:
@@ -134,14 +137,18 @@ def digit_chunks(text: Column | str) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(DIGIT_PATTERN), 0)
 
 
+_GPT2_JAVA = GPT2_PATTERN.replace(r"\s", WS).replace(r"\S", r"\P{IsWhite_Space}")
+
+
 def byte_level_pieces(text: Column | str) -> Column:
-    """GPT-2 byte-level pre-tokeniser pieces (TOK-2)."""
-    return F.regexp_extract_all(_c(text), F.lit("(?U)" + GPT2_PATTERN), 0)
+    """GPT-2 byte-level pre-tokeniser pieces (TOK-2); Unicode whitespace."""
+    return F.regexp_extract_all(_c(text), F.lit(_GPT2_JAVA), 0)
 
 
 def collapse_ws(text: Column | str) -> Column:
-    """Whitespace runs to one space, ends trimmed."""
-    return ustrip(F.regexp_replace(_c(text), r"(?U)\s+", " "))
+    """Whitespace runs to one space, ends trimmed (after the collapse only
+    plain spaces are left, so ``trim`` is enough)."""
+    return F.trim(F.regexp_replace(_c(text), rf"{WS}+", " "))
 
 
 def show_array(arr: Column | str, sep: str = "|") -> Column:
