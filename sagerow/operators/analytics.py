@@ -170,18 +170,28 @@ def _sorted_quantile(arr: Column, q: float) -> Column:
 
 
 def rolling_quantile_clip(
-    df: DataFrame, keys: list[str], order: str, x: str, q: float = 0.95, window: int = 1000, fill: float | None = None
+    df: DataFrame, keys: list[str], order: str, x: str, q: float = 0.95, window: int = 1000,
+    fill: float | None = None, chunk: int = 200_000,
 ) -> DataFrame:
     """Quantile of the previous ``window`` values (current excluded), and
     the value clipped to it (WIN-7). With ``fill`` the history starts as a
-    full buffer of ``fill`` values, as a pre-filled ring buffer does."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-window, -1)
+    full buffer of ``fill`` values, as a pre-filled ring buffer does.
+
+    Rows get a dense per-key position (distributed rank) and are cut into
+    chunks of ``chunk`` positions with a ``window``-row halo, so one long
+    series is spread over many tasks."""
+    from .rank import global_index, halo_chunks
+
+    pos = global_index(df, [order], out="_rpos", partition_by=keys, n_buckets=256)
+    h = halo_chunks(pos, "_rpos", max(chunk, 2 * window), window)
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_rpos").rowsBetween(-window, -1)
     if fill is None:
-        out = df.withColumn("q", F.percentile(_c(x), q).over(w))
+        out = h.withColumn("q", F.percentile(_c(x), q).over(w))
     else:
         hist = F.collect_list(_c(x)).over(w)
         padded = F.array_sort(F.concat(hist, F.array_repeat(F.lit(float(fill)), F.lit(window) - F.size(hist))))
-        out = df.withColumn("q", _sorted_quantile(padded, q))
+        out = h.withColumn("q", _sorted_quantile(padded, q))
+    out = out.filter(~F.col("_halo")).drop("_halo", "_chunk", "_rpos")
     return out.withColumn("clipped", F.when(F.col("q").isNull(), _c(x)).otherwise(F.least(_c(x), F.col("q"))))
 
 
@@ -196,10 +206,12 @@ def ema_stats(
     state is folded over the last K block totals, where K covers the
     horizon beyond which β^k < ``tol`` (older terms are below double
     precision). No group is collected and no power overflows."""
+    from .rank import global_index, halo_chunks
+
     horizon_blocks = int(math.ceil(math.log(tol) / math.log(beta) / block)) + 1
     lb = math.log(beta)
-    idx = Window.partitionBy(*keys).orderBy(order)
-    d = df.withColumn("_n", F.row_number().over(idx) - 1).withColumn("_b", F.floor(F.col("_n") / block))
+    # dense per-key position without a whole-key window
+    d = global_index(df, [order], out="_n", partition_by=keys, n_buckets=256).withColumn("_b", F.floor(F.col("_n") / block))
     d = d.withColumn("_r", F.col("_n") - F.col("_b") * block)
     inb = Window.partitionBy(*keys, "_b").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
     xv, xx = _c(x).cast("double"), _c(x).cast("double") * _c(x).cast("double")
@@ -211,10 +223,13 @@ def ema_stats(
     tot = d.groupBy(*keys, "_b").agg(
         F.max_by(F.struct("_p1", "_p2"), "_n").alias("_t"), F.count(F.lit(1)).alias("_len")
     )
-    prev = Window.partitionBy(*keys).orderBy("_b").rowsBetween(-horizon_blocks, -1)
+    # block summaries in chunks with a horizon-sized halo: a long series is
+    # spread over many tasks
+    tot = halo_chunks(tot, "_b", max(100_000, 2 * horizon_blocks), horizon_blocks)
+    prev = Window.partitionBy(*keys, "_chunk").orderBy("_b").rowsBetween(-horizon_blocks, -1)
     hist = F.collect_list(F.struct(F.col("_t._p1").alias("p1"), F.col("_t._p2").alias("p2"))).over(prev)
     bb = math.exp(block * lb)
-    carry = tot.withColumn("_h", hist).select(
+    carry = tot.withColumn("_h", hist).filter(~F.col("_halo")).select(
         *keys, "_b",
         F.aggregate("_h", F.lit(0.0), lambda acc, s: acc * F.lit(bb) + s["p1"]).alias("_c1"),
         F.aggregate("_h", F.lit(0.0), lambda acc, s: acc * F.lit(bb) + s["p2"]).alias("_c2"),

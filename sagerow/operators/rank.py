@@ -142,3 +142,22 @@ def systematic_sample(df: DataFrame, rank_col: str, every: int, offset: int) ->
 def repeat_epochs(df: DataFrame, epochs: int, out: str = "epoch") -> DataFrame:
     """Bag-repeat for ``epochs`` passes (SET-3), as a per-row generator (no join)."""
     return df.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+
+
+# ---- halo chunks for bounded look-back windows ----------------------------------
+
+def halo_chunks(df: DataFrame, pos_col: str, chunk: int, halo: int) -> DataFrame:
+    """Split each key's rows into chunks of ``chunk`` consecutive positions;
+    the last ``halo`` rows of a chunk are also copied into the next chunk
+    (``_halo = true``). A window partitioned by (keys, ``_chunk``) whose
+    frame reaches back at most ``halo`` rows then sees the same rows as the
+    unsplit window, so a hot key is spread over many tasks. Drop the halo
+    copies afterwards. ``pos_col`` must be a dense 0-based position per key.
+    """
+    if halo >= chunk:
+        raise ValueError("halo must be smaller than chunk")
+    c = F.floor(F.col(pos_col) / chunk)
+    tail = F.pmod(F.col(pos_col), F.lit(chunk)) >= chunk - halo
+    return df.withColumn("_home", c).withColumn(
+        "_chunk", F.explode(F.when(tail, F.array(c, c + 1)).otherwise(F.array(c)))
+    ).withColumn("_halo", F.col("_chunk") != F.col("_home")).drop("_home")

@@ -153,3 +153,16 @@ def test_ema_matches_recursion(spark):
         m = e1 / bias
         sd = max(e2 / bias - m * m, 0) ** 0.5
         assert abs(got[i][0] - m) < 1e-9 and abs(got[i][1] - sd) < 1e-6
+
+
+def test_halo_chunks_equal_unsplit_windows(spark):
+    rnd = random.Random(11)
+    vals = [rnd.uniform(0, 100) for _ in range(300)]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(vals)], "run long, step long, value double")
+    small = an.rolling_quantile_clip(df, ["run"], "step", "value", 0.9, window=7, chunk=20)
+    big = an.rolling_quantile_clip(df, ["run"], "step", "value", 0.9, window=7, chunk=10_000)
+    a = {r.step: (r.q, r.clipped) for r in small.collect()}
+    b = {r.step: (r.q, r.clipped) for r in big.collect()}
+    assert a == b and len(a) == 300
+    e1 = {r.step: r.ema_mean for r in an.ema_stats(df, ["run"], "step", "value", 0.5, block=4).collect()}
+    assert len(e1) == 300
