@@ -171,7 +171,7 @@ def _sorted_quantile(arr: Column, q: float) -> Column:
 
 def rolling_quantile_clip(
     df: DataFrame, keys: list[str], order: str, x: str, q: float = 0.95, window: int = 1000,
-    fill: float | None = None, chunk: int = 200_000,
+    fill: float | None = None, chunk: int = 200_000, dense_order: bool = False,
 ) -> DataFrame:
     """Quantile of the previous ``window`` values (current excluded), and
     the value clipped to it (WIN-7). With ``fill`` the history starts as a
@@ -179,10 +179,14 @@ def rolling_quantile_clip(
 
     Rows get a dense per-key position (distributed rank) and are cut into
     chunks of ``chunk`` positions with a ``window``-row halo, so one long
-    series is spread over many tasks."""
+    series is spread over many tasks. ``dense_order`` says ``order`` already
+    is that position (0, 1, 2, ... per key) and skips the ranking."""
     from .rank import global_index, halo_chunks
 
-    pos = global_index(df, [order], out="_rpos", partition_by=keys, n_buckets=256)
+    if dense_order:
+        pos = df.withColumn("_rpos", F.col(order).cast("bigint"))
+    else:
+        pos = global_index(df, [order], out="_rpos", partition_by=keys, n_buckets=256)
     h = halo_chunks(pos, "_rpos", max(chunk, 2 * window), window)
     w = Window.partitionBy(*keys, "_chunk").orderBy("_rpos").rowsBetween(-window, -1)
     if fill is None:
@@ -196,7 +200,8 @@ def rolling_quantile_clip(
 
 
 def ema_stats(
-    df: DataFrame, keys: list[str], order: str, x: str, beta: float, init: float = 1e-8, block: int = 16, tol: float = 1e-18
+    df: DataFrame, keys: list[str], order: str, x: str, beta: float, init: float = 1e-8, block: int = 16,
+    tol: float = 1e-18, dense_order: bool = False,
 ) -> DataFrame:
     """Bias-corrected EMA mean and std per key, in step order (WIN-8).
 
@@ -210,8 +215,12 @@ def ema_stats(
 
     horizon_blocks = int(math.ceil(math.log(tol) / math.log(beta) / block)) + 1
     lb = math.log(beta)
-    # dense per-key position without a whole-key window
-    d = global_index(df, [order], out="_n", partition_by=keys, n_buckets=256).withColumn("_b", F.floor(F.col("_n") / block))
+    # dense per-key position without a whole-key window (or given)
+    if dense_order:
+        d = df.withColumn("_n", F.col(order).cast("bigint"))
+    else:
+        d = global_index(df, [order], out="_n", partition_by=keys, n_buckets=256)
+    d = d.withColumn("_b", F.floor(F.col("_n") / block))
     d = d.withColumn("_r", F.col("_n") - F.col("_b") * block)
     inb = Window.partitionBy(*keys, "_b").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
     xv, xx = _c(x).cast("double"), _c(x).cast("double") * _c(x).cast("double")

@@ -296,7 +296,8 @@ FROM (SELECT *, quantile_cont(value, 0.95) OVER (PARTITION BY run_id ORDER BY st
       FROM metrics)""",
 )
 def rolling_quantile(spark: SparkSession, d: str) -> DataFrame:
-    r = an.rolling_quantile_clip(fx.metrics(spark, d), ["run_id"], "step", "value", 0.95, 1000)
+    # metric steps are dense per run (0, 1, 2, ...), so no re-ranking
+    r = an.rolling_quantile_clip(fx.metrics(spark, d), ["run_id"], "step", "value", 0.95, 1000, dense_order=True)
     return r.select("run_id", "step", F.round("q", 6).alias("q"), F.round("clipped", 6).alias("clipped"))
 
 
@@ -318,7 +319,7 @@ FROM p""",
 )
 def rolling_quantile_filled(spark: SparkSession, d: str) -> DataFrame:
     """Ring-buffer form: the history starts as 50 copies of 1e8."""
-    r = an.rolling_quantile_clip(fx.metrics(spark, d), ["run_id"], "step", "value", 0.95, 50, fill=1e8)
+    r = an.rolling_quantile_clip(fx.metrics(spark, d), ["run_id"], "step", "value", 0.95, 50, fill=1e8, dense_order=True)
     return r.select("run_id", "step", F.round("q", 6).alias("q"), F.round("clipped", 6).alias("clipped"))
 
 
@@ -340,7 +341,7 @@ def rolling_quantile_filled(spark: SparkSession, d: str) -> DataFrame:
 SELECT run_id, step, round(mean, 6) AS ema_mean, round(sqrt(greatest(sq - mean * mean, 0)), 6) AS ema_std FROM m""",
 )
 def ema_metrics(spark: SparkSession, d: str) -> DataFrame:
-    e = an.ema_stats(fx.metrics(spark, d), ["run_id"], "step", "value", EMA_BETA)
+    e = an.ema_stats(fx.metrics(spark, d), ["run_id"], "step", "value", EMA_BETA, dense_order=True)
     return e.select("run_id", "step", F.round("ema_mean", 6).alias("ema_mean"), F.round("ema_std", 6).alias("ema_std"))
 
 
