@@ -259,32 +259,31 @@ def interpolate(keypoints: DataFrame, probes: DataFrame, keys: list[str], x: str
     """Piecewise-linear ``y(x)`` through each key's keypoints at the probe
     x's; outside the keypoint range the end segments are extended (JOI-9).
 
-    Keypoints and probes are unioned per key; the neighbours come from
-    ``last``/``first`` with ``ignorenulls`` over the x order (no theta
-    join), the end segments from the two first / two last keypoints."""
-    kp = keypoints.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"), F.lit(0).alias("_probe"))
-    pr = probes.select(*keys, F.col(x).alias("_x"), F.lit(None).cast("double").alias("_y"), F.lit(1).alias("_probe"))
-    u = kp.unionByName(pr)
-    ordw = Window.partitionBy(*keys).orderBy("_x", "_probe")
-    kx = F.when(F.col("_probe") == 0, F.col("_x"))
-    ky = F.when(F.col("_probe") == 0, F.col("_y"))
-    left = ordw.rowsBetween(Window.unboundedPreceding, 0)
-    right = ordw.rowsBetween(0, Window.unboundedFollowing)
-    u = (
-        u.withColumn("_lx", F.last(kx, ignorenulls=True).over(left))
-        .withColumn("_ly", F.last(ky, ignorenulls=True).over(left))
-        .withColumn("_rx", F.first(kx, ignorenulls=True).over(right))
-        .withColumn("_ry", F.first(ky, ignorenulls=True).over(right))
+    No window spans a whole key: keypoints get a dense per-key rank, the
+    union of keypoints and probes gets one too, and a probe's left keypoint
+    index is its merged rank minus its rank among probes minus one. The two
+    neighbours then come from equi-joins on (key, rank), which are unique,
+    so a key holding a third of the rows is spread like any other. Ends use
+    keypoints 0/1 and K-2/K-1."""
+    from .rank import global_index
+
+    kp = keypoints.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    kr = global_index(kp, ["_x", "_y"], out="_i", partition_by=keys, n_buckets=256)
+    pr = global_index(probes.select(*keys, F.col(x).alias("_x")), ["_x"], out="_pi", partition_by=keys, n_buckets=256)
+    merged = kr.select(*keys, "_x", F.lit(0).alias("_probe"), F.col("_i").alias("_tie"), F.lit(None).cast("bigint").alias("_pi")).unionByName(
+        pr.select(*keys, "_x", F.lit(1).alias("_probe"), F.col("_pi").alias("_tie"), "_pi")
     )
-    ends = _end_segments(keypoints, keys, x, y)
-    p = u.filter(F.col("_probe") == 1).join(ends, keys)
-    before, after = F.col("_lx").isNull(), F.col("_rx").isNull()
-    x0 = F.when(before, F.col("_fx0")).when(after, F.col("_lx0")).otherwise(F.col("_lx"))
-    y0 = F.when(before, F.col("_fy0")).when(after, F.col("_ly0")).otherwise(F.col("_ly"))
-    x1 = F.when(before, F.col("_fx1")).when(after, F.col("_lx1")).otherwise(F.col("_rx"))
-    y1 = F.when(before, F.col("_fy1")).when(after, F.col("_ly1")).otherwise(F.col("_ry"))
-    val = y0 + (F.col("_x") - x0) * (y1 - y0) / (x1 - x0)
-    return p.select(*keys, F.col("_x").alias(x), val.alias(y))
+    m = global_index(merged, ["_x", "_probe", "_tie"], out="_m", partition_by=keys, n_buckets=256)
+    p = m.filter(F.col("_probe") == 1).select(*keys, "_x", (F.col("_m") - F.col("_pi") - 1).alias("_left"))
+    k = kr.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
+    p = p.join(k, keys)
+    i0 = F.when(F.col("_left") < 0, F.lit(0)).when(F.col("_left") >= F.col("_k") - 1, F.col("_k") - 2).otherwise(F.col("_left"))
+    p = p.withColumn("_i0", i0.cast("bigint")).withColumn("_i1", (F.col("_i0") + 1).cast("bigint"))
+    a_ = kr.select(*keys, F.col("_i").alias("_i0"), F.col("_x").alias("_x0"), F.col("_y").alias("_y0"))
+    b_ = kr.select(*keys, F.col("_i").alias("_i1"), F.col("_x").alias("_x1"), F.col("_y").alias("_y1"))
+    j = p.join(a_, keys + ["_i0"]).join(b_, keys + ["_i1"])
+    val = F.col("_y0") + (F.col("_x") - F.col("_x0")) * (F.col("_y1") - F.col("_y0")) / (F.col("_x1") - F.col("_x0"))
+    return j.select(*keys, F.col("_x").alias(x), val.alias(y))
 
 
 def _end_segments(keypoints: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
