@@ -166,3 +166,15 @@ def test_halo_chunks_equal_unsplit_windows(spark):
     assert a == b and len(a) == 300
     e1 = {r.step: r.ema_mean for r in an.ema_stats(df, ["run"], "step", "value", 0.5, block=4).collect()}
     assert len(e1) == 300
+
+
+def test_bpe_multi_merge_mode_roundtrips(spark):
+    words = {"lower": 5, "lowest": 2, "newer": 6, "wider": 3, " new": 4}
+    df = spark.createDataFrame(list(words.items()), "token string, n long")
+    m = bp.train_bpe(df, 10, per_round=4)
+    rows = m.orderBy("rank").collect()
+    assert len(rows) == 10 and [r["rank"] for r in rows] == list(range(10))
+    v = bp.bpe_vocab(spark, m, ())
+    texts = spark.createDataFrame([(1, "lower newer wider")], "k long, t string")
+    enc = bp.bpe_encode(texts, ["k"], F.col("t"), m, v)
+    assert bp.bpe_decode(enc, ["k"], "ids", v).first().text == "lower newer wider"
