@@ -105,9 +105,6 @@ def _chain(c: Column, rules) -> Column:
     return c
 
 
-
-
-
 def _let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``
     (a one-element ``transform`` binds it as a lambda variable)."""
@@ -220,16 +217,6 @@ COMMA_RULES = [
 ]
 
 
-def _prefix_test(pre: Column, lang: Column, kind: int) -> Column:
-    from .prefixes import prefixes_for
-
-    def member(lg: str) -> Column:
-        words = prefixes_for(lg, kind)
-        return F.array_contains(F.array(*[F.lit(w) for w in words]), pre) if words else F.lit(False)
-
-    return F.when(lang == "de", member("de")).when(lang == "el", member("el")).otherwise(member("en"))
-
-
 def _guard(t: Column, trigger: str, rules_fn) -> Column:
     """``rules_fn(t)`` on values containing ``trigger``, else ``t``; ``t`` is
     bound once (expressions inside lambdas are not shared)."""
@@ -256,31 +243,51 @@ def _prepare(line: Column, lang: Column) -> Column:
     return _guard(t, "'", contract)
 
 
-def _word_rule(w: Column, nxt: Column, lang: Column) -> Column:
-    def body(pre: Column) -> Column:
-        keep = (
-            (pre.contains(".") & pre.rlike(ALPHA))
-            | _prefix_test(pre, lang, 1)
-            | F.coalesce(nxt.rlike(r"^\p{IsLowercase}"), F.lit(False))
-        )
-        keep_num = _prefix_test(pre, lang, 2) & F.coalesce(nxt.rlike("^[0-9]+"), F.lit(False))
-        return F.when(w.rlike(r"(?U)^\S+\.$") & ~keep & ~keep_num, F.concat(pre, F.lit(" ."))).otherwise(w)
+_W = r"\p{IsWhite_Space}"
+_NW = r"\P{IsWhite_Space}"
 
-    return _let(F.regexp_extract(w, r"(?U)^(\S+)\.$", 1), body)
 
+def _period_regex(lang: str) -> str:
+    """One regex for the sentence-final period rule of ``lang``'s prefix
+    lists: a whitespace-delimited word ``pre.`` is split into ``pre .``
+    unless pre has an inner dot and a letter, pre is a kind-1 prefix, the
+    next word starts lowercase, or pre is a kind-2 prefix and the next word
+    starts with a digit. Lookarounds read the original line, as the
+    word-by-word rule does."""
+    import re as _re
 
-def _tokenize_line(line: Column, lang: Column) -> Column:
-    def on_words(ws: Column) -> Column:
-        t = F.array_join(F.transform(ws, lambda w, i: _word_or_rule(w, F.get(ws, i + 1), lang)), " ")
-        t = F.regexp_replace(F.regexp_replace(t, " +", " "), "^ | $", "")
-        return F.translate(t, DOT_MARK, ".")
+    from .prefixes import prefixes_for
+
+    def alts(kind: int) -> str:
+        words = sorted(prefixes_for(lang, kind), key=len, reverse=True)
+        return "|".join(_re.escape(w) for w in words)
+
+    end = f"(?:{_W}|$)"
+    keep_inner = f"(?=(?:{_NW})*{ALPHA})(?=(?:{_NW})*\\.(?:{_NW})*\\.{end})"
+    # cheap test first: only words ending in a period go on to the prefix checks
+    parts = [f"(?<!{_NW})", f"(?=(?:{_NW})*\\.{end})", f"(?!{keep_inner})"]
+    k1, k2 = alts(1), alts(2)
+    if k1:
+        parts.append(f"(?!(?:{k1})\\.{end})")
+    if k2:
+        parts.append(f"(?!(?:{k2})\\.{_W}[0-9])")
+    parts.append(f"((?:{_NW})+)\\.(?={end})(?!{_W}\\p{{IsLowercase}})")
+    return "".join(parts)
 
-    return _let(F.split(_prepare(line, lang), r"(?U)\s", -1), on_words)
 
+_PERIOD = {lg: _period_regex(lg) for lg in ("en", "de", "el")}
 
-def _word_or_rule(w: Column, nxt: Column, lang: Column) -> Column:
-    """Words without a period are never changed by the period rule."""
-    return F.when(~w.contains("."), w).otherwise(_word_rule(w, nxt, lang))
+
+def _tokenize_line(line: Column, lang: Column) -> Column:
+    t = _prepare(line, lang)
+    t = (
+        F.when(lang == "de", F.regexp_replace(t, _PERIOD["de"], "$1 ."))
+        .when(lang == "el", F.regexp_replace(t, _PERIOD["el"], "$1 ."))
+        .otherwise(F.regexp_replace(t, _PERIOD["en"], "$1 ."))
+    )
+    # words were split on single whitespace characters and re-joined by spaces
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, _W, " "), " +", " "))
+    return F.translate(t, DOT_MARK, ".")
 
 
 def tokenize_words(text: Column | str, lang: Column | str) -> Column:
