@@ -109,3 +109,24 @@ def test_bucket_of(spark):
 
     df = spark.createDataFrame([(i,) for i in range(6)], "step long")
     assert [r.b for r in df.select(bucket_of("step", 3).alias("b")).orderBy("step").collect()] == [0, 1, 1, 2, 2, 2]
+
+
+def test_nfc_trigger_class_covers_every_change(spark):
+    import random
+    import re
+    import unicodedata
+
+    cls = mo.nfc_trigger_class()
+    first = int(re.search(r"x\{([0-9A-F]+)\}", cls).group(1), 16)
+    assert first >= mo.NFC_SAFE_BELOW
+    # Python's re understands the same \x{...} ranges once rewritten
+    py = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m.group(1), 16)).replace("\\", "\\\\").replace("]", "\\]").replace("-", "\\-").replace("^", "\\^"), cls))
+    rnd = random.Random(2)
+    pool = [chr(c) for c in list(range(0x20, 0x250)) + list(range(0x300, 0x370)) + [0x2126, 0x212B, 0x1100, 0x1161, 0x11A8, 0xAC00, 0xF900, 0x0CC6, 0x0CC2, 0x0CD5, 0x0B47, 0x0B3E, 0x0344, 0x0F73]]
+    for _ in range(20000):
+        s = "".join(rnd.choice(pool) for _ in range(rnd.randint(1, 6)))
+        if unicodedata.normalize("NFC", s) != s:
+            assert py.search(s), repr(s)
+    df = spark.createDataFrame([("e\u0301",), ("caf\u00e9",), ("\u212b",), ("plain",)], "t string")
+    got = [r.n for r in df.select(mo.nfc_where_needed(F.col("t")).alias("n")).collect()]
+    assert got == ["\u00e9", "caf\u00e9", "\u00c5", "plain"]
