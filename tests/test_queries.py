@@ -58,3 +58,18 @@ def test_bucket_offsets_are_broadcast(spark):
 def test_language_filter_pushed_to_scan(spark):
     plan = _final_plan(QUERIES["corpus_size"](spark, SF_SMALL))
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
+
+
+LIMIT_IS_THE_FEATURE = {"generated_samples", "shuffle_first_n", "seed_questions"}
+
+
+def test_limits_only_where_they_are_the_feature(spark):
+    """Every other query reads its tables whole: no limit in its plan."""
+    with_limit = set()
+    for name, fn in QUERIES.items():
+        if name.startswith("bpe_") or name.startswith("stream_") or name == "refine_cot":
+            continue  # iterative/streaming: their per-round plans are checked by their tests
+        plan = fn(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        if "GlobalLimit" in plan or "LocalLimit" in plan:
+            with_limit.add(name)
+    assert with_limit == LIMIT_IS_THE_FEATURE
