@@ -8,6 +8,7 @@ cut lineage in iterative jobs.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,20 +36,27 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "sager
     return spark
 
 
+_PRIVATE_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the operator (a shared file system).
-    Only when it is unset (tests, laptops) a private scratch folder is made.
+    On a cluster this must be set by the operator (a shared file system);
+    without it this raises. Only a single-process ``local[...]`` session
+    (tests, laptops), whose tasks see the driver's disk, gets a private
+    scratch folder instead.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="sagerow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _PRIVATE_ROOTS:
+            _PRIVATE_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="sagerow-ckpt-")
+        path = _PRIVATE_ROOTS[context.applicationId]
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(path)
     return path
 
 
