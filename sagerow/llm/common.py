@@ -119,3 +119,37 @@ def over_texts(
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *out.names])
 
     return src.mapInArrow(run, schema)
+
+
+def text_key(text_col: str) -> Column:
+    """A 64-bit hash of the raw text; with the id it names a row (up to exact repeats)."""
+    return F.xxhash64(F.col(text_col))
+
+
+def without_rows(
+    docs: DataFrame, drop: DataFrame, once: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` without the rows named in ``drop``, and one row of each named in ``once``.
+
+    Both are staged tables with columns (i, h): the id and ``text_key`` of
+    the row. They are broadcast while their counted size allows, else the
+    rows are shuffled to them. All columns of ``docs`` come back unchanged.
+    """
+    i, h = fresh(docs, "row_i", "row_h")
+    rows = docs.withColumn(h, text_key(text_col))
+
+    def keyed(keys: DataFrame) -> DataFrame:
+        return sized(keys.select(F.col("i").alias(i), F.col("h").alias(h)))
+
+    def on(left: DataFrame, right: DataFrame) -> Column:
+        return (left[h] == right[h]) & left[id_col].eqNullSafe(right[i])
+
+    gone = keyed(drop)
+    kept = rows.join(gone, on(rows, gone), "left_anti")
+    if once.isEmpty():
+        return kept.drop(h)
+    twice = keyed(once)
+    single = kept.join(twice, on(kept, twice), "left_anti").drop(h)
+    repeated = kept.join(twice, on(kept, twice), "left_semi")
+    one = repeated.groupBy(id_col, h).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(i))
+    return single.unionByName(one.select(f"{i}.*"))

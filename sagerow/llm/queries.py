@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import quality_classifier, toxicity
+from . import exact_dedup, quality_classifier, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +18,19 @@ def register(fn):
     return fn
 
 
+@register
+def op2_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(read_table(spark, d, "documents"))
+
+
+ORACLES["op2_exact_dedup"] = exact_dedup.ORACLE.strip()
+
+
+@register
+def op6_simhash(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.simhash_components(read_table(spark, d, "documents"))
+
+
 @register
 def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
