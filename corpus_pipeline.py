@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagerow.llm import toxicity
+from sagerow.llm import exact_dedup, mixing, packing, simhash, toxicity
 from sagerow.llm.common import staged
 from sagerow.sources.tables import read_table
 
@@ -18,8 +18,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (after white space), the document with the smallest id."""
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of SimHash links, the document with the smallest id."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated at their source's rate."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of every document (each copy on its own) and their place in a sequence."""
+    return packing.packed_pieces(docs)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
 ]
 
 #: The stages learn weights, hash with XXH64 and run tokenizers, which SQL can't express.

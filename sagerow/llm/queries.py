@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import exact_dedup, quality_classifier, simhash, toxicity
+from . import exact_dedup, mixing, packing, quality_classifier, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,11 +26,29 @@ def op2_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 ORACLES["op2_exact_dedup"] = exact_dedup.ORACLE.strip()
 
 
+@register
+def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_plan(read_table(spark, d, "documents"))
+
+
+ORACLES["op3_mixing"] = mixing.ORACLE.strip()
+
+
+@register
+def op4_sharding(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.shard_digests(read_table(spark, d, "documents"))
+
+
 @register
 def op6_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, d, "documents"))
 
 
+@register
+def op7_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed_pieces(read_table(spark, d, "documents"))
+
+
 @register
 def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
