@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import fuse
 from .common import sized, staged, text_key, without_rows
+from .fuse import build, contains
 
 #: Keys of one shard's filter (about 5 KB).
 SHARD_KEYS = 4096
@@ -53,7 +53,7 @@ def snapshot(keys: DataFrame, shards: int) -> Snapshot:
     """Build one filter per shard of the (staged, distinct) keys; each task holds a few thousand keys."""
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "filter": [fuse.build(pdf["key"].to_numpy().view(np.uint64))]})
+        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "filter": [build(pdf["key"].to_numpy().view(np.uint64))]})
 
     sharded = keys.select("key", F.pmod("key", F.lit(shards)).alias("shard"))
     filters = staged(sharded.groupBy("shard").applyInPandas(make, "shard long, filter binary"), "filters")
@@ -66,7 +66,7 @@ def screen(incoming: DataFrame, snap: Snapshot) -> DataFrame:
     def ask(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
         if keys.empty or filters.empty:
             return pd.DataFrame({"key": np.zeros(0, np.int64)})
-        maybe = fuse.contains(filters["filter"].iloc[0], keys["key"].to_numpy().view(np.uint64))
+        maybe = contains(filters["filter"].iloc[0], keys["key"].to_numpy().view(np.uint64))
         return keys.loc[maybe, ["key"]]
 
     sharded = incoming.select("key", F.pmod("key", F.lit(snap.shards)).alias("shard"))

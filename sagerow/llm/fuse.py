@@ -7,7 +7,7 @@ import struct
 
 import numpy as np
 
-_HEAD = struct.Struct("<QII")
+_HEAD = "<QII"
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -35,7 +35,7 @@ def build(keys: np.ndarray) -> bytes:
     keys = np.unique(np.asarray(keys, np.uint64))
     n = len(keys)
     if n == 0:
-        return _HEAD.pack(0, 0, 0)
+        return struct.pack(_HEAD, 0, 0, 0)
     segment = 1 << max(2, min(18, int(math.floor(math.log(max(n, 2)) / math.log(3.33) + 2.25))))
     factor = max(1.125, 0.875 + 0.25 * math.log(1_000_000) / math.log(max(n, 2)))
     segments = max(1, math.ceil(n * factor / segment) - 2)
@@ -68,16 +68,16 @@ def build(keys: np.ndarray) -> bytes:
         a, b, c = slots[:, who]
         table[slot] = 0
         table[slot] = prints[who] ^ table[a] ^ table[b] ^ table[c]
-    return _HEAD.pack(seed, segment, segments) + table.tobytes()
+    return struct.pack(_HEAD, seed, segment, segments) + table.tobytes()
 
 
 def contains(blob: bytes, keys: np.ndarray) -> np.ndarray:
     """Whether each key may be in the filter: true for all its keys, and for about 1 in 256 others."""
-    seed, segment, segments = _HEAD.unpack_from(blob)
+    seed, segment, segments = struct.unpack_from(_HEAD, blob)
     keys = np.asarray(keys, np.uint64)
     if not segment:
         return np.zeros(len(keys), bool)
-    table = np.frombuffer(blob, np.uint8, offset=_HEAD.size)
+    table = np.frombuffer(blob, np.uint8, offset=struct.calcsize(_HEAD))
     h = _mix(keys, seed)
     a, b, c = _slots(h, segment, segments)
     return (table[a] ^ table[b] ^ table[c]) == _prints(h)

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import exact_dedup, mixing, packing, quality_classifier, sharding, simhash, toxicity
+from . import (
+    exact_dedup,
+    licenses,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    simhash,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +29,11 @@ def register(fn):
     return fn
 
 
+@register
+def op1_licenses(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.license_report(read_table(spark, d, "documents"))
+
+
 @register
 def op2_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, d, "documents"))
@@ -39,6 +55,14 @@ def op4_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_digests(read_table(spark, d, "documents"))
 
 
+@register
+def op5_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.warc_round_trip(read_table(spark, d, "pages"))
+
+
+ORACLES["op5_warc"] = warc.ORACLE.strip()
+
+
 @register
 def op6_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, d, "documents"))
@@ -49,6 +73,11 @@ def op7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed_pieces(read_table(spark, d, "documents"))
 
 
+@register
+def op8_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality_rules.judged(read_table(spark, d, "documents"))
+
+
 @register
 def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
