@@ -89,10 +89,8 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         cells = half.select("fp", (F.col("half") + F.lit(int(up) << 33)).alias("v"), _cells(F.col("half"), up).alias("cells"))
         sides.append(cells.select("fp", "v", F.explode("cells").alias("cell")))
     spread = sides[0].unionByName(sides[1])
-    shared = spread.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    members = staged(spread.join(shared, "cell"), "simhash-cells")
-
-    few = members.where(F.col("n") <= SMALL_CELL)
+    crowded = staged(spread.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_CELL), "crowded-cells")
+    few = spread.join(crowded, "cell", "left_anti")
     a, b = few.alias("a"), few.alias("b")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits
     own = (F.col("a.v") != F.col("b.v")) | (F.col("a.v") == F.col("a.cell"))  # equal halves meet once, not in each cell
@@ -103,7 +101,7 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK)
     block = F.pmod(F.xxhash64("fp"), blocks)
     many = (
-        members.where(F.col("n") > SMALL_CELL)
+        spread.join(crowded, "cell")
         .select("cell", "fp", block.alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("y"))
         .select("cell", "fp", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
     )
