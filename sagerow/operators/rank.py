@@ -2,11 +2,11 @@
 
 ``global_index`` is the distributed replacement for an unpartitioned
 ``row_number() over (order by ...)`` (which runs in one task): rows are
-bucketed by a coarse, order-preserving key; a count table with one row per
-bucket gives each bucket its starting offset, and the position inside a
-bucket is a ``row_number`` partitioned by the bucket. With ``partition_by``
-the same is done per group, and a hot group is still spread over many
-buckets instead of landing in one task.
+range-partitioned on the whole order tuple by sampled quantiles, sorted
+inside their partition and written once with their local position; the
+partitions' row counts (one row per partition) give the offsets. A heavy
+value, an outlier or a hot group moves the sampled bounds, so no partition
+holds much more than the mean.
 """
 
 from __future__ import annotations
@@ -15,44 +15,31 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+from ..session import cut_lineage
 
+_LOCAL_BITS = 33  # of monotonically_increasing_id: the position inside a partition
 
-def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in cols]
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL equals NULL; the keys come from ``left``."""
+    if not keys:
+        return left.crossJoin(right)  # the right side is one row
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
-def hex_bucket(hex_col: Column | str, digits: int = 4) -> Column:
-    """Order-preserving bucket of a lowercase hex string (e.g. an md5 key)."""
-    c = F.col(hex_col) if isinstance(hex_col, str) else hex_col
-    return F.conv(F.substring(c, 1, digits), 16, 10).cast("bigint")
 
-
-def default_bucket(df: DataFrame, first: str, n_buckets: int) -> Column:
-    """A coarse bucket that is monotone in ``first``.
-
-    Numeric and time columns: equal-width buckets over [min, max] (one
-    two-value aggregate). Strings: the first two code points. Callers with
-    a heavily repeated leading column should pass their own bucket.
-    """
-    dtype = df.schema[first].dataType
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        v = F.unix_micros(F.col(first).cast("timestamp"))
-    elif isinstance(dtype, _NUMERIC):
-        v = F.col(first).cast("double")
-    elif isinstance(dtype, T.StringType):
-        c = F.col(first)
-        return (F.ascii(c).cast("bigint") * F.lit(1 << 21)) + F.ascii(F.substring(c, 2, 1)).cast("bigint")
-    else:
-        return F.lit(0)
-    lo, hi = df.agg(F.min(v), F.max(v)).first()
-    if lo is None or lo == hi:
-        return F.lit(0)
-    lo, hi = float(lo), float(hi)
-    width = (hi - lo) / n_buckets
-    return F.least(F.floor((v.cast("double") - F.lit(lo)) / F.lit(width)), F.lit(n_buckets - 1)).cast("bigint")
+def range_sorted(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
+    """The rows written in the order of ``keys`` (sampled range partitions), with
+    ``_task`` (the partition) and ``_local`` (the position inside it)."""
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = cut_lineage(ranged.withColumn("_mid", F.monotonically_increasing_id()), "ranked")
+    local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
+    return rows.select(*df.columns, F.shiftright("_mid", _LOCAL_BITS).alias("_task"), local.alias("_local"))
 
 
 def global_index(
@@ -60,36 +47,29 @@ def global_index(
     order: Sequence[str | Column],
     out: str = "idx",
     partition_by: Sequence[str] = (),
-    bucket: Column | None = None,
-    n_buckets: int = 4096,
 ) -> DataFrame:
     """Add a dense 0-based position in the total order ``order`` (WIN-1),
     optionally restarting per ``partition_by`` group.
 
     ``order`` must be a total order inside a group (break ties with a
-    unique column); ``bucket`` must be non-decreasing along ``order``.
+    unique column). NULL order keys come first (unless the order says
+    otherwise) and NULL groups are groups like any other. The rows are
+    written once, range-partitioned, to the shared folder; Spark samples the
+    input for the bounds.
     """
     parts = list(partition_by)
-    if bucket is None:
-        first = order[0]
-        if not isinstance(first, str):
-            raise ValueError("pass bucket= when the leading order key is an expression")
-        bucket = default_bucket(df, first, n_buckets)
-    b = df.withColumn("_bkt", bucket)
-    keys = parts + ["_bkt"]
-    counts = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    rows = range_sorted(df, [*parts, *order])
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per range partition, whatever the data: safe to broadcast
+    offsets = F.broadcast(offsets.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    ranked = rows.join(offsets, "_task").withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
+    ranked = ranked.drop("_task", "_local", "_off")
     if not parts:
-        # one row per bucket: bounded by n_buckets, safe to broadcast
-        offsets = F.broadcast(offsets)
-    w = Window.partitionBy(*keys).orderBy(*_as_cols(order))
-    ranked = b.withColumn("_pos", F.row_number().over(w))
-    return (
-        ranked.join(offsets, keys)
-        .withColumn(out, (F.col("_off") + F.col("_pos") - 1).cast("bigint"))
-        .drop("_bkt", "_pos", "_off")
-    )
+        return ranked
+    # groups are contiguous in the global order: a group's first position is its start
+    starts = ranked.groupBy(*parts).agg(F.min(out).alias("_start"))
+    return join_null_safe(ranked, starts, parts).withColumn(out, F.col(out) - F.col("_start")).drop("_start")
 
 
 # ---- seeded order (SRT-1/2) ---------------------------------------------
@@ -103,7 +83,7 @@ def shuffle_key(seed: int | str, id_col: str | Column) -> Column:
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 0, out: str = "shuffle_rank") -> DataFrame:
     """Global seeded shuffle as a dense position (SRT-1)."""
     keyed = df.withColumn("_skey", shuffle_key(seed, id_col))
-    return global_index(keyed, ["_skey", id_col], out=out, bucket=hex_bucket("_skey", 4)).drop("_skey")
+    return global_index(keyed, ["_skey", id_col], out=out).drop("_skey")
 
 
 def first_n_of_shuffle(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:

@@ -32,11 +32,8 @@ def piece_counts(df: DataFrame, text_cols: Sequence[str], pieces: Pieces = byte_
 
 def vocab_from_counts(counts: DataFrame, first_id: int = 3) -> DataFrame:
     """Dense ids in (count desc, token asc) order starting at ``first_id`` (TOK-8)."""
-    # most pieces share a count of 1, so the bucket also splits by the
-    # piece's leading code points
     neg = counts.withColumn("_neg", -F.col("n"))
-    bucket = F.struct(F.col("_neg"), F.ascii("token"), F.ascii(F.substring("token", 2, 1)))
-    ranked = global_index(neg, ["_neg", "token"], out="_r", bucket=bucket)
+    ranked = global_index(neg, ["_neg", "token"], out="_r")
     return ranked.select("token", (F.col("_r") + first_id).cast("int").alias("id"), "n")
 
 

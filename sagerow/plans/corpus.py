@@ -100,7 +100,7 @@ FROM orders""",
 )
 def orders_two_key_sort(spark: SparkSession, d: str) -> DataFrame:
     """Orders by date ascending then price descending, as dense positions
-    (range-bucketed rank, no single-task sort)."""
+    (range-partitioned rank, no single-task sort)."""
     o = read_table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
     r = rk.global_index(o, ["o_orderdate", F.col("o_totalprice").desc(), "o_orderkey"], out="pos")
     return r.select("o_orderkey", "pos")
@@ -145,8 +145,7 @@ def repeat_epochs(spark: SparkSession, d: str) -> DataFrame:
     e = rk.repeat_epochs(read_table(spark, d, "documents").select("doc_id"), 3)
     key = F.md5(F.concat(F.col("epoch").cast("string"), F.lit(":"), F.col("doc_id").cast("string")))
     e = e.withColumn("_k", key)
-    bucket = F.col("epoch").cast("bigint") * 65536 + rk.hex_bucket("_k", 4)
-    r = rk.global_index(e, ["epoch", "_k", "doc_id"], out="pos", bucket=bucket)
+    r = rk.global_index(e, ["epoch", "_k", "doc_id"], out="pos")
     return r.select("epoch", "doc_id", "pos")
 
 

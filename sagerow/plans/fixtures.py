@@ -173,7 +173,7 @@ def raw_preds(spark: SparkSession, d: str) -> DataFrame:
     event inside its user, by (ts, event_id). Distributed per-user rank,
     so a hot user is spread over many tasks."""
     ev = read_table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
-    r = global_index(ev, ["ts", "event_id"], out="run", partition_by=["user_id"], n_buckets=64)
+    r = global_index(ev, ["ts", "event_id"], out="run", partition_by=["user_id"])
     return r.select(
         F.col("run").cast("bigint").alias("run"),
         F.col("user_id").alias("task_id"),
@@ -206,7 +206,7 @@ preds AS (
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:
     ev = read_table(spark, d, "events").select("user_id", "ts", "event_id", "value")
-    r = global_index(ev, ["ts", "event_id"], out="step", partition_by=["user_id"], n_buckets=64)
+    r = global_index(ev, ["ts", "event_id"], out="step", partition_by=["user_id"])
     return r.select(
         F.col("user_id").alias("run_id"), F.col("step").cast("bigint").alias("step"), F.lit("value").alias("name"), "value"
     )

@@ -73,4 +73,13 @@ def cut_lineage(df: DataFrame, name: str = "stage", partitions: int | None = Non
     if partitions:
         df = df.repartition(partitions)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete the folders a ``cut_lineage`` table was read from (once nothing reads it any more)."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
