@@ -12,6 +12,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rank import global_index, halo_chunks, join_null_safe
+
+#: Entries folded at a time by the EMA's scan; each level up has a FAN-th of the rows.
+FAN = 64
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -50,7 +55,8 @@ def power_law_plus_constant_fit(df: DataFrame, keys: list[str], x: str, y: str,
         F.sum(w * lx * ld).alias("sxy"),
         F.sum(F.when(F.col("_d") <= 0, 1).otherwise(0)).alias("_bad"),
     )
-    b = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
+    # one x value leaves the slope open: NULL, never an error
+    b = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
     fit = fit.filter(F.col("_bad") == 0).withColumn("b", b).withColumn(
         "a", F.exp((F.col("sy") - F.col("b") * F.col("sx")) / F.col("n"))
     )
@@ -68,7 +74,8 @@ def isoflop_optimum(df: DataFrame, keys: list[str], params: str, loss: str, grid
     points from min−margin to max+margin of ln(params); returns the first
     grid argmin and its loss (AGG-15). Sums are centred on the group mean of
     ln(params) for conditioning; the 3×3 normal equations are solved by
-    Cramer's rule as column expressions."""
+    Cramer's rule as column expressions. A group with fewer than three
+    sizes has no quadratic: its optimum is NULL."""
     lx = F.log(_c(params))
     m = df.groupBy(*keys).agg(F.avg(lx).alias("_mx"), F.min(lx).alias("_lo"), F.max(lx).alias("_hi"))
     u = F.log(F.col(params)) - F.col("_mx")
@@ -90,9 +97,9 @@ def isoflop_optimum(df: DataFrame, keys: list[str], params: str, loss: str, grid
 
     # [s0 s1 s2; s1 s2 s3; s2 s3 s4] · [c0 c1 c2] = [t0 t1 t2]
     det = det3(c["s0"], c["s1"], c["s2"], c["s1"], c["s2"], c["s3"], c["s2"], c["s3"], c["s4"])
-    c0 = det3(c["t0"], c["s1"], c["s2"], c["t1"], c["s2"], c["s3"], c["t2"], c["s3"], c["s4"]) / det
-    c1 = det3(c["s0"], c["t0"], c["s2"], c["s1"], c["t1"], c["s3"], c["s2"], c["t2"], c["s4"]) / det
-    c2 = det3(c["s0"], c["s1"], c["t0"], c["s1"], c["s2"], c["t1"], c["s2"], c["s3"], c["t2"]) / det
+    c0 = F.try_divide(det3(c["t0"], c["s1"], c["s2"], c["t1"], c["s2"], c["s3"], c["t2"], c["s3"], c["s4"]), det)
+    c1 = F.try_divide(det3(c["s0"], c["t0"], c["s2"], c["s1"], c["t1"], c["s3"], c["s2"], c["t2"], c["s4"]), det)
+    c2 = F.try_divide(det3(c["s0"], c["s1"], c["t0"], c["s1"], c["s2"], c["t1"], c["s2"], c["s3"], c["t2"]), det)
     coef = s.select(*keys, "_mx", (F.col("_lo") - margin).alias("lo"), (F.col("_hi") + margin).alias("hi"),
                     c0.alias("c0"), c1.alias("c1"), c2.alias("c2"))
     t = F.col("lo") + F.col("_i") * (F.col("hi") - F.col("lo")) / F.lit(grid - 1)
@@ -117,7 +124,7 @@ def within_group_bounds(df: DataFrame, bounds: DataFrame, keys: list[str], x: st
     """Rows with lo ≤ x ≤ hi of their own group (FIL-9). The bounds table has
     one row per group; the number of groups is not bounded, so AQE decides
     at run time whether it is small enough to broadcast."""
-    return df.join(bounds, keys).filter(F.col(x).between(F.col("lo"), F.col("hi")))
+    return join_null_safe(df, bounds, keys).filter(F.col(x).between(F.col("lo"), F.col("hi")))
 
 
 def masked_weighted_mean(df: DataFrame, keys: list[str], x: str, mask: Column, w: Column) -> DataFrame:
@@ -154,7 +161,7 @@ def quantile_clip(df: DataFrame, keys: list[str], x: str, p: float, floor_val: f
     which keeps a hot group's state bounded."""
     q = F.percentile(F.abs(_c(x)), p) if exact else F.percentile_approx(F.abs(_c(x)), p, 10000)
     s = df.groupBy(*keys).agg(F.greatest(q, F.lit(floor_val)).alias("_s"))
-    j = df.join(s, keys)
+    j = join_null_safe(df, s, keys)
     return j.withColumn("clipped", F.least(F.greatest(_c(x), -F.col("_s")), F.col("_s")) / F.col("_s")).drop("_s")
 
 
@@ -181,12 +188,10 @@ def rolling_quantile_clip(
     chunks of ``chunk`` positions with a ``window``-row halo, so one long
     series is spread over many tasks. ``dense_order`` says ``order`` already
     is that position (0, 1, 2, ... per key) and skips the ranking."""
-    from .rank import global_index, halo_chunks
-
     if dense_order:
         pos = df.withColumn("_rpos", F.col(order).cast("bigint"))
     else:
-        pos = global_index(df, [order], out="_rpos", partition_by=keys, n_buckets=256)
+        pos = global_index(df, [order], out="_rpos", partition_by=keys)
     h = halo_chunks(pos, "_rpos", max(chunk, 2 * window), window)
     w = Window.partitionBy(*keys, "_chunk").orderBy("_rpos").rowsBetween(-window, -1)
     if fill is None:
@@ -199,105 +204,107 @@ def rolling_quantile_clip(
     return out.withColumn("clipped", F.when(F.col("q").isNull(), _c(x)).otherwise(F.least(_c(x), F.col("q"))))
 
 
+def _fold(history: Column, decay: float) -> Column:
+    """``acc·decay + entry`` over (p1, p2) entries, oldest first (at most FAN of them)."""
+    zero = F.struct(F.lit(0.0).alias("p1"), F.lit(0.0).alias("p2"))
+    return F.aggregate(
+        history, zero,
+        lambda acc, e: F.struct((acc["p1"] * decay + e["p1"]).alias("p1"), (acc["p2"] * decay + e["p2"]).alias("p2")),
+    )
+
+
+def _entering_state(totals: DataFrame, keys: list[str], span: int, log_beta: float, last: int) -> DataFrame:
+    """(keys, idx, c): the folded state before each of the ``totals`` (keys, idx, t).
+
+    Every total stands for ``span`` rows. Totals are folded in groups of
+    FAN; the groups' own totals go up one level, whose state comes back
+    down, so any series length takes log_FAN levels of bounded folds and
+    nothing older is dropped."""
+    decay = math.exp(span * log_beta)
+    grouped = totals.withColumn("_g", F.floor(F.col("idx") / FAN))
+    inside = Window.partitionBy(*keys, "_g").orderBy("idx")
+    own = _fold(F.collect_list("t").over(inside.rowsBetween(Window.unboundedPreceding, -1)), decay)
+    state = grouped.withColumn("c", own)
+    if last >= FAN:
+        full = grouped.withColumn("_s", _fold(F.collect_list("t").over(inside.rowsBetween(Window.unboundedPreceding, 0)), decay))
+        up = full.groupBy(*keys, F.col("_g").alias("idx")).agg(F.max_by("_s", "idx").alias("t"))
+        above = _entering_state(up, keys, span * FAN, log_beta, last // FAN)
+        above = above.select(*keys, F.col("idx").alias("_g"), F.col("c").alias("_u"))
+        passed = F.exp((F.col("idx") - F.col("_g") * FAN) * F.lit(span * log_beta))
+        state = join_null_safe(state, above, [*keys, "_g"]).withColumn(
+            "c",
+            F.struct(
+                (F.col("c.p1") + passed * F.col("_u.p1")).alias("p1"), (F.col("c.p2") + passed * F.col("_u.p2")).alias("p2")
+            ),
+        )
+    return state.select(*keys, "idx", "c")
+
+
 def ema_stats(
-    df: DataFrame, keys: list[str], order: str, x: str, beta: float, init: float = 1e-8, block: int = 16,
-    tol: float = 1e-18, dense_order: bool = False,
+    df: DataFrame, keys: list[str], order: str, x: str, beta: float, init: float = 1e-8, dense_order: bool = False,
 ) -> DataFrame:
     """Bias-corrected EMA mean and std per key, in step order (WIN-8).
 
     ``ema_n = β·ema_{n−1} + (1−β)·x_n`` from ``init``; the bias term follows
-    the same recursion towards 1. The series is cut into blocks of
-    ``block`` rows: inside a block powers of β stay small; across blocks the
-    state is folded over the last K block totals, where K covers the
-    horizon beyond which β^k < ``tol`` (older terms are below double
-    precision). No group is collected and no power overflows."""
-    from .rank import global_index, halo_chunks
-
-    horizon_blocks = int(math.ceil(math.log(tol) / math.log(beta) / block)) + 1
+    the same recursion towards 1. The recursion is an associative fold: rows
+    are folded in blocks of FAN consecutive positions, block totals in
+    blocks of FAN blocks, and so on; each block's entering state comes down
+    from the level above. Every row counts at every distance, a long series
+    spreads over many tasks, and no power overflows."""
     lb = math.log(beta)
     # dense per-key position without a whole-key window (or given)
     if dense_order:
         d = df.withColumn("_n", F.col(order).cast("bigint"))
     else:
-        d = global_index(df, [order], out="_n", partition_by=keys, n_buckets=256)
-    d = d.withColumn("_b", F.floor(F.col("_n") / block))
-    d = d.withColumn("_r", F.col("_n") - F.col("_b") * block)
+        d = global_index(df, [order], out="_n", partition_by=keys)
+    last = d.agg(F.max("_n")).first()[0] or 0
+    v = _c(x).cast("double")
+    d = d.withColumn("_b", F.floor(F.col("_n") / FAN)).withColumn("_e", F.struct(v.alias("p1"), (v * v).alias("p2")))
     inb = Window.partitionBy(*keys, "_b").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-    xv, xx = _c(x).cast("double"), _c(x).cast("double") * _c(x).cast("double")
-    wgt = F.exp(-F.col("_r") * lb)
-    d = d.withColumn("_p1", F.exp(F.col("_r") * lb) * F.sum(wgt * xv).over(inb)).withColumn(
-        "_p2", F.exp(F.col("_r") * lb) * F.sum(wgt * xx).over(inb)
-    )
-    # block totals: (sum over the block weighted to its end, block length)
-    tot = d.groupBy(*keys, "_b").agg(
-        F.max_by(F.struct("_p1", "_p2"), "_n").alias("_t"), F.count(F.lit(1)).alias("_len")
-    )
-    # block summaries in chunks with a horizon-sized halo: a long series is
-    # spread over many tasks
-    tot = halo_chunks(tot, "_b", max(100_000, 2 * horizon_blocks), horizon_blocks)
-    prev = Window.partitionBy(*keys, "_chunk").orderBy("_b").rowsBetween(-horizon_blocks, -1)
-    hist = F.collect_list(F.struct(F.col("_t._p1").alias("p1"), F.col("_t._p2").alias("p2"))).over(prev)
-    bb = math.exp(block * lb)
-    carry = tot.withColumn("_h", hist).filter(~F.col("_halo")).select(
-        *keys, "_b",
-        F.aggregate("_h", F.lit(0.0), lambda acc, s: acc * F.lit(bb) + s["p1"]).alias("_c1"),
-        F.aggregate("_h", F.lit(0.0), lambda acc, s: acc * F.lit(bb) + s["p2"]).alias("_c2"),
-    )
-    j = d.join(carry, keys + ["_b"])
-    decay = F.exp((F.col("_r") + 1) * lb)        # β^(r+1): carry state into row r of the block
-    n1 = F.col("_n") + 1                           # updates so far
-    bn = F.exp(n1 * lb)
-    e1 = F.lit(init) * bn + (1 - beta) * (decay * F.col("_c1") + F.col("_p1"))
-    e2 = F.lit(init) * bn + (1 - beta) * (decay * F.col("_c2") + F.col("_p2"))
+    d = d.withColumn("_p", _fold(F.collect_list("_e").over(inb), beta))
+    totals = d.groupBy(*keys, F.col("_b").alias("idx")).agg(F.max_by("_p", "_n").alias("t"))
+    carry = _entering_state(totals, keys, FAN, lb, last // FAN)
+    j = join_null_safe(d, carry.withColumnRenamed("idx", "_b"), [*keys, "_b"])
+    decay = F.exp((F.col("_n") - F.col("_b") * FAN + 1) * lb)  # the entering state's weight in this row
+    bn = F.exp((F.col("_n") + 1) * lb)
+    e1 = F.lit(init) * bn + (1 - beta) * (decay * F.col("c.p1") + F.col("_p.p1"))
+    e2 = F.lit(init) * bn + (1 - beta) * (decay * F.col("c.p2") + F.col("_p.p2"))
     bias = F.lit(init) * bn + (1 - bn)
     mean = e1 / bias
     std = F.sqrt(F.greatest(e2 / bias - mean * mean, F.lit(0.0)))
-    return j.withColumn("ema_mean", mean).withColumn("ema_std", std).drop("_n", "_b", "_r", "_p1", "_p2", "_c1", "_c2")
+    return j.withColumn("ema_mean", mean).withColumn("ema_std", std).drop("_n", "_b", "_e", "_p", "c")
 
 
 def interpolate(keypoints: DataFrame, probes: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """Piecewise-linear ``y(x)`` through each key's keypoints at the probe
     x's; outside the keypoint range the end segments are extended (JOI-9).
 
+    A key with one keypoint has that value everywhere; between keypoints of
+    one x the value is the left one's. Probes of a key without keypoints
+    give no row.
+
     No window spans a whole key: keypoints get a dense per-key rank, the
     union of keypoints and probes gets one too, and a probe's left keypoint
     index is its merged rank minus its rank among probes minus one. The two
     neighbours then come from equi-joins on (key, rank), which are unique,
     so a key holding a third of the rows is spread like any other. Ends use
     keypoints 0/1 and K-2/K-1."""
-    from .rank import global_index
-
     kp = keypoints.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    kr = global_index(kp, ["_x", "_y"], out="_i", partition_by=keys, n_buckets=256)
-    pr = global_index(probes.select(*keys, F.col(x).alias("_x")), ["_x"], out="_pi", partition_by=keys, n_buckets=256)
+    kr = global_index(kp, ["_x", "_y"], out="_i", partition_by=keys)
+    pr = global_index(probes.select(*keys, F.col(x).alias("_x")), ["_x"], out="_pi", partition_by=keys)
     merged = kr.select(*keys, "_x", F.lit(0).alias("_probe"), F.col("_i").alias("_tie"), F.lit(None).cast("bigint").alias("_pi")).unionByName(
         pr.select(*keys, "_x", F.lit(1).alias("_probe"), F.col("_pi").alias("_tie"), "_pi")
     )
-    m = global_index(merged, ["_x", "_probe", "_tie"], out="_m", partition_by=keys, n_buckets=256)
+    m = global_index(merged, ["_x", "_probe", "_tie"], out="_m", partition_by=keys)
     p = m.filter(F.col("_probe") == 1).select(*keys, "_x", (F.col("_m") - F.col("_pi") - 1).alias("_left"))
     k = kr.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
-    p = p.join(k, keys)
-    i0 = F.when(F.col("_left") < 0, F.lit(0)).when(F.col("_left") >= F.col("_k") - 1, F.col("_k") - 2).otherwise(F.col("_left"))
-    p = p.withColumn("_i0", i0.cast("bigint")).withColumn("_i1", (F.col("_i0") + 1).cast("bigint"))
+    p = join_null_safe(p, k, keys)
+    last = F.greatest(F.col("_k") - 2, F.lit(0))
+    i0 = F.least(F.greatest(F.col("_left"), F.lit(0)), last)
+    p = p.withColumn("_i0", i0.cast("bigint")).withColumn("_i1", F.least(F.col("_i0") + 1, F.col("_k") - 1).cast("bigint"))
     a_ = kr.select(*keys, F.col("_i").alias("_i0"), F.col("_x").alias("_x0"), F.col("_y").alias("_y0"))
     b_ = kr.select(*keys, F.col("_i").alias("_i1"), F.col("_x").alias("_x1"), F.col("_y").alias("_y1"))
-    j = p.join(a_, keys + ["_i0"]).join(b_, keys + ["_i1"])
-    val = F.col("_y0") + (F.col("_x") - F.col("_x0")) * (F.col("_y1") - F.col("_y0")) / (F.col("_x1") - F.col("_x0"))
+    j = join_null_safe(join_null_safe(p, a_, [*keys, "_i0"]), b_, [*keys, "_i1"])
+    slope = F.try_divide(F.col("_y1") - F.col("_y0"), F.col("_x1") - F.col("_x0"))
+    val = F.col("_y0") + F.coalesce((F.col("_x") - F.col("_x0")) * slope, F.lit(0.0))
     return j.select(*keys, F.col("_x").alias(x), val.alias(y))
-
-
-def _end_segments(keypoints: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """First two and last two keypoints per key (four small aggregates)."""
-    r1 = Window.partitionBy(*keys).orderBy(F.col(x))
-    r2 = Window.partitionBy(*keys).orderBy(F.col(x).desc())
-    k = keypoints.withColumn("_a", F.row_number().over(r1)).withColumn("_z", F.row_number().over(r2))
-    return k.groupBy(*keys).agg(
-        F.max(F.when(F.col("_a") == 1, F.col(x))).alias("_fx0"),
-        F.max(F.when(F.col("_a") == 1, F.col(y))).alias("_fy0"),
-        F.max(F.when(F.col("_a") == 2, F.col(x))).alias("_fx1"),
-        F.max(F.when(F.col("_a") == 2, F.col(y))).alias("_fy1"),
-        F.max(F.when(F.col("_z") == 2, F.col(x))).alias("_lx0"),
-        F.max(F.when(F.col("_z") == 2, F.col(y))).alias("_ly0"),
-        F.max(F.when(F.col("_z") == 1, F.col(x))).alias("_lx1"),
-        F.max(F.when(F.col("_z") == 1, F.col(y))).alias("_ly1"),
-    )

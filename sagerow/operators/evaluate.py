@@ -71,20 +71,23 @@ def check_one_gold(preds: DataFrame) -> DataFrame:
 
 
 def running_votes(preds: DataFrame) -> DataFrame:
-    """For every (task, run r): the vote over runs 0..r and whether it is right.
+    """For every (task, its k-th run): the vote over the first k runs and whether it is right.
 
-    Counts only grow, so the vote after run r is the running maximum of
+    Runs are counted per task in run order, so a task that misses a run has
+    no gap. Counts only grow, so the vote is the running maximum of
     ``(count so far, first run, pred)`` over the task's rows: one window
     pass, linear in the rows (no task × k expansion).
     """
     tp = Window.partitionBy("task_id", "pred").orderBy("run")
-    t = Window.partitionBy("task_id").orderBy("run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # one hash exchange on task_id serves all three windows (task, pred ⊇ task)
+    t = Window.partitionBy("task_id").orderBy("run")
+    upto = t.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one hash exchange on task_id serves all windows (task, pred ⊇ task); a task has at most one row per run
     x = preds.repartition("task_id").withColumn("_cnt", F.row_number().over(tp)).withColumn(
         "_first", F.min("run").over(Window.partitionBy("task_id", "pred"))
     )
-    best = F.max(F.struct(F.col("_cnt"), F.col("_first"), F.col("pred"))).over(t)
-    return x.withColumn("vote", best["pred"]).select("task_id", "run", "pred", "gold", "vote").withColumn(
+    best = F.max(F.struct(F.col("_cnt"), F.col("_first"), F.col("pred"))).over(upto)
+    x = x.withColumn("vote", best["pred"]).withColumn("k", F.row_number().over(t))
+    return x.select("task_id", "run", "k", "pred", "gold", "vote").withColumn(
         "vote_ok", F.col("vote").eqNullSafe(F.col("gold")).cast("int")
     )
 
@@ -94,22 +97,18 @@ def self_consistency(preds: DataFrame) -> DataFrame:
     first k runs, accuracy over all tasks. A task with fewer than k runs
     keeps its full-run vote, as a list slice would."""
     rv = running_votes(preds)
-    w = Window.partitionBy("task_id").orderBy("run")
+    w = Window.partitionBy("task_id").orderBy("k")
     delta = rv.withColumn("_d", F.col("vote_ok") - F.lag("vote_ok", 1, 0).over(w))
-    per_k = delta.groupBy((F.col("run") + 1).alias("k")).agg(
-        F.sum("_d").alias("_d"), F.count(F.lit(1)).alias("_n")
-    )
+    per_k = delta.groupBy("k").agg(F.sum("_d").alias("_d"), F.count(F.lit(1)).alias("_n"))
     # one row per k (bounded by the run count): one-task windows are fine;
-    # every task has a run 0, so the tasks are the rows at k = 1
+    # every task has a first run, so the tasks are the rows at k = 1
     everything = Window.partitionBy()
     cum = per_k.withColumn(
         "correct", F.sum("_d").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
     ).withColumn("total", F.max(F.when(F.col("k") == 1, F.col("_n"))).over(everything))
-    return (
-        cum.select(
-            F.col("k").cast("bigint").alias("k"),
-            F.col("total").cast("bigint").alias("total"),
-            F.col("correct").cast("bigint").alias("correct"),
-            (F.col("correct") / F.col("total")).alias("acc"),
-        )
+    return cum.select(
+        F.col("k").cast("bigint").alias("k"),
+        F.col("total").cast("bigint").alias("total"),
+        F.col("correct").cast("bigint").alias("correct"),
+        (F.col("correct") / F.col("total")).alias("acc"),
     )

@@ -17,7 +17,7 @@ from . import fixtures as fx
 from .registry import query, with_ctes
 
 BUDGET = 1e13 * 2**4
-PLUS_CONST_GRID = 100
+PLUS_CONST_GRID = 10_000
 BUCKET_EVERY = 10
 EMA_BETA = 0.9
 PROBE_SECONDS = 21600
@@ -306,10 +306,10 @@ def rolling_quantile(spark: SparkSession, d: str) -> DataFrame:
     "WIN-7",
     with_ctes(
         fx.METRICS_SQL,
-        """h AS (SELECT *, coalesce(list(value) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), [])
+        """h AS (SELECT *, coalesce(list(value) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING), [])
                  AS hist FROM metrics)""",
-        """b AS (SELECT *, list_sort(list_concat(hist, list_transform(range(50 - len(hist)), lambda x: 1e8))) AS buf FROM h)""",
-        """p AS (SELECT *, 49 * 0.95 AS pos FROM b)""",
+        """b AS (SELECT *, list_sort(list_concat(hist, list_transform(range(1000 - len(hist)), lambda x: 1e8))) AS buf FROM h)""",
+        """p AS (SELECT *, 999 * 0.95 AS pos FROM b)""",
     )
     + """
 SELECT run_id, step,
@@ -318,8 +318,8 @@ SELECT run_id, step,
 FROM p""",
 )
 def rolling_quantile_filled(spark: SparkSession, d: str) -> DataFrame:
-    """Ring-buffer form: the history starts as 50 copies of 1e8."""
-    r = an.rolling_quantile_clip(fx.metrics(spark, d), ["run_id"], "step", "value", 0.95, 50, fill=1e8, dense_order=True)
+    """Ring-buffer form: the history starts as 1000 copies of 1e8."""
+    r = an.rolling_quantile_clip(fx.metrics(spark, d), ["run_id"], "step", "value", 0.95, 1000, fill=1e8, dense_order=True)
     return r.select("run_id", "step", F.round("q", 6).alias("q"), F.round("clipped", 6).alias("clipped"))
 
 
@@ -360,8 +360,8 @@ nb AS (SELECT *,
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY x) AS a, row_number() OVER (PARTITION BY user_id ORDER BY x DESC) AS z FROM kp),
 ends AS (SELECT user_id,
   max(CASE WHEN a = 1 THEN x END) AS fx0, max(CASE WHEN a = 1 THEN y END) AS fy0,
-  max(CASE WHEN a = 2 THEN x END) AS fx1, max(CASE WHEN a = 2 THEN y END) AS fy1,
-  max(CASE WHEN z = 2 THEN x END) AS lx0, max(CASE WHEN z = 2 THEN y END) AS ly0,
+  coalesce(max(CASE WHEN a = 2 THEN x END), max(CASE WHEN a = 1 THEN x END)) AS fx1, coalesce(max(CASE WHEN a = 2 THEN y END), max(CASE WHEN a = 1 THEN y END)) AS fy1,
+  coalesce(max(CASE WHEN z = 2 THEN x END), max(CASE WHEN z = 1 THEN x END)) AS lx0, coalesce(max(CASE WHEN z = 2 THEN y END), max(CASE WHEN z = 1 THEN y END)) AS ly0,
   max(CASE WHEN z = 1 THEN x END) AS lx1, max(CASE WHEN z = 1 THEN y END) AS ly1 FROM r GROUP BY 1),
 seg AS (SELECT nb.user_id, nb.x,
   CASE WHEN lx IS NULL THEN fx0 WHEN rx IS NULL THEN ends.lx0 ELSE lx END AS x0,
@@ -369,7 +369,7 @@ seg AS (SELECT nb.user_id, nb.x,
   CASE WHEN lx IS NULL THEN fx1 WHEN rx IS NULL THEN ends.lx1 ELSE rx END AS x1,
   CASE WHEN lx IS NULL THEN fy1 WHEN rx IS NULL THEN ends.ly1 ELSE ry END AS y1
   FROM nb JOIN ends USING (user_id) WHERE probe = 1)
-SELECT user_id, CAST(x AS BIGINT) AS t, round(y0 + (x - x0) * (y1 - y0) / (x1 - x0), 6) AS value FROM seg"""
+SELECT user_id, CAST(x AS BIGINT) AS t, round(y0 + coalesce((x - x0) * (y1 - y0) / nullif(x1 - x0, 0), 0), 6) AS value FROM seg"""
 
 
 @query("interpolate_user_values", "JOI-9", INTERP_SQL)
