@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import byte_level_pieces
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_stage
 
 
 # ---- byte ↔ printable-symbol mapping (by rule) ------------------------------------------
@@ -115,48 +115,32 @@ def merge_pair(w: Column, a: str, b: str) -> Column:
     return F.regexp_replace(w, pattern, rep)
 
 
-def _disjoint(pairs: list, limit: int) -> list:
-    """Greedy: keep pairs in rank order that share no symbol with a kept one
-    (merged results count as used symbols too)."""
-    used, out = set(), []
-    for p in pairs:
-        if len(out) >= limit:
-            break
-        ab = p["a"] + p["b"]
-        if p["a"] in used or p["b"] in used or ab in used:
-            continue
-        used.update((p["a"], p["b"], ab))
-        out.append(p)
-    return out
+MERGE_SCHEMA = "rank int, a string, b string, count bigint"
 
 
-def train_bpe(words: DataFrame, merges: int, checkpoint_every: int = 5, per_round: int = 1) -> DataFrame:
+def train_bpe(words: DataFrame, merges: int, checkpoint_every: int = 5) -> DataFrame:
     """Learn ``merges`` merges from a (token, n) frequency table (TOK-4).
 
     Best pair per round: highest count, then (a, b) ascending. Returns
-    (rank, a, b, count). ``per_round = 1`` is the exact algorithm. A larger
-    value is the mode for big vocabularies: each round accepts up to that
-    many of the top pairs that share no symbol (so their merges commute),
-    which cuts the number of passes; it is approximate, because a pair made
-    by one of this round's merges can outrank a later accepted pair."""
+    (rank, a, b, count). The word table is rewritten every few rounds, and
+    the copy before it deleted."""
     spark = words.sparkSession
     parts = spark.sparkContext.defaultParallelism * 2
-    w = cut_lineage(word_table(words), "bpe-words", parts)
+    w = stage = cut_lineage(word_table(words), "bpe-words", parts)
     learned = []
-    rounds = 0
     while len(learned) < merges:
-        want = min(per_round, merges - len(learned))
-        top = pair_counts(w).orderBy(F.desc("count"), "a", "b").limit(max(1, 4 * want) if want > 1 else 1).collect()
+        top = pair_counts(w).orderBy(F.desc("count"), "a", "b").limit(1).collect()
         if not top:
             break
-        chosen = _disjoint(top, want)
-        for p in chosen:
-            learned.append((len(learned), p["a"], p["b"], int(p["count"])))
-            w = w.withColumn("w", merge_pair(F.col("w"), p["a"], p["b"]))
-        rounds += 1
-        if rounds % checkpoint_every == 0:
+        p = top[0]
+        learned.append((len(learned), p["a"], p["b"], int(p["count"])))
+        w = w.withColumn("w", merge_pair(F.col("w"), p["a"], p["b"]))
+        if len(learned) % checkpoint_every == 0:
             w = cut_lineage(w.groupBy("w").agg(F.sum("n").alias("n")), "bpe-words", parts)
-    return spark.createDataFrame(learned, "rank int, a string, b string, count bigint")
+            drop_stage(stage)
+            stage = w
+    drop_stage(stage)
+    return spark.createDataFrame(learned, MERGE_SCHEMA)
 
 
 # ---- vocabulary, encode, decode -----------------------------------------------------------

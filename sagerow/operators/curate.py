@@ -58,18 +58,21 @@ def attach_prompts(questions: DataFrame, id_cols: list[str], seed: int = 0, q_co
 
 def run_model(
     df: DataFrame,
-    fn: Callable[[pd.Series], pd.Series],
+    fn: Callable[[pd.Series], pd.Series] | None,
     in_col: str,
     out_col: str,
+    setup: Callable[[], Callable[[pd.Series], pd.Series]] | None = None,
 ) -> DataFrame:
     """Apply a user batch callable (prompts → texts) over Arrow batches
     (UDF-1 / UDF-2 hook). Runs where the partitions are; nothing is
-    gathered on the driver."""
+    gathered on the driver. ``setup`` runs once per task and returns the
+    callable (loading a model there), in place of ``fn``."""
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = setup() if setup is not None else fn
         for pdf in it:
-            pdf[out_col] = fn(pdf[in_col]).astype(object)
+            pdf[out_col] = call(pdf[in_col]).astype(object)
             yield pdf
 
     return df.mapInPandas(batches, schema)
@@ -96,11 +99,18 @@ def strip_nonempty(df: DataFrame) -> DataFrame:
 
 
 def dedup_first_wins(df: DataFrame, key: str = "question", order_col: str = "seq") -> DataFrame:
-    """Keep the first arrival per key (AGG-9). ``min_by`` is a partial
-    aggregate, so a hot key is pre-reduced before the shuffle."""
-    others = [c for c in df.columns if c != key]
-    agg = df.groupBy(key).agg(F.min_by(F.struct(*others), F.col(order_col)).alias("_r"))
-    return agg.select(key, *[F.col(f"_r.{c}").alias(c) for c in others]).select(*df.columns)
+    """Keep the first arrival per key (AGG-9).
+
+    The first position per key is a hash aggregate on the key's 64-bit hash
+    and the key itself, pre-reduced before the shuffle; the rows then join
+    their first position, so no row is sorted by its text. Of rows that
+    share both key and position one stays."""
+    hashed = df.withColumn("_h", F.xxhash64(key))
+    firsts = hashed.groupBy("_h", key).agg(F.min(order_col).alias("_first"))
+    firsts = firsts.select(F.col("_h").alias("_fh"), F.col(key).alias("_fk"), "_first")
+    same = (F.col("_h") == F.col("_fh")) & F.col(key).eqNullSafe(F.col("_fk")) & F.col(order_col).eqNullSafe(F.col("_first"))
+    kept = hashed.join(firsts, same, "left_semi")
+    return kept.dropDuplicates(["_h", order_col, key]).select(*df.columns)
 
 
 def length_filter(df: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -118,7 +128,8 @@ def curate(df: DataFrame, min_chars: int = MIN_CHARS, filter_first: bool = False
 
 def not_seen(new: DataFrame, seen: DataFrame, key: str = "question") -> DataFrame:
     """New samples whose question was not accepted before (JOI-6)."""
-    return new.join(seen.select(key).distinct(), key, "left_anti")
+    old = seen.select(F.xxhash64(key).alias("_sh"), F.col(key).alias("_sk"))
+    return new.join(old, (F.xxhash64(new[key]) == F.col("_sh")) & (new[key] == F.col("_sk")), "left_anti")
 
 
 def score_filter(df: DataFrame, score_text: str, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:

@@ -23,7 +23,7 @@ from .registry import query, with_ctes
 from .tasks import GSM_TASKS_SQL, WORD_TOKENS, sql_pieces, sql_split_gsm8k, sql_strip
 
 N_VALID = 100
-SFT_MAX_LEN = 128
+SFT_MAX_LEN = 512
 JUDGE_THRESHOLD = 0.8
 
 
@@ -223,13 +223,9 @@ def label_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "score", kept.alias("kept"))
 
 
-def _collapse_sql(x: str) -> str:
-    return sql_strip(f"regexp_replace({x}, '\\s+', ' ', 'g')")
-
-
 SFT_SQL = CURATED_SQL + f""",
-sft AS (SELECT seq, 'Question: ' || {_collapse_sql('question')} || chr(10) || 'Answer:' AS prompt,
-               'Question: ' || {_collapse_sql('question')} || chr(10) || 'Answer:' || ' ' || {_collapse_sql('answer')} AS full_text
+sft AS (SELECT seq, 'Question: ' || question || chr(10) || 'Answer:' AS prompt,
+               'Question: ' || question || chr(10) || 'Answer:' || ' ' || answer AS full_text
         FROM curated),
 pieces AS (SELECT seq, kind, unnest(p) AS token, generate_subscripts(p, 1) AS pos
            FROM (SELECT seq, 'p' AS kind, {sql_pieces('prompt')} AS p FROM sft
@@ -263,8 +259,8 @@ def sft_rows(spark: SparkSession, d: str) -> DataFrame:
     c = curated(spark, d)
     t = c.select(
         "seq",
-        tx.sft_prompt(tx.collapse_ws("question")).alias("prompt"),
-        tx.sft_full_text(tx.collapse_ws("question"), tx.collapse_ws("answer")).alias("full_text"),
+        tx.sft_prompt("question").alias("prompt"),
+        tx.sft_full_text("question", "answer").alias("full_text"),
     )
     counts = vb.piece_counts(t, ["full_text"])
     vocab = vb.vocab_from_counts(counts, first_id=3)
@@ -367,20 +363,22 @@ def seed_questions(spark: SparkSession, d: str) -> DataFrame:
 COMBINED_SQL = with_ctes(fx.TASK_LINES_SQL, GSM_TASKS_SQL, CURATED_SQL.removeprefix("WITH ")) + f"""
 SELECT task_id, 'original' AS origin, src, CAST(len(tgt) AS INTEGER) AS n_thoughts FROM gsm_tasks
 UNION ALL
-SELECT CAST(8000 + row_number() OVER (ORDER BY seq) - 1 AS BIGINT), 'generated', question,
+SELECT CAST(greatest(8000, (SELECT count(*) FROM gsm_tasks)) + row_number() OVER (ORDER BY seq) - 1 AS BIGINT), 'generated', question,
        CAST(len({sql_split_gsm8k('answer')}) AS INTEGER) FROM curated"""
 
 
 @query("combined_training_set", "SET-1 WIN-2 FIL-2", COMBINED_SQL)
 def combined_training_set(spark: SparkSession, d: str) -> DataFrame:
-    """Original tasks ∪ curated generated samples; generated ids start at
-    8000 in order of the valid rows."""
+    """Original tasks ∪ curated generated samples; generated ids follow in
+    order of the valid rows, from 8000 or the number of originals, whichever
+    is larger, so no id occurs twice."""
     from ..config import GENERATED_TASK_ID_START
     from ..sources.tasks import gsm8k_tasks
 
     orig = gsm8k_tasks(fx.task_lines(spark, d)).select("task_id", F.lit("original").alias("origin"), "src", "tgt")
+    first = max(GENERATED_TASK_ID_START, orig.count())
     gen = global_index(curated(spark, d), ["seq"], out="_r").select(
-        (F.col("_r") + GENERATED_TASK_ID_START).cast("bigint").alias("task_id"),
+        (F.col("_r") + first).cast("bigint").alias("task_id"),
         F.lit("generated").alias("origin"),
         F.col("question").alias("src"),
         tx.split_gsm8k_target("answer").alias("tgt"),

@@ -21,8 +21,8 @@ from .registry import query, with_ctes
 
 # word-level vocabulary built from the task text: specials first
 WORD_TOKENS = Tokens(eos_id=0, sep_id=1, pad_id=2)
-SEQ_LEN = 48
-TEST_SEQ_LEN = 64
+SEQ_LEN = 256
+TEST_SEQ_LEN = 256
 BATCH = 8
 
 
@@ -59,12 +59,20 @@ gsm_tasks AS (
   FROM task_lines WHERE {valid_sql('value')})
 """
 
-GPT2_NO_LOOKAHEAD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+# White space by code point, as the engine's Unicode class has it.
+SQL_WS = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SQL_MARK = "\ue000"
+GPT2_NO_LOOKAHEAD = (
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SQL_WS}\p{{L}}\p{{N}}{SQL_MARK}]+|[{SQL_WS}]+|{SQL_MARK}"
+)
 
 
 def sql_pieces(x: str) -> str:
+    """GPT-2 pieces without look-ahead: a white-space run before text is cut
+    before its last character by a mark, which is dropped again."""
     pattern = GPT2_NO_LOOKAHEAD.replace("'", "''")
-    return f"regexp_extract_all({x}, '{pattern}')"
+    cut = f"regexp_replace({x}, '([{SQL_WS}]+)([{SQL_WS}])([^{SQL_WS}])', '\\1{SQL_MARK}\\2\\3', 'g')"
+    return f"list_filter(regexp_extract_all({cut}, '{pattern}'), lambda q: q <> '{SQL_MARK}')"
 
 
 # pieces of src (k = 0) and of each thought (k = 1..n) with their positions
@@ -125,18 +133,17 @@ def task_ids(tasks: DataFrame, vocab: DataFrame | None = None, pieces: DataFrame
     p = task_pieces(tasks) if pieces is None else pieces
     v = task_vocab(tasks, p) if vocab is None else vocab
     j = p.join(v.select("token", "id"), "token", "left")
-    # one regroup per task: (k, pos, id) sorted, then split by k
-    per_task = j.groupBy("task_id").agg(
-        F.array_sort(F.collect_list(F.struct("k", "pos", "id"))).alias("_a"), F.max("k").alias("_n")
+    # pieces of one text, then the texts of one task: source first, thoughts after it
+    sorted_ids = F.array_sort(F.collect_list(F.struct("pos", "id")))
+    per_text = j.groupBy("task_id", "k").agg(sorted_ids.alias("_a"))
+    per_text = per_text.select(
+        "task_id", "k", F.transform(F.filter("_a", lambda s: s["pos"].isNotNull()), lambda s: s["id"]).alias("ids")
     )
-
-    def ids_of(k):
-        return F.transform(F.filter("_a", lambda s: (s["k"] == k) & s["pos"].isNotNull()), lambda s: s["id"])
-
+    per_task = per_text.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("_t"))
     return per_task.select(
         "task_id",
-        ids_of(F.lit(-1)).alias("src_ids"),
-        F.transform(F.sequence(F.lit(0), F.col("_n")), lambda i: ids_of(i)).alias("tgt_ids_list"),
+        F.get("_t", 0)["ids"].alias("src_ids"),
+        F.transform(F.slice("_t", F.lit(2), F.size("_t") - 1), lambda s: s["ids"]).alias("tgt_ids_list"),
     )
 
 
@@ -298,7 +305,7 @@ TEST_SQL = with_ctes(
     TASK_PIECES_SQL,
     f"""tst AS (
   SELECT task_id, list_concat(src_ids, [1]) AS s, len(src_ids) + 1 AS src_len, tgt_ids_list[1] AS first_thought
-  FROM task_ids WHERE len(src_ids) < {TEST_SEQ_LEN})""",
+  FROM task_ids)""",
     f"""gen AS (
   SELECT task_id, s, src_len,
          list_concat(s, first_thought, list_transform(range({TEST_SEQ_LEN} - len(s) - len(first_thought)), lambda x: 2)) AS g
@@ -320,13 +327,12 @@ FROM moved"""
 
 @query("test_collation_shift_sep", "FIL-7 SCA-14 SCA-15 SCA-18", TEST_SQL)
 def test_collation_shift_sep(spark: SparkSession, d: str) -> DataFrame:
-    """Test rows ``src + SEP`` padded to the sequence length (sources that do
-    not fit are filtered here; ``strict_test_rows`` raises instead), then one
-    refinement round: the first thought is written after SEP and the SEP is
-    moved to the first pad position."""
+    """Test rows ``src + SEP`` padded to the sequence length (a source that
+    does not fit stops the job), then one refinement round: the first thought
+    is written after SEP and the SEP is moved to the first pad position."""
     tk = WORD_TOKENS
     t = gsm_tasks_df(spark, d)
-    ids = task_ids(t).filter(F.size("src_ids") < TEST_SEQ_LEN)
+    ids = strict_test_rows(task_ids(t), TEST_SEQ_LEN)
     s = F.concat(F.col("src_ids"), F.array(F.lit(tk.sep_id)))
     x = ids.select("task_id", s.alias("s"), (F.size("src_ids") + 1).alias("src_len"), F.get("tgt_ids_list", 0).alias("first"))
     gen = x.withColumn("g", ar.right_pad(F.concat("s", "first"), TEST_SEQ_LEN, tk))
@@ -380,8 +386,8 @@ def length_bucketed_batches(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-REFINE_LEN = 128
-REFINE_ROUNDS = 4
+REFINE_LEN = 256
+REFINE_ROUNDS = 12
 
 
 def demo_thought_writer(tokens: Tokens = WORD_TOKENS):
@@ -394,7 +400,7 @@ def demo_thought_writer(tokens: Tokens = WORD_TOKENS):
             ids = list(ids)
             p = ids.index(tokens.sep_id)
             t = list(thoughts[r]) + ([tokens.eos_id] if r == len(thoughts) - 1 else []) if r < len(thoughts) else []
-            new = (ids[: p + 1] + t)[:REFINE_LEN]
+            new = ids[: p + 1] + t
             out.append(new + [tokens.pad_id] * (REFINE_LEN - len(new)))
         return pd.Series(out)
 
@@ -413,7 +419,7 @@ FROM (SELECT task_id, n,
 
 @query("refine_cot", "UDF-3 SCA-18 FIL-10", REFINE_SQL)
 def refine_cot(spark: SparkSession, d: str) -> DataFrame:
-    """Up to 4 refinement passes over the test rows ``src + SEP``: the model
+    """Up to 12 refinement passes over the test rows ``src + SEP``: the model
     writes one thought per pass, finished rows leave the loop, the others
     get their SEP moved behind the new thought."""
     from ..operators.refine import refine
@@ -429,6 +435,73 @@ def refine_cot(spark: SparkSession, d: str) -> DataFrame:
     return out.select("task_id", F.col("rounds_used").cast("int"), "finished", tx.show_array("ids").alias("ids"))
 
 
+def cot_rows(ids: DataFrame, tokens: Tokens, seq_len: int, epoch: int | None, glance: float = 0.0, batch: int = BATCH) -> DataFrame:
+    """(task_id, k, ids, src_len): token-level CoT training rows (WIN-3).
+
+    k thoughts join the source and thought k is the target, EOS closing the
+    last thought. ``epoch`` draws one k per task by a seeded hash; ``None``
+    gives a row for every k. The target keeps ``seq_len`` ids, the source
+    the tail of what is left. With ``glance``, that share of the first two
+    rows of each batch (by a seeded draw, where a next thought exists) puts
+    SEP between the target and the next thought."""
+    closed = ids.withColumn("_th", ar.with_eos("tgt_ids_list", tokens)).withColumn("_n", F.size("tgt_ids_list"))
+    if epoch is None:
+        rows = closed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    else:
+        draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"cot:{epoch}:"), F.col("task_id").cast("string"))), 1, 8), 16, 10)
+        rows = closed.withColumn("k", F.pmod(draw.cast("bigint"), F.col("_n")).cast("int"))
+    source = F.concat("src_ids", F.flatten(F.slice("_th", F.lit(1), F.col("k"))))
+    pair = ar.truncate_pair(source, F.get("_th", F.col("k")), seq_len)
+    rows = rows.select("task_id", "k", pair.alias("_p"), F.coalesce(F.get("_th", F.col("k") + 1), F.array().cast("array<int>")).alias("_next"))
+    plain = ar.sep_layout("_p.src_ids", "_p.tgt_ids", tokens)
+    if not glance:
+        return rows.select("task_id", "k", plain.alias("_l")).select("task_id", "k", "_l.ids", "_l.src_len")
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"glance:{epoch}:"), F.col("task_id").cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
+    ahead = (F.size("_next") > 0) & (F.pmod(F.col("task_id"), F.lit(batch)) < 2) & (u < glance)
+    layout = F.when(ahead, ar.glance_layout("_p.src_ids", "_p.tgt_ids", "_next", tokens)).otherwise(plain)
+    return rows.select("task_id", "k", layout.alias("_l")).select("task_id", "k", "_l.ids", "_l.src_len")
+
+
+def _cot_sql(pick: str, glance: str) -> str:
+    hashed = "CAST('0x' || substr(md5('{}:0:' || CAST(task_id AS VARCHAR)), 1, 8) AS BIGINT)"
+    return with_ctes(
+        fx.TASK_LINES_SQL,
+        GSM_TASKS_SQL,
+        TASK_PIECES_SQL,
+        f"""closed AS (
+  SELECT task_id, src_ids, len(tgt_ids_list) AS n, {hashed.format('cot')} AS h, {hashed.format('glance')} / 4294967296.0 AS u,
+         list_transform(tgt_ids_list, lambda x, i: CASE WHEN i = len(tgt_ids_list) THEN list_concat(x, [0]) ELSE x END) AS th
+  FROM task_ids)""",
+        f"""drawn AS (SELECT *, {pick} AS k FROM closed)""",
+        f"""parts AS (
+  SELECT task_id, k, u, list_slice(th[k + 1], 1, {SEQ_LEN}) AS tgt, coalesce(th[k + 2], []) AS nxt,
+         list_concat(src_ids, flatten(list_slice(th, 1, k))) AS s FROM drawn)""",
+        f"""cut AS (
+  SELECT *, CASE WHEN {SEQ_LEN} > len(tgt) THEN list_slice(s, greatest(len(s) - ({SEQ_LEN} - len(tgt)), 0) + 1, len(s)) ELSE [] END AS src,
+         {glance} AS ahead FROM parts)""",
+    ) + """
+SELECT task_id, CAST(k AS INTEGER) AS k, CAST(len(src) + CASE WHEN ahead THEN 0 ELSE 1 END AS INTEGER) AS src_len,
+       array_to_string(CASE WHEN ahead THEN list_concat(src, tgt, [1], nxt) ELSE list_concat(src, [1], tgt) END, '|') AS ids
+FROM cut"""
+
+
+def _show_cot(rows: DataFrame) -> DataFrame:
+    return rows.select("task_id", F.col("k").cast("int").alias("k"), F.col("src_len").cast("int").alias("src_len"), tx.show_array("ids").alias("ids"))
+
+
+@query("cot_token_rows", "WIN-3 SCA-16 SCA-17 WIN-4", _cot_sql("h % n", "len(nxt) > 0 AND task_id % 8 < 2 AND u < 0.1"))
+def cot_token_rows(spark: SparkSession, d: str) -> DataFrame:
+    """One CoT row per task for epoch 0: seeded k, truncated to 256 ids, one
+    row in ten of each batch's first two with the look-ahead layout."""
+    return _show_cot(cot_rows(task_ids(gsm_tasks_df(spark, d)), WORD_TOKENS, SEQ_LEN, epoch=0, glance=0.1))
+
+
+@query("cot_token_rows_all", "WIN-3 SCA-16 SCA-17", _cot_sql("unnest(range(n))", "false"))
+def cot_token_rows_all(spark: SparkSession, d: str) -> DataFrame:
+    """A CoT row for every k of every task."""
+    return _show_cot(cot_rows(task_ids(gsm_tasks_df(spark, d)), WORD_TOKENS, SEQ_LEN, epoch=None))
+
+
 @query(
     "vocab_file_roundtrip",
     "SRC-9 JOI-7 TOK-7 TOK-8",

@@ -146,50 +146,43 @@ def digit_chunks(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.size("c").cast("int").alias("n_chunks"), F.array_join("c", "|").alias("chunks"))
 
 
-def _collapse_sql(x: str) -> str:
-    return sql_strip(f"regexp_replace({x}, '\\s+', ' ', 'g')")
-
-
 @query(
     "byte_level_pieces",
     "TOK-2",
     f"""
 SELECT doc_id, CAST(len(p) AS INTEGER) AS n_pieces, array_to_string(p, '|') AS pieces
-FROM (SELECT doc_id, {sql_pieces(_collapse_sql('text'))} AS p FROM documents)""",
+FROM (SELECT doc_id, {sql_pieces('text')} AS p FROM documents)""",
 )
 def byte_level_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """GPT-2 byte-level pre-tokenisation of whitespace-normalised documents."""
-    docs = read_table(spark, d, "documents").select("doc_id", tx.byte_level_pieces(tx.collapse_ws("text")).alias("p"))
+    """GPT-2 byte-level pre-tokenisation of whole documents as they are."""
+    docs = read_table(spark, d, "documents").select("doc_id", tx.byte_level_pieces("text").alias("p"))
     return docs.select("doc_id", F.size("p").cast("int").alias("n_pieces"), F.array_join("p", "|").alias("pieces"))
 
 
 PIECES_SQL = f"""
-doc_pieces AS (SELECT doc_id, source, unnest({sql_pieces(_collapse_sql('text'))}) AS token FROM documents),
+doc_pieces AS (SELECT doc_id, source, unnest({sql_pieces('text')}) AS token FROM documents),
 freq AS (SELECT token, count(*) AS n FROM doc_pieces GROUP BY token)"""
 
 
 @query("piece_frequencies", "TOK-3", "WITH " + PIECES_SQL + "\nSELECT token, CAST(n AS BIGINT) AS n FROM freq")
 def piece_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents").select(tx.collapse_ws("text").alias("t"))
-    return vb.piece_counts(docs, ["t"]).select("token", F.col("n").cast("bigint"))
+    docs = read_table(spark, d, "documents").select("text")
+    return vb.piece_counts(docs, ["text"]).select("token", F.col("n").cast("bigint"))
 
 
-def unigram(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
+def unigram(spark: SparkSession, d: str) -> DataFrame:
     """Add-α unigram model over pieces of ``documents`` (AGG-10): one
-    aggregate for the counts; the totals N and V are two numbers. Returns
-    the (token, n, logp) table and the log-probability of an unseen piece."""
-    import math
-
-    docs = read_table(spark, d, "documents").select(tx.collapse_ws("text").alias("t"))
-    counts = vb.piece_counts(docs, ["t"])
+    aggregate for the counts; the totals N and V are two numbers. Columns
+    token, n, logp and logp_unk (an unseen piece's)."""
+    docs = read_table(spark, d, "documents").select("text")
+    counts = vb.piece_counts(docs, ["text"])
     # totals as a scalar subquery: planned with the main query, no driver trip
     denom = counts.select((F.sum("n") + ALPHA_SMOOTHING * (F.count(F.lit(1)) + 1)).cast("double")).scalar()
-    model = counts.select(
+    return counts.select(
         "token", "n",
         F.log((F.col("n") + ALPHA_SMOOTHING) / denom).alias("logp"),
         F.log(F.lit(ALPHA_SMOOTHING) / denom).alias("logp_unk"),
     )
-    return model, None
 
 
 UNIGRAM_SQL = PIECES_SQL + """,
@@ -204,8 +197,7 @@ model AS (SELECT token, n, ln((n + 1.0) / (total_n + 1.0 * (vocab_v + 1))) AS lo
     "WITH " + UNIGRAM_SQL + "\nSELECT token, CAST(n AS BIGINT) AS n, round(logp, 6) AS logp FROM model",
 )
 def unigram_model(spark: SparkSession, d: str) -> DataFrame:
-    u, _ = unigram(spark, d)
-    return u.select("token", F.col("n").cast("bigint"), F.round("logp", 6).alias("logp"))
+    return unigram(spark, d).select("token", F.col("n").cast("bigint"), F.round("logp", 6).alias("logp"))
 
 
 @query(
@@ -217,7 +209,7 @@ def unigram_model(spark: SparkSession, d: str) -> DataFrame:
 unk AS (SELECT max(logp_unk) AS lu FROM model),
 texts AS (SELECT 'documents' AS dataset, source AS part, text FROM documents
           UNION ALL SELECT 'benchmark', 'benchmark', text FROM benchmark),
-toks AS (SELECT dataset, part, unnest({sql_pieces(_collapse_sql('text'))}) AS token FROM texts),
+toks AS (SELECT dataset, part, unnest({sql_pieces('text')}) AS token FROM texts),
 refs AS (SELECT dataset, part, sum(len(regexp_extract_all(text, '\\p{{N}}|[^\\p{{N}}]+'))) AS n_ref FROM texts GROUP BY 1, 2),
 nll AS (SELECT dataset, part, sum(-coalesce(m.logp, unk.lu)) AS s, count(*) AS n_model
         FROM toks LEFT JOIN model m USING (token), unk GROUP BY 1, 2)
@@ -229,15 +221,20 @@ def corpus_nll(spark: SparkSession, d: str) -> DataFrame:
     """NLL of each source under the unigram model, divided by the model's
     token count and by a second tokeniser's count (digit chunks).
 
-    One piece pass: counts per (dataset, part, token) feed both the model
-    (documents only) and the scoring join."""
+    One pass over the texts: counts per (dataset, part, token), with the
+    digit chunks counted under a NULL token, feed the model (documents
+    only), the scoring join and the second token count."""
     docs = read_table(spark, d, "documents").select(F.lit("documents").alias("dataset"), F.col("source").alias("part"), "text")
     bench = read_table(spark, d, "benchmark").select(F.lit("benchmark").alias("dataset"), F.lit("benchmark").alias("part"), "text")
     texts = docs.unionByName(bench)
-    toks = texts.select("dataset", "part", F.explode(tx.byte_level_pieces(tx.collapse_ws("text"))).alias("token"))
-    # written once: the model, its totals and the scoring join all read it
-    c = cut_lineage(toks.groupBy("dataset", "part", "token").agg(F.count(F.lit(1)).alias("n")), "piece-counts",
-                    spark.sparkContext.defaultParallelism)
+    chunks = F.size(tx.digit_chunks("text")).cast("bigint")
+    pieces = F.transform(tx.byte_level_pieces("text"), lambda p: F.struct(p.alias("token"), F.lit(1).cast("bigint").alias("w")))
+    refs_entry = F.array(F.struct(F.lit(None).cast("string").alias("token"), chunks.alias("w")))
+    toks = texts.select("dataset", "part", F.explode(F.concat(pieces, refs_entry)).alias("e"))
+    # written once: the model, its totals, the scoring join and the second count all read it
+    both = cut_lineage(toks.groupBy("dataset", "part", "e.token").agg(F.sum("e.w").alias("n")), "piece-counts",
+                       spark.sparkContext.defaultParallelism)
+    c = both.filter(F.col("token").isNotNull())
     model_counts = c.filter(F.col("dataset") == "documents").groupBy("token").agg(F.sum("n").alias("n"))
     denom = model_counts.select((F.sum("n") + ALPHA_SMOOTHING * (F.count(F.lit(1)) + 1)).cast("double")).scalar()
     model = model_counts.select("token", F.log((F.col("n") + ALPHA_SMOOTHING) / denom).alias("logp"))
@@ -246,7 +243,7 @@ def corpus_nll(spark: SparkSession, d: str) -> DataFrame:
     nll = scored.groupBy("dataset", "part").agg(
         F.sum(-F.coalesce(F.col("logp"), lu) * F.col("n")).alias("s"), F.sum("n").alias("n_model")
     )
-    refs = texts.groupBy("dataset", "part").agg(F.sum(F.size(tx.digit_chunks("text"))).alias("n_ref"))
+    refs = both.filter(F.col("token").isNull()).select("dataset", "part", F.col("n").alias("n_ref"))
     j = nll.join(refs, ["dataset", "part"])
     return j.select(
         "dataset",

@@ -25,10 +25,16 @@ METRIC_SCHEMA = T.StructType(
 )
 
 
-def run_metric_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, every: int) -> DataFrame:
+def run_metric_stream(
+    spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, every: int, files_per_trigger: int | None = None
+) -> DataFrame:
     """Stream the metric drops in ``source_dir`` and return the closed
-    buckets (run_id, name, bucket, mean, n)."""
-    rows = spark.readStream.schema(METRIC_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source_dir)
+    buckets (run_id, name, bucket, mean, n). ``files_per_trigger`` bounds a
+    micro-batch; without it each takes all files that have arrived."""
+    reader = spark.readStream.schema(METRIC_SCHEMA)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    rows = reader.parquet(source_dir)
     agg = rows.groupBy("run_id", "name", bucket_of("step", every).alias("bucket")).agg(
         F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"), F.max("step").alias("last_step")
     )
