@@ -9,7 +9,7 @@ from sagerow.operators import analytics as an
 from sagerow.operators import bpe as bp
 from sagerow.operators import curate as cu
 from sagerow.operators import evaluate as ev
-from sagerow.operators.rank import global_index, split_val_train
+from sagerow.operators.rank import global_index, range_sorted, split_val_train
 
 
 def py_vote(preds):
@@ -58,10 +58,10 @@ def test_global_index_matches_row_number_and_partitioning(spark):
     df = spark.createDataFrame(data, "id long, k long")
     expect = {i: pos for pos, (i, _) in enumerate(sorted(data, key=lambda x: (x[1], x[0])))}
     for parts in (1, 7):
-        got = {r.id: r.idx for r in global_index(df.repartition(parts), ["k", "id"], n_buckets=16).collect()}
+        got = {r.id: r.idx for r in global_index(df.repartition(parts), ["k", "id"]).collect()}
         assert got == expect
     # per-group positions
-    got = {r.id: r.idx for r in global_index(df, ["id"], partition_by=["k"], n_buckets=4).collect()}
+    got = {r.id: r.idx for r in global_index(df, ["id"], partition_by=["k"]).collect()}
     per = {}
     for i, k in sorted(data):
         per.setdefault(k, []).append(i)
@@ -144,7 +144,7 @@ def test_power_law_and_interpolation(spark):
 def test_ema_matches_recursion(spark):
     vals = [random.Random(5).uniform(0, 50) for _ in range(70)]
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate(vals)], "run long, step long, value double")
-    got = {r.step: (r.ema_mean, r.ema_std) for r in an.ema_stats(df, ["run"], "step", "value", 0.9, block=8).collect()}
+    got = {r.step: (r.ema_mean, r.ema_std) for r in an.ema_stats(df, ["run"], "step", "value", 0.9).collect()}
     e1 = e2 = bias = 1e-8
     for i, v in enumerate(vals):
         e1 += 0.1 * (v - e1)
@@ -164,17 +164,133 @@ def test_halo_chunks_equal_unsplit_windows(spark):
     a = {r.step: (r.q, r.clipped) for r in small.collect()}
     b = {r.step: (r.q, r.clipped) for r in big.collect()}
     assert a == b and len(a) == 300
-    e1 = {r.step: r.ema_mean for r in an.ema_stats(df, ["run"], "step", "value", 0.5, block=4).collect()}
+    e1 = {r.step: r.ema_mean for r in an.ema_stats(df, ["run"], "step", "value", 0.5).collect()}
     assert len(e1) == 300
 
 
-def test_bpe_multi_merge_mode_roundtrips(spark):
-    words = {"lower": 5, "lowest": 2, "newer": 6, "wider": 3, " new": 4}
-    df = spark.createDataFrame(list(words.items()), "token string, n long")
-    m = bp.train_bpe(df, 10, per_round=4)
-    rows = m.orderBy("rank").collect()
-    assert len(rows) == 10 and [r["rank"] for r in rows] == list(range(10))
-    v = bp.bpe_vocab(spark, m, ())
-    texts = spark.createDataFrame([(1, "lower newer wider")], "k long, t string")
-    enc = bp.bpe_encode(texts, ["k"], F.col("t"), m, v)
-    assert bp.bpe_decode(enc, ["k"], "ids", v).first().text == "lower newer wider"
+def test_global_index_orders_nulls_first_and_keeps_null_groups(spark):
+    df = spark.createDataFrame([(1, None, 3), (2, None, None), (3, "a", 5), (4, "a", None), (5, "b", 1)], "id long, g string, k long")
+    got = {r.id: r.idx for r in global_index(df, ["k", "id"]).collect()}
+    assert got == {2: 0, 4: 1, 5: 2, 1: 3, 3: 4}
+    got = {r.id: r.idx for r in global_index(df, ["k", "id"], partition_by=["g"]).collect()}
+    assert got == {2: 0, 1: 1, 4: 0, 3: 1, 5: 0}
+    assert global_index(df.limit(0), ["k", "id"]).count() == 0
+
+
+def largest_over_mean(spark, df, order, parts=()):
+    """Rows of the largest written partition over the mean, and the positions' correctness."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = range_sorted(df, [*parts, *order])
+        sizes = [r["n"] for r in rows.groupBy("_task").agg(F.count("*").alias("n")).collect()]
+        n = global_index(df, order, partition_by=parts).agg(F.count_distinct("idx"), F.max("idx")).first()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    return max(sizes) * len(sizes) / sum(sizes), n
+
+
+def test_global_index_spreads_outliers_heavy_values_and_hot_groups(spark):
+    outlier = spark.range(8000).select("id", F.when(F.col("id") == 5, 10**15).otherwise(F.col("id") % 97).alias("k"))
+    ratio, n = largest_over_mean(spark, outlier, ["k", "id"])
+    assert ratio < 3 and tuple(n) == (8000, 7999)
+    one = spark.range(8000).select("id", F.lit(7).alias("k"))
+    ratio, n = largest_over_mean(spark, one, ["k", "id"])
+    assert ratio < 3 and tuple(n) == (8000, 7999)
+    hapax = spark.range(8000).select(F.lit(-1).alias("neg"), F.concat(F.lit(" the"), F.col("id").cast("string")).alias("token"))
+    ratio, n = largest_over_mean(spark, hapax, ["neg", "token"])
+    assert ratio < 3 and tuple(n) == (8000, 7999)
+    hot = spark.range(8000).select("id", F.when(F.col("id") % 10 < 9, 1).otherwise(F.col("id")).alias("g"))
+    ratio, n = largest_over_mean(spark, hot, ["id"], ["g"])
+    assert ratio < 3 and n[1] == 7199
+
+
+def test_self_consistency_with_missing_runs(spark):
+    rows = [(0, 1, "x", "x"), (1, 1, "x", "x"), (1, 2, "y", "y"), (4, 3, "z", "w")]
+    df = spark.createDataFrame(rows, "run long, task_id long, pred string, gold string")
+    assert [tuple(r) for r in ev.self_consistency(df).orderBy("k").collect()] == [(1, 3, 2, 2 / 3), (2, 3, 2, 2 / 3)]
+
+
+def test_ema_keeps_old_rows_of_any_magnitude(spark):
+    """No horizon: a huge first value still shows after hundreds of rows, over several fold levels."""
+    vals = [1e20] + [0.0] * 499 + [float(k % 7) for k in range(4500)]
+    rows = [("a", i, v) for i, v in enumerate(vals)] + [(None, i, 2.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "run string, step long, value double")
+    got = {(r.run, r.step): r.ema_mean for r in an.ema_stats(df, ["run"], "step", "value", 0.9).collect()}
+    e = bias = 1e-8
+    for i, v in enumerate(vals):
+        e = 0.9 * e + (1 - 0.9) * v
+        bias = 0.9 * bias + (1 - 0.9)
+        assert abs(got[("a", i)] - e / bias) <= 1e-9 * abs(e / bias) + 1e-30, i
+    assert len(got) == len(rows) and abs(got[(None, 2)] - 2.0) < 1e-6
+
+
+def test_interpolation_of_single_and_repeated_keypoints(spark):
+    kp = spark.createDataFrame([("one", 1.0, 5.0), ("two", 1.0, 5.0), ("two", 1.0, 6.0), ("two", 2.0, 8.0), (None, 0.0, 1.0)], "k string, x double, y double")
+    pr = spark.createDataFrame([("one", 0.0), ("one", 9.0), ("two", 0.0), ("two", 1.5), (None, 4.0), ("none", 1.0)], "k string, x double")
+    got = {(r.k, r.x): r.y for r in an.interpolate(kp, pr, ["k"]).collect()}
+    assert got == {("one", 0.0): 5.0, ("one", 9.0): 5.0, ("two", 0.0): 5.0, ("two", 1.5): 7.0, (None, 4.0): 1.0}
+
+
+def test_unfit_groups_are_null_not_errors(spark):
+    df = spark.createDataFrame([("g", 10.0, 2.0), ("g", 20.0, 1.0), ("h", 1.0, 3.0), ("h", 2.0, 1.0), ("h", 4.0, 2.0)], "k string, p double, l double")
+    got = {r.k: r.opt_loss for r in an.isoflop_optimum(df, ["k"], "p", "l").collect()}
+    assert got["g"] is None and got["h"] is not None
+    flat = spark.createDataFrame([("g", 3.0, 2.0), ("g", 3.0, 1.0)], "k string, x double, y double")
+    assert an.power_law_plus_constant_fit(flat, ["k"], "x", "y", grid=10).count() <= 1
+
+
+def test_too_long_source_stops_the_job(spark):
+    import pytest
+
+    from sagerow.plans.tasks import strict_test_rows
+
+    df = spark.createDataFrame([(1, [1, 2]), (2, [1, 2, 3])], "task_id long, src_ids array<int>")
+    assert strict_test_rows(df, 4).count() == 2 and len(strict_test_rows(df, 4).collect()) == 2
+    with pytest.raises(Exception, match="too short for task 2"):
+        strict_test_rows(df, 3).collect()
+
+
+def test_dedup_keeps_null_keys_and_hashes(spark):
+    rows = [(0, None, "a" * 20), (1, None, "b" * 20), (2, "q" * 20, "c" * 20), (2, "q" * 20, "c" * 20), (3, "q" * 20, "d" * 20)]
+    df = spark.createDataFrame(rows, "seq long, question string, answer string")
+    assert sorted((r.seq, r.question) for r in cu.dedup_first_wins(df).collect()) == [(0, None), (2, "q" * 20)]
+
+
+def test_model_set_up_once_per_task(spark):
+    import pandas as pd
+
+    def setup():
+        state = {"calls": 0}
+
+        def call(prompts: pd.Series) -> pd.Series:
+            state["calls"] += 1
+            return prompts + str(state["calls"])
+
+        return call
+
+    df = spark.createDataFrame([("a",), ("b",)], "p string").coalesce(1)
+    assert [r.t for r in cu.run_model(df, None, "p", "t", setup=setup).collect()] == ["a1", "b1"]
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from sagerow import session
+
+    class Context:
+        master = "spark://host:7077"
+        applicationId = "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(Session())
