@@ -3,8 +3,7 @@
 Both are ordered rule tables. Each rule is a regex rewrite applied to the
 whole string with non-overlapping left-to-right matches (``s///g``
 semantics, which Java's ``replaceAll`` shares), so the table folds into a
-chain of ``regexp_replace`` expressions. Rules are stored once and rendered
-for Spark (Java regex, ``$1``) and for DuckDB (RE2, ``\\1``).
+chain of ``regexp_replace`` expressions.
 
 Unicode normalisation (NFC) has no Spark built-in: it is one Arrow pandas
 UDF, and only rows with non-ASCII text send a value through it.
@@ -91,10 +90,6 @@ def _java(rep: str) -> str:
     return rep.replace("$", "\\$").replace("{1}", "$1").replace("{2}", "$2")
 
 
-def _re2(rep: str) -> str:
-    return rep.replace("\\", "\\\\").replace("{1}", "\\1").replace("{2}", "\\2")
-
-
 _META = set("\\^$.|?*+()[]{}")
 
 
@@ -208,38 +203,13 @@ def has_garbled_bom(text: Column | str) -> Column:
     return F.contains(t, F.lit(BOM_GARBLED))
 
 
-def normalize_sql(x: str, lang: str) -> str:
-    """The same rewrite as DuckDB SQL (oracle); NFC via ``nfc_normalize``."""
-
-    def chain(e: str, rules) -> str:
-        for pat, rep in rules:
-            e = f"regexp_replace({e}, {_q(pat)}, {_q(_re2(rep))}, 'g')"
-        return e
-
-    e = chain(x, NORMALIZE_BEFORE_NFC)
-    e = f"nfc_normalize({e})"
-    e = chain(e, NORMALIZE_AFTER_NFC)
-    e = (
-        f"(CASE WHEN {lang} = 'en' THEN {chain(e, QUOTE_RULES_EN)} "
-        f"WHEN {lang} IN ('cs', 'cz') THEN {e} ELSE {chain(e, QUOTE_RULES_OTHER)} END)"
-    )
-    return (
-        f"(CASE WHEN {lang} IN ('de', 'es', 'cz', 'cs', 'fr') "
-        f"THEN regexp_replace({e}, {_q(DIGIT_GROUP)}, '\\1,\\2', 'g') "
-        f"ELSE regexp_replace({e}, {_q(DIGIT_GROUP)}, '\\1.\\2', 'g') END)"
-    )
-
-
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 # ---- word tokeniser -----------------------------------------------------------------
 
 ALPHA = r"\p{IsAlphabetic}"
 ALNUM = r"\p{IsAlphabetic}\p{Nd}"
 DOT_MARK = "\ue000"  # stands in for the dots of a dot run while words are examined
 
+# ---- fixed values: contraction and comma rules, in order -------------------------
 CONTRACTIONS = {
     "en": [
         (rf"([^{ALPHA}])'([^{ALPHA}])", "{1} ' {2}"),
@@ -261,6 +231,7 @@ COMMA_RULES = [
     (r"(\p{N}),([^\p{N}])", "{1} , {2}"),
     (r"([^\p{N}]),(\p{N})", "{1} , {2}"),
 ]
+# ---- end of fixed values ------------------------------------------------------------
 
 
 def _guard(t: Column, trigger: str, rules_fn) -> Column:

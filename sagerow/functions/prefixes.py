@@ -9,9 +9,6 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame, SparkSession
-
-
 def _roman(n: int) -> str:
     out = ""
     for value, sym in ((10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
@@ -22,20 +19,195 @@ def _roman(n: int) -> str:
 
 
 # ---- fixed values: abbreviation lists ---------------------------------------------
-EN_ABBREVIATIONS = (
-    "Adj Adm Adv Asst Bart Bldg Brig Bros Capt Cmdr Col Comdr Con Corp Cpl DR Dr Drs Ens Gen Gov Hon Hr "
-    "Hosp Insp Lt MM MR MRS MS Maj Messrs Mlle Mme Mr Mrs Ms Msgr Op Ord Pfc Ph Prof Pvt Rep Reps Res Rev "
-    "Rt Sen Sens Sfc Sgt Sr St Supt Surg v vs i.e rev e.g Nos Nr"
-).split()
-EN_NUMERIC_ONLY = ["No", "Art", "pp"]
-DE_ABBREVIATIONS = (
-    "Adj Adm Adv Asst Bart Bldg Brig Bros Capt Cmdr Col Comdr Con Corp Cpl DR Dr Ens Gen Gov Hon Hosp "
-    "Insp Lt MM MR MRS MS Maj Messrs Mlle Mme Mr Mrs Ms Msgr Op Ord Pfc Ph Prof Pvt Rep Reps Res Rev Rt "
-    "Sen Sens Sfc Sgt Sr St Supt Surg Mio Mrd bzw vs usw d.h z.B u.a etc MwSt ggf d.J D.h m.E vgl I.F "
-    "z.T sogen ff u.E g.U g.g.A c.-à-d Buchst u.s.w sog u.ä Std evtl Zt Chr u.U o.ä Ltd b.A z.Zt spp sen "
-    "SA k.o jun i.H.v dgl dergl Co zzt usf s.p.a Dkr bzgl BSE No Nos Art Nr pp ca Ca"
-).split()
-EL_ABBREVIATIONS = ["κ"]
+EN_ABBREVIATIONS = [
+    "Adj",
+    "Adm",
+    "Adv",
+    "Asst",
+    "Bart",
+    "Bldg",
+    "Brig",
+    "Bros",
+    "Capt",
+    "Cmdr",
+    "Col",
+    "Comdr",
+    "Con",
+    "Corp",
+    "Cpl",
+    "DR",
+    "Dr",
+    "Drs",
+    "Ens",
+    "Gen",
+    "Gov",
+    "Hon",
+    "Hr",
+    "Hosp",
+    "Insp",
+    "Lt",
+    "MM",
+    "MR",
+    "MRS",
+    "MS",
+    "Maj",
+    "Messrs",
+    "Mlle",
+    "Mme",
+    "Mr",
+    "Mrs",
+    "Ms",
+    "Msgr",
+    "Op",
+    "Ord",
+    "Pfc",
+    "Ph",
+    "Prof",
+    "Pvt",
+    "Rep",
+    "Reps",
+    "Res",
+    "Rev",
+    "Rt",
+    "Sen",
+    "Sens",
+    "Sfc",
+    "Sgt",
+    "Sr",
+    "St",
+    "Supt",
+    "Surg",
+    "v",
+    "vs",
+    "i.e",
+    "rev",
+    "e.g",
+    "Nos",
+    "Nr",
+]
+EN_NUMERIC_ONLY = [
+    "No",
+    "Art",
+    "pp",
+]
+DE_ABBREVIATIONS = [
+    "Adj",
+    "Adm",
+    "Adv",
+    "Asst",
+    "Bart",
+    "Bldg",
+    "Brig",
+    "Bros",
+    "Capt",
+    "Cmdr",
+    "Col",
+    "Comdr",
+    "Con",
+    "Corp",
+    "Cpl",
+    "DR",
+    "Dr",
+    "Ens",
+    "Gen",
+    "Gov",
+    "Hon",
+    "Hosp",
+    "Insp",
+    "Lt",
+    "MM",
+    "MR",
+    "MRS",
+    "MS",
+    "Maj",
+    "Messrs",
+    "Mlle",
+    "Mme",
+    "Mr",
+    "Mrs",
+    "Ms",
+    "Msgr",
+    "Op",
+    "Ord",
+    "Pfc",
+    "Ph",
+    "Prof",
+    "Pvt",
+    "Rep",
+    "Reps",
+    "Res",
+    "Rev",
+    "Rt",
+    "Sen",
+    "Sens",
+    "Sfc",
+    "Sgt",
+    "Sr",
+    "St",
+    "Supt",
+    "Surg",
+    "Mio",
+    "Mrd",
+    "bzw",
+    "vs",
+    "usw",
+    "d.h",
+    "z.B",
+    "u.a",
+    "etc",
+    "MwSt",
+    "ggf",
+    "d.J",
+    "D.h",
+    "m.E",
+    "vgl",
+    "I.F",
+    "z.T",
+    "sogen",
+    "ff",
+    "u.E",
+    "g.U",
+    "g.g.A",
+    "c.-à-d",
+    "Buchst",
+    "u.s.w",
+    "sog",
+    "u.ä",
+    "Std",
+    "evtl",
+    "Zt",
+    "Chr",
+    "u.U",
+    "o.ä",
+    "Ltd",
+    "b.A",
+    "z.Zt",
+    "spp",
+    "sen",
+    "SA",
+    "k.o",
+    "jun",
+    "i.H.v",
+    "dgl",
+    "dergl",
+    "Co",
+    "zzt",
+    "usf",
+    "s.p.a",
+    "Dkr",
+    "bzgl",
+    "BSE",
+    "No",
+    "Nos",
+    "Art",
+    "Nr",
+    "pp",
+    "ca",
+    "Ca",
+]
+EL_ABBREVIATIONS = [
+    "κ",
+]
 # ---- end of fixed values ----------------------------------------------------------
 
 
@@ -59,9 +231,3 @@ PREFIXES = _build()
 def prefixes_for(lang: str, kind: int) -> list[str]:
     table = PREFIXES.get(lang, PREFIXES["en"])
     return sorted(w for w, k in table.items() if k == kind)
-
-
-def prefixes_df(spark: SparkSession) -> DataFrame:
-    """(lang, prefix, kind) table; small and fixed, safe to broadcast."""
-    rows = [(lg, w, k) for lg, t in PREFIXES.items() for w, k in t.items()]
-    return spark.createDataFrame(rows, "lang string, prefix string, kind int")

@@ -127,11 +127,6 @@ def parse_generation(text: Column | str) -> Column:
     )
 
 
-def join_paragraphs(paras: Column | str, joiner: str = "\n\n") -> Column:
-    """Paragraph list to one text (SCA-11)."""
-    return F.array_join(_c(paras), joiner)
-
-
 def digit_chunks(text: Column | str) -> Column:
     """Digit isolation pre-tokeniser (TOK-1)."""
     return F.regexp_extract_all(_c(text), F.lit(DIGIT_PATTERN), 0)

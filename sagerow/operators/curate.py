@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import judge_prompt, parse_generation, parse_score, ustrip
+from ..session import cut_lineage
 
 # ---- fixed values: prompt templates for generation ------------------------------
 PROMPT_TEMPLATES = [
@@ -87,9 +88,37 @@ def parse_samples(gen: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def first_n_valid(parsed: DataFrame, n: int, order_col: str = "draw_id") -> DataFrame:
-    """Stop at n valid samples: the first n by draw order (SRT-11)."""
-    return parsed.orderBy(order_col).limit(n)
+def draw_until_valid(
+    questions: DataFrame, n: int, make: Callable[[DataFrame], DataFrame], seed: int = 0, oversample: float = 1.5, max_rounds: int = 50
+) -> DataFrame:
+    """Draw questions until ``n`` valid samples exist (SRT-11): the first n by draw order.
+
+    ``questions`` have a dense 0-based ``pos``; draw i takes the question at
+    a seeded position. ``make`` turns rows with ``draw_id`` into valid
+    samples (prompt, model, parse). A round draws ``oversample`` times what
+    is missing, so the model runs on about that many rows, not on the table;
+    rounds repeat until n are valid. Raises if ``max_rounds`` don't suffice."""
+    spark = questions.sparkSession
+    total = questions.count()
+    if not total:
+        raise ValueError("no questions to draw from")
+    found, have, start = None, 0, 0
+    for _ in range(max_rounds):
+        size = int((n - have) * oversample) + 1
+        draws = spark.range(start, start + size).select(
+            F.col("id").alias("draw_id"), (_draw_hash(seed, "id") % F.lit(total)).alias("pos")
+        )
+        rows = cut_lineage(make(draws.join(questions, "pos").drop("pos")), "drawn-samples")
+        have, start = have + rows.count(), start + size
+        found = rows if found is None else found.unionByName(rows)
+        if have >= n:
+            return found.orderBy("draw_id").limit(n)
+    raise RuntimeError(f"{have} of {n} samples valid after {start} draws")
+
+
+def _draw_hash(seed: int, col: str) -> F.Column:
+    key = F.concat_ws(":", F.lit(str(seed)), F.col(col).cast("string"))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
 
 
 def strip_nonempty(df: DataFrame) -> DataFrame:

@@ -84,16 +84,42 @@ def generated(spark: SparkSession, d: str) -> DataFrame:
     return cu.parse_samples(g)
 
 
+@query(
+    "generated_questions",
+    "JOI-1 UDF-1 SCA-10 FIL-8",
+    GEN_SQL + "\nSELECT draw_id, question, answer FROM parsed WHERE question <> '' AND answer <> ''",
+)
+def generated_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Every question once: a prompt from the template table, the generator
+    callable over Arrow batches, parse and drop malformed texts."""
+    return generated(spark, d).select(F.col("draw_id").cast("bigint"), "question", "answer")
+
+
+# Draws as the loop makes them; far more than N valid samples need.
+DRAWN_SQL = GEN_SQL.replace(
+    "FROM qa)",
+    """FROM qa),
+qa_drawn AS (SELECT i AS draw_id, q.conv_id, q.turn, q.question, q.template_id FROM range(20 * """ + str(N_VALID) + """) t(i)
+             JOIN qa_draw q ON q.draw_id = CAST('0x' || substr(md5('5:' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % (SELECT count(*) FROM qa))""",
+    1,
+).replace("FROM qa_draw JOIN templates", "FROM qa_drawn JOIN templates")
+
+
 @query(
     "generated_samples",
     "JOI-1 UDF-1 SCA-10 FIL-8 SRT-11",
-    GEN_SQL + f"\nSELECT draw_id, question, answer FROM parsed WHERE question <> '' AND answer <> '' ORDER BY draw_id LIMIT {N_VALID}",
+    DRAWN_SQL + f"\nSELECT draw_id, question, answer FROM parsed WHERE question <> '' AND answer <> '' ORDER BY draw_id LIMIT {N_VALID}",
 )
 def generated_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Prompt per question from the template table, the generator callable
-    over Arrow batches, parse and drop malformed texts, stop at N valid."""
-    g = generated(spark, d)
-    return cu.first_n_valid(g, N_VALID).select(F.col("draw_id").cast("bigint"), "question", "answer")
+    """Seeded draws of questions, prompted and generated round by round until
+    N samples are valid; the model runs on the draws alone."""
+    q = global_index(fx.qa(spark, d), ["conv_id", "turn"], out="pos")
+
+    def make(draws: DataFrame) -> DataFrame:
+        p = cu.attach_prompts(draws, ["conv_id", "turn"], seed=0)
+        return cu.parse_samples(cu.run_model(p.select("draw_id", "prompt"), demo_generator, "prompt", "text"))
+
+    return cu.draw_until_valid(q, N_VALID, make, seed=5).select(F.col("draw_id").cast("bigint"), "question", "answer")
 
 
 CURATED_SQL = with_ctes(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..config import EOS_TOKEN, PAD_TOKEN, SEP_TOKEN
 from ..functions import text as tx
 from ..operators import evaluate as ev
 from ..operators.rank import global_index, round_robin
-from ..session import cut_lineage
+from ..session import checkpoint_root, cut_lineage
 from ..sources.tables import read_table
 from . import fixtures as fx
 from .registry import query, with_ctes
@@ -269,13 +271,22 @@ UNION ALL SELECT 'std_acc', CAST(-1 AS BIGINT), round(stddev_pop(correct / total
 
 @query("eval_log", "SNK-5 AGG-1 AGG-4", EVAL_LOG_SQL)
 def eval_log(spark: SparkSession, d: str) -> DataFrame:
-    """Evaluation log rows appended as parquet in the shared checkpoint folder and read back."""
-    per = ev.accuracy_by_run(fx.preds(spark, d))
-    ms = ev.mean_std(per)
-    rows = (
-        per.select(F.lit("acc").alias("metric"), F.col("run").cast("bigint").alias("k"), F.round("acc", R).alias("value"))
-        .unionByName(per.select(F.lit("total").alias("metric"), F.col("run").cast("bigint").alias("k"), F.col("total").cast("double").alias("value")))
-        .unionByName(ms.select(F.lit("mean_acc").alias("metric"), F.lit(-1).cast("bigint").alias("k"), F.round("mean_acc", R).alias("value")))
-        .unionByName(ms.select(F.lit("std_acc").alias("metric"), F.lit(-1).cast("bigint").alias("k"), F.round("std_acc", R).alias("value")))
+    """Evaluation log: the runs' rows, then the summary's, appended to one log and read back."""
+    per = cut_lineage(ev.accuracy_by_run(fx.preds(spark, d)), "accuracy")  # the log and its summary both read it
+    log = f"{checkpoint_root(spark).rstrip('/')}/eval-log-{uuid.uuid4().hex}"
+    run_values = F.array(
+        F.struct(F.lit("acc").alias("metric"), F.round("acc", R).alias("value")),
+        F.struct(F.lit("total").alias("metric"), F.col("total").cast("double").alias("value")),
+    )
+    append_log(per.select(F.col("run").cast("bigint").alias("k"), F.explode(run_values).alias("v")).select("v.metric", "k", "v.value"), log)
+    totals = F.array(
+        F.struct(F.lit("mean_acc").alias("metric"), F.round("mean_acc", R).alias("value")),
+        F.struct(F.lit("std_acc").alias("metric"), F.round("std_acc", R).alias("value")),
     )
-    return cut_lineage(rows, "eval-log")
+    append_log(ev.mean_std(per).select(F.lit(-1).cast("bigint").alias("k"), F.explode(totals).alias("v")).select("v.metric", "k", "v.value"), log)
+    return spark.read.schema("metric string, k bigint, value double").parquet(log)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Append evaluation rows to the log at ``path`` (SNK-5); earlier rows stay."""
+    rows.write.mode("append").parquet(path)

@@ -3,6 +3,9 @@ piece frequencies, unigram model and corpus NLL, vector normalisation."""
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,43 +14,114 @@ from ..functions import text as tx
 from ..functions.prefixes import prefixes_for
 from ..functions.scaling import l2_normalize
 from ..operators import vocab as vb
-from ..session import cut_lineage
+from ..session import checkpoint_root, cut_lineage
+from ..sources import prefixes as sp
 from ..sources.tables import read_table
 from .registry import query
-from .tasks import sql_pieces, sql_strip
+from .tasks import sql_pieces
 
 ALPHA_SMOOTHING = 1.0
 
 
-def _re2(p: str) -> str:
-    return (
-        p.replace("(?U)", "")
-        .replace(r"\p{IsAlphabetic}", r"\p{L}\p{Nl}")
-        .replace(r"\p{IsLowercase}", r"\p{Ll}")
-    )
-
-
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _chain_sql(e: str, rules) -> str:
-    for pat, rep in rules:
-        e = f"regexp_replace({e}, {_q(_re2(pat))}, {_q(mo._re2(rep))}, 'g')"
+def _steps(e: str, rules: list[tuple[str, str]]) -> str:
+    for pattern, replacement in rules:
+        e = f"regexp_replace({e}, {_q(pattern)}, {_q(replacement)}, 'g')"
     return e
 
 
+# ---- fixed values: the oracle's own statement of the published punctuation rules, in order ----
+SPACING_SQL = [
+    ("\r", ""), ("[(]", " ("), ("[)]", ") "), (" {1,}", " "), ("[)] ([.!:?;,])", r")\1"), ("[(] ", "("), (" [)]", ")"),
+    (r"(\p{Nd}) %", r"\1%"), (" :", ":"), (" ;", ";"),
+]
+UNICODE_SQL = [
+    (r"[\x{2018}\x{2019}]", "'"), (r"[\x{2013}\x{2014}]", "--"), (r"\x{2026}", "... "), (r" \x{2605} ", " "),
+    (r"[\x{201C}\x{201D}\x{201E}\x{2033}]", '"'),
+]
+_E = r"\x{E2}\x{20AC}"  # a curly mark's first two bytes, read as characters
+_A = r"\x{C2}"
+GARBLED_SQL = [
+    (_E + r"[\x{17E}\x{153}\x{9D}]", '"'), (_E + r"\x{201C}", "-"), (_E + r"\x{201D}", " - "), (" {1,}", " "),
+    (_A + r"\x{B4}", "'"), (rf"([A-Za-z]){_E}\x{{2DC}}([A-Za-z])", r"\1'\2"), (rf"([A-Za-z]){_E}\x{{2122}}([A-Za-z])", r"\1'\2"),
+    (_E + r"[\x{2DC}\x{161}\x{2122}]", '"'), ("''", '"'), (_E + r"\x{A6}", "..."),
+    (rf"{_A} {_A}\x{{AB}}{_A} ", ' "'), (rf"{_A}\x{{AB}}{_A} ", '"'), (rf"{_A}\x{{AB}}", '"'),
+    (rf"{_A} {_A}\x{{BB}}{_A} ", '" '), (rf"{_A} {_A}\x{{BB}}", '"'), (rf"{_A}\x{{BB}}", '"'),
+    (rf"{_A} %", "%"), (rf"n{_A}\x{{BA}}{_A} ", "n\u00c2\u00ba "), (rf"{_A} :", ":"), (rf"{_A} {_A}\x{{BA}}C", " \u00c2\u00baC"),
+    (rf"{_A} cm", " cm"), (rf"{_A} [?]", "?"), (rf"{_A} !", "!"), (rf"{_A} ;", ";"), (rf",{_A} ", ", "), (" {1,}", " "),
+]
+# ---- end of fixed values ----
+
+
+def _normalize_sql(x: str, lang: str) -> str:
+    e = _steps("nfc_normalize(" + _steps(x, SPACING_SQL + UNICODE_SQL) + ")", GARBLED_SQL)
+    quoted = (
+        f"CASE {lang} WHEN 'en' THEN regexp_replace({e}, '\"([.,]+)', '\\1\"', 'g') WHEN 'cs' THEN {e} WHEN 'cz' THEN {e} "
+        f"ELSE regexp_replace(replace({e}, ',\"', '\",'), '([.]+)\"(\\s*[^<])', '\"\\1\\2', 'g') END"
+    )
+    group = f"'({chr(92)}p{{Nd}}){chr(92)}x{{C2}} ({chr(92)}p{{Nd}})'"
+    comma = f"CASE WHEN {lang} IN ('de', 'es', 'cz', 'cs', 'fr') THEN ',' ELSE '.' END"
+    return f"regexp_replace({quoted}, {group}, '\\1' || {comma} || '\\2', 'g')"
+
+
+#: Line put before document i (by i modulo their number) so that the data reach every rule.
+MARKED_LINES = [
+    "He said \u201cyes\u201d, (he did ) and ( \u2018no\u2019 ) . \u2014 5 % \u2013 x : y ; z\u2026 ok \u2605 fine (a) ! \u2033",
+    "\u201eZitat\u201c, 3 %; \"Wort,\" und \"Satz.\" Mehr, \"Ende.\" <b> 12\u00c2 345 und 1\u00c2 2\u00c2 3",
+    "\u00e2\u20ac\u017eone\u00e2\u20ac\u0153 two \u00e2\u20ac\u009d a\u00e2\u20ac\u2122b c\u00e2\u20ac\u02dcD \u00e2\u20ac\u2122 \u00e2\u20ac\u0161 \u00e2\u20ac\u00a6 \u00c2\u00b4",
+    "\u00c2 \u00c2\u00ab\u00c2 un\u00c2 \u00c2\u00bb\u00c2 deux \u00c2\u00abtrois\u00c2\u00bb n\u00c2\u00ba\u00c2 7 5\u00c2 cm 3\u00c2 % quoi\u00c2 ? oui\u00c2 ! a\u00c2 ; b,\u00c2 c 9\u00c2 \u00c2\u00baC d\u00c2 : e",
+    "''double'' `tick` it's John's 1990's d'accord l'eau '90 rock'n'roll 5's x' 'y 3'4",
+    "U.S. Mr. Smith No. 5 No. x Nos. 7 etc. z.B. heute vs. them v. x. End. a.b. Dr. Who I. Krieg usw. und Art. 3 pp. 9 12. Mai",
+    "a,b 3,500 4,x x,4 ,, 1, 2 ... .... x..y A...B .5 end.. u. Z. last.",
+    "\"word\", \"word.\" next. e\u0301 n\u0303 \u2460 \u00b2 <tag> a&b c|d #e $5 ~f",
+    "<p>a markup line, it's \u201cleft\u201d.</p>",
+]
+
+
+def marked_documents(spark: SparkSession, d: str) -> DataFrame:
+    """``documents`` whose texts begin with one of ``MARKED_LINES``."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text", "lang")
+    lines = F.array(*[F.lit(x) for x in MARKED_LINES])
+    head = F.element_at(lines, (F.pmod("doc_id", F.lit(len(MARKED_LINES))) + 1).cast("int"))
+    return docs.select("doc_id", F.concat(head, F.lit("\n"), "text").alias("text"), "lang")
+
+
+MARKED_SQL = (
+    "marked AS (SELECT doc_id, lang, [" + ", ".join(_q(x) for x in MARKED_LINES) + "]"
+    f"[doc_id % {len(MARKED_LINES)} + 1] || chr(10) || text AS text FROM documents)"
+)
+
+
+def _normalized(docs: DataFrame) -> DataFrame:
+    n = mo.normalize_punctuation(docs, "text", "lang", "normalized")
+    return n.select("doc_id", "normalized", mo.has_garbled_bom("text").alias("has_bom"))
+
+
 @query(
     "normalize_documents",
     "SCA-12 UDF-5 FIL-13",
     f"""
-SELECT doc_id, {mo.normalize_sql('text', 'lang')} AS normalized, contains(text, '{mo.BOM_GARBLED}') AS has_bom
+SELECT doc_id, {_normalize_sql('text', 'lang')} AS normalized, contains(text, chr(239) || chr(187) || chr(191)) AS has_bom
 FROM documents""",
 )
 def normalize_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents").select("doc_id", "text", "lang")
-    n = mo.normalize_punctuation(docs, "text", "lang", "normalized")
-    return n.select("doc_id", "normalized", mo.has_garbled_bom("text").alias("has_bom"))
+    return _normalized(read_table(spark, d, "documents").select("doc_id", "text", "lang"))
+
+
+@query(
+    "normalize_marked_documents",
+    "SCA-12 UDF-5",
+    f"""
+WITH {MARKED_SQL}
+SELECT doc_id, {_normalize_sql('text', 'lang')} AS normalized, contains(text, chr(239) || chr(187) || chr(191)) AS has_bom
+FROM marked""",
+)
+def normalize_marked_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The normaliser on texts that hold every mark its rules are about."""
+    return _normalized(marked_documents(spark, d))
 
 
 def _prefix_sql(kind: int) -> str:
@@ -59,27 +133,27 @@ def _prefix_sql(kind: int) -> str:
 
 
 def _prepare_sql(x: str) -> str:
-    t = f"(' ' || {x} || ' ')"
-    special = r"([^" + mo.ALNUM + r"\s.'`,\-])"
-    t = f"regexp_replace({t}, {_q(_re2(special))}, ' \\1 ', 'g')"
+    """A line up to the word rules: spaces round marks, dot runs, commas, quotes and contractions."""
+    letter, number = r"\p{L}\p{Nl}", r"\p{N}"
+    t = f"regexp_replace(' ' || {x} || ' ', {_q(rf'([^{letter}{chr(92)}p{{Nd}}{chr(92)}s.{chr(39)}`,-])')}, ' \\1 ', 'g')"
     mark = "chr(57344)"
     t = (
         f"array_to_string(list_transform(regexp_extract_all({t}, '\\.\\.+|[^.]+|\\.'), "
         f"lambda p: CASE WHEN regexp_full_match(p, '\\.\\.+') THEN ' ' || replace(p, '.', {mark}) || ' ' ELSE p END), '')"
     )
-    t = _chain_sql(t, mo.COMMA_RULES)
+    t = _steps(t, [(rf"([^{number}]),([^{number}])", r"\1 , \2"), (rf"([{number}]),([^{number}])", r"\1 , \2"), (rf"([^{number}]),([{number}])", r"\1 , \2")])
     t = f"replace(replace({t}, '`', ''''), '''''', ' \" ')"
-    return (
-        f"(CASE WHEN lang = 'en' THEN {_chain_sql(t, mo.CONTRACTIONS['en'])} "
-        f"WHEN lang IN ('fr', 'it') THEN {_chain_sql(t, mo.CONTRACTIONS['fr'])} "
-        f"ELSE {_chain_sql(t, mo.CONTRACTIONS['other'])} END)"
-    )
+    apart, joined = r"\1 ' \2", [rf"([^{letter}])'([^{letter}])", rf"([{letter}])'([^{letter}])", rf"([{letter}])'([{letter}])"]
+    english = [(joined[0], apart), (rf"([^{letter}{number}])'([{letter}])", apart), (joined[1], apart), (joined[2], r"\1 '\2"), (rf"([{number}])'(s)", r"\1 '\2")]
+    french = [(joined[0], apart), (rf"([^{letter}])'([{letter}])", apart), (joined[1], apart), (joined[2], r"\1' \2")]
+    return f"(CASE WHEN lang = 'en' THEN {_steps(t, english)} WHEN lang IN ('fr', 'it') THEN {_steps(t, french)} ELSE replace({t}, '''', ' '' ') END)"
 
 
-TOKENIZE_SQL = f"""
-WITH lines AS (
+def _tokenize_sql(table: str, with_: str = "") -> str:
+    return f"""
+WITH {with_}lines AS (
   SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS li
-  FROM documents),
+  FROM {table}),
 prep AS (
   SELECT doc_id, lang, li, ln, (regexp_full_match(ln, '<.+>') OR regexp_full_match(ln, '\\s*')) AS pass,
          {_prepare_sql('ln')} AS t
@@ -106,13 +180,49 @@ toks AS (
 SELECT doc_id, string_agg(out, chr(10) ORDER BY li) AS tokens FROM toks GROUP BY doc_id"""
 
 
-@query("tokenize_documents", "SCA-13 FIL-11 WIN-6 JOI-8 SRC-8", TOKENIZE_SQL)
+@query("tokenize_documents", "SCA-13 FIL-11 WIN-6 JOI-8", _tokenize_sql("documents"))
 def tokenize_documents(spark: SparkSession, d: str) -> DataFrame:
     """Moses-style tokens per line of every document, language rules by ``lang``."""
     docs = read_table(spark, d, "documents").select("doc_id", "text", "lang")
     return docs.select("doc_id", mo.tokenize_words("text", "lang").alias("tokens"))
 
 
+@query("tokenize_marked_documents", "SCA-13 WIN-6 JOI-8", _tokenize_sql("marked", MARKED_SQL + ",\n"))
+def tokenize_marked_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The tokeniser on texts with quotes, contractions, dot runs and abbreviations."""
+    return marked_documents(spark, d).select("doc_id", mo.tokenize_words("text", "lang").alias("tokens"))
+
+
+@query(
+    "period_words",
+    "SRC-8 JOI-8",
+    f"""
+WITH {MARKED_SQL},
+w AS (SELECT lang, unnest(string_split_regex(text, '[ \n]')) AS word FROM marked),
+p AS (SELECT lang, substr(word, 1, length(word) - 1) AS prefix FROM w WHERE length(word) > 1 AND word[-1] = '.')
+SELECT lang, prefix, CASE WHEN list_contains({_prefix_sql(1)}, prefix) THEN 1 WHEN list_contains({_prefix_sql(2)}, prefix) THEN 2 ELSE 0 END AS kind,
+       CAST(count(*) AS BIGINT) AS n
+FROM p GROUP BY ALL""",
+)
+def period_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words before a period, counted, with their kind from prefix files
+    written to the shared folder and read back (languages without a file
+    take the English one)."""
+    folder = f"{checkpoint_root(spark).rstrip('/')}/prefixes-{uuid.uuid4().hex}"
+    for lang in ("en", "de"):
+        rows = [("# a comment", 1), ("", 1), *[(w, k) for k in (1, 2) for w in prefixes_for(lang, k)]]
+        sp.write_prefixes(spark.createDataFrame(rows, "prefix string, kind int"), folder, lang)
+    words = marked_documents(spark, d).select("lang", F.explode(F.split("text", "[ \n]")).alias("word"))
+    stems = words.filter((F.length("word") > 1) & F.col("word").endswith(".")).select(
+        "lang", F.expr("substring(word, 1, length(word) - 1)").alias("prefix")
+    )
+    counts = stems.groupBy("lang", "prefix").agg(F.count(F.lit(1)).alias("n"))
+    tables = [sp.read_prefixes(spark, folder, lang) for lang in ("en", "de", "fr", "es")]
+    known = functools.reduce(DataFrame.unionByName, tables)  # a few hundred fixed rows
+    j = counts.join(known, ["lang", "prefix"], "left")
+    return j.select("lang", "prefix", F.coalesce("kind", F.lit(0)).alias("kind"), F.col("n").cast("bigint"))
+
+
 @query(
     "page_markup_lines",
     "FIL-11",
