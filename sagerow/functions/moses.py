@@ -156,28 +156,23 @@ def nfc_trigger_class() -> str:
 NFC_SAFE_BELOW = 0x300  # every trigger character is at or above U+0300 (checked in tests)
 
 
-def nfc_where_needed(c: Column) -> Column:
-    """NFC only for values with a character at or above U+0300; text made of
-    ASCII, Latin-1 and Latin Extended letters is already NFC. Other rows pass
-    a NULL through Arrow and keep their value. (A one-range test: a class of
-    every trigger character is exact too but costs far more per character.)"""
-    return F.coalesce(nfc(F.when(c.rlike(f"[^\\x00-\\x{{{NFC_SAFE_BELOW - 1:X}}}]"), c)), c)
-
-
 def normalize_punctuation(df, text: str, lang: str, out: str = "normalized"):
     """Ordered punctuation rewrite with language branches (SCA-12).
 
-    Staged as columns so the rule chain is computed once around the NFC UDF."""
+    Rows with a character at or above U+0300 form a branch of their own and
+    pass the NFC UDF; text of ASCII, Latin-1 and Latin Extended letters is
+    already NFC and never leaves the JVM. (A one-range test: a class of
+    every trigger character is exact too but costs far more per character.)"""
     ascii_rules = [r for r in NORMALIZE_BEFORE_NFC if all(ord(ch) < 128 for ch in r[0])]
     wide_rules = NORMALIZE_BEFORE_NFC[len(ascii_rules):]
     assert NORMALIZE_BEFORE_NFC[: len(ascii_rules)] == ascii_rules  # ASCII rules come first
-    pre = _chain(F.col(text), ascii_rules)
-    # the remaining rules match only non-ASCII characters
-    staged = df.withColumn("_pre_ascii", pre)
-    wide = F.when(F.col("_pre_ascii").rlike("[^\\x00-\\x7F]"), _chain(F.col("_pre_ascii"), wide_rules)).otherwise(F.col("_pre_ascii"))
-    staged = staged.withColumn("_pre_nfc", wide).drop("_pre_ascii")
-    staged = staged.withColumn("_nfc", nfc_where_needed(F.col("_pre_nfc")))
-    return staged.withColumn(out, _normalize_after(F.col("_nfc"), F.col(lang))).drop("_pre_nfc", "_nfc")
+    # the other rules before NFC match only characters from U+2013 on
+    assert all(ord(ch) >= NFC_SAFE_BELOW for r in wide_rules for ch in r[0] if ch != " ")
+    far = F.coalesce(F.col(text).rlike(f"[^\\x00-\\x{{{NFC_SAFE_BELOW - 1:X}}}]"), F.lit(False))
+    near_rows = df.filter(~far).withColumn("_nfc", _chain(F.col(text), ascii_rules))
+    far_rows = df.filter(far).withColumn("_nfc", nfc(_chain(F.col(text), ascii_rules + wide_rules)))
+    both = near_rows.unionByName(far_rows)
+    return both.withColumn(out, _normalize_after(F.col("_nfc"), F.col(lang))).drop("_nfc")
 
 
 def _normalize_after(t: Column, lg: Column) -> Column:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import global_index, halo_chunks, join_null_safe
+from .rank import global_index, halo_chunks, join_null_safe, range_sorted
 
 #: Entries folded at a time by the EMA's scan; each level up has a FAN-th of the rows.
 FAN = 64
@@ -113,11 +113,42 @@ def isoflop_optimum(df: DataFrame, keys: list[str], params: str, loss: str, grid
 
 # ---- bounds, buckets, weighted means ---------------------------------------------------
 
+def exact_quantiles(df: DataFrame, keys: list[str], x: Column, qs: dict[str, float]) -> DataFrame:
+    """Per group the linear-interpolated quantiles ``{column: q}`` of ``x`` (NULLs left out).
+
+    Equal values are counted first, the distinct (keys, value) rows are
+    range-sorted once, and running counts give every value its span of
+    positions; a group of any size, hot or not, is spread over its ranges
+    and no task holds all its values. A group without values gets no row."""
+    counted = df.select(*keys, x.alias("_x")).filter(F.col("_x").isNotNull()).groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    rows = range_sorted(counted, [*keys, "_x"])
+    inside = Window.partitionBy("_task").orderBy("_local").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    per_task = rows.groupBy("_task").agg(F.sum("_n").alias("_t"))
+    # one row per range partition, whatever the data
+    offsets = F.broadcast(per_task.select("_task", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off")))
+    spans = rows.withColumn("_run", F.sum("_n").over(inside)).join(offsets, "_task")
+    spans = spans.withColumn("_end", F.col("_off") + F.col("_run")).withColumn("_start", F.col("_end") - F.col("_n"))
+    groups = spans.groupBy(*keys).agg(F.min("_start").alias("_gs"), F.sum("_n").alias("_gn"))
+    placed = join_null_safe(spans, groups, keys)
+    ends = []
+    for name, q in qs.items():
+        pos = (F.col("_gn") - 1) * F.lit(float(q))
+        for part, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            holds = (F.col("_start") - F.col("_gs") <= at) & (F.col("_end") - F.col("_gs") > at)
+            ends.append(F.max(F.when(holds, F.col("_x"))).alias(f"_{part}_{name}"))
+    found = placed.groupBy(*keys).agg(F.first("_gn").alias("_gn"), *ends)
+    values = []
+    for name, q in qs.items():
+        pos = (F.col("_gn") - 1) * F.lit(float(q))
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        values.append((lo + (hi - lo) * (pos - F.floor(pos))).cast("double").alias(name))
+    return found.select(*keys, *values)
+
+
 def group_bounds(df: DataFrame, keys: list[str], x: str, lo_q: float, hi_q: float) -> DataFrame:
     """Per-group (lo, hi) as exact percentiles of ``x`` (JOI-3 bounds)."""
-    return df.groupBy(*keys).agg(
-        F.percentile(F.col(x), lo_q).alias("lo"), F.percentile(F.col(x), hi_q).alias("hi")
-    )
+    return exact_quantiles(df, keys, F.col(x), {"lo": lo_q, "hi": hi_q})
 
 
 def within_group_bounds(df: DataFrame, bounds: DataFrame, keys: list[str], x: str) -> DataFrame:
@@ -155,13 +186,11 @@ def gaussian_kl(mu_p: Column, sd_p: Column, mu_q: Column, sd_q: Column) -> Colum
     return F.log(sd_q) - F.log(sd_p) + (sd_p * sd_p + (mu_p - mu_q) * (mu_p - mu_q)) / (2 * sd_q * sd_q) - 0.5
 
 
-def quantile_clip(df: DataFrame, keys: list[str], x: str, p: float, floor_val: float, exact: bool = True) -> DataFrame:
+def quantile_clip(df: DataFrame, keys: list[str], x: str, p: float, floor_val: float) -> DataFrame:
     """``s = max(quantile(|x|, p), floor)`` per group; ``clamp(x, −s, s)/s``
-    (AGG-22). ``exact=False`` uses the mergeable approximate percentile,
-    which keeps a hot group's state bounded."""
-    q = F.percentile(F.abs(_c(x)), p) if exact else F.percentile_approx(F.abs(_c(x)), p, 10000)
-    s = df.groupBy(*keys).agg(F.greatest(q, F.lit(floor_val)).alias("_s"))
-    j = join_null_safe(df, s, keys)
+    (AGG-22); a group without values clips at the floor."""
+    q = exact_quantiles(df, keys, F.abs(_c(x)), {"_q": p})
+    j = join_null_safe(df, q, keys, "left").withColumn("_s", F.greatest(F.col("_q"), F.lit(floor_val))).drop("_q")
     return j.withColumn("clipped", F.least(F.greatest(_c(x), -F.col("_s")), F.col("_s")) / F.col("_s")).drop("_s")
 
 

@@ -15,8 +15,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", partitions: int = 8, app: str = "sagerow") -> SparkSession:
-    """A local session configured like the test/bench runs."""
+def local_session(
+    cores: int | str = "*", partitions: int = 8, app: str = "sagerow", extra: dict[str, str] | None = None
+) -> SparkSession:
+    """A local session configured like the test/bench runs, with ``extra`` settings on top."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -31,6 +33,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "sager
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
     )
+    for key, value in (extra or {}).items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -127,6 +127,6 @@ def test_nfc_trigger_class_covers_every_change(spark):
         s = "".join(rnd.choice(pool) for _ in range(rnd.randint(1, 6)))
         if unicodedata.normalize("NFC", s) != s:
             assert py.search(s), repr(s)
-    df = spark.createDataFrame([("e\u0301",), ("caf\u00e9",), ("\u212b",), ("plain",)], "t string")
-    got = [r.n for r in df.select(mo.nfc_where_needed(F.col("t")).alias("n")).collect()]
-    assert got == ["\u00e9", "caf\u00e9", "\u00c5", "plain"]
+    df = spark.createDataFrame([(0, "e\u0301"), (1, "caf\u00e9"), (2, "\u212b"), (3, "plain"), (4, None)], "i int, t string").withColumn("l", F.lit("en"))
+    got = {r.i: r.normalized for r in mo.normalize_punctuation(df, "t", "l").collect()}
+    assert got == {0: "\u00e9", 1: "caf\u00e9", 2: "\u00c5", 3: "plain", 4: None}

@@ -15,7 +15,7 @@ sys.path.insert(0, ROOT)
 # where each family of ids lives
 MODULES = {
     "SRC": {"1": "sources/tasks.py", "2": "sources/tasks.py", "3": "sources/tasks.py", "4": "sources/samples.py",
-            "5": "sources/corpus.py", "6": "sources/runs.py", "7": "plans/curation.py", "8": "functions/prefixes.py",
+            "5": "sources/corpus.py", "6": "sources/runs.py", "7": "plans/curation.py", "8": "sources/prefixes.py, functions/prefixes.py",
             "9": "operators/vocab.py", "10": "sources/samples.py", "11": "sources/samples.py"},
     "SNK": {"1": "sources/samples.py", "2": "sources/samples.py", "3": "sources/corpus.py", "4": "sources/runs.py",
             "5": "plans/evaluation.py"},

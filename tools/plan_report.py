@@ -51,11 +51,11 @@ def main() -> None:
         f.write("| query | covers | hash exch. | range exch. | broadcast | single-partition | Python nodes | codegen stages |\n")
         f.write("| --- | --- | --- | --- | --- | --- | --- | --- |\n")
         f.write("\n".join(rows) + "\n\n")
-        f.write("Single-partition exchanges only ever carry reduced rows: the bucket-offset\n"
-                "tables of the distributed rank (one row per bucket), the per-k table of\n"
+        f.write("Single-partition exchanges only ever carry reduced rows: the offsets of the\n"
+                "distributed rank (one row per range partition), the per-k table of\n"
                 "self-consistency (one row per run count) and the final merge of a global\n"
                 "aggregate (one partial row per partition). None sits under corpus-sized data;\n"
-                "the windows over data are partitioned by bucket, task, user or run.\n\n")
+                "the windows over data are partitioned by range partition, task, user or run.\n\n")
         f.write("\n".join(details))
 
 
