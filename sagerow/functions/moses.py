@@ -20,6 +20,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import let
+
 # ---- fixed values: normaliser rules, in order ------------------------------------
 # (pattern, replacement); {1} {2} are capture references.
 NORMALIZE_BEFORE_NFC = [
@@ -102,12 +104,6 @@ def _chain(c: Column, rules) -> Column:
     return c
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``
-    (a one-element ``transform`` binds it as a lambda variable)."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 @F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC (UDF-5). NULL in, NULL out."""
@@ -232,7 +228,7 @@ COMMA_RULES = [
 def _guard(t: Column, trigger: str, rules_fn) -> Column:
     """``rules_fn(t)`` on values containing ``trigger``, else ``t``; ``t`` is
     bound once (expressions inside lambdas are not shared)."""
-    return _let(t, lambda v: F.when(v.contains(trigger), rules_fn(v)).otherwise(v))
+    return let(t, lambda v: F.when(v.contains(trigger), rules_fn(v)).otherwise(v))
 
 
 def _prepare(line: Column, lang: Column) -> Column:

@@ -88,31 +88,38 @@ def _codepoint(c: Column) -> Column:
 SYM_SEP = "\u0001"  # never a byte-level symbol (control bytes map to 256+)
 
 
-def _java_literal(x: str) -> str:
-    return "".join("\\" + ch if not ch.isalnum() and ord(ch) < 128 else ch for ch in x)
-
-
 def word_table(words: DataFrame, word: str = "token", count: str = "n") -> DataFrame:
-    """(w, n): distinct words as symbol strings joined by SYM_SEP, with counts."""
-    return words.groupBy(F.array_join(byte_symbols(F.col(word)), SYM_SEP).alias("w")).agg(F.sum(count).alias("n"))
+    """(w, n): distinct words as symbols with SYM_SEP before, between and after them, with counts."""
+    w = F.concat(F.lit(SYM_SEP), F.array_join(byte_symbols(F.col(word)), SYM_SEP), F.lit(SYM_SEP))
+    return words.groupBy(w.alias("w")).agg(F.sum(count).alias("n"))
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """Adjacent-pair counts weighted by word frequency (AGG-12)."""
-    syms = F.split(F.col("w"), SYM_SEP, -1)
-    n = F.size(syms)
-    pairs = F.arrays_zip(F.slice(syms, 1, F.greatest(n - 1, F.lit(0))), F.slice(syms, 2, F.greatest(n - 1, F.lit(1))))
-    p = words.filter(F.col("w").contains(SYM_SEP)).select(F.explode(pairs).alias("p"), "n")
-    return p.groupBy(F.col("p.0").alias("a"), F.col("p.1").alias("b")).agg(F.sum("n").alias("count"))
+    inner = words.select(F.split(F.expr("substring(w, 2, length(w) - 2)"), SYM_SEP, -1).alias("s"), "n")
+    m = F.size("s") - 1
+    pairs = F.arrays_zip(F.slice("s", F.lit(1), m).alias("a"), F.slice("s", F.lit(2), m).alias("b"))
+    p = inner.filter(F.size("s") > 1).select(F.explode(pairs).alias("p"), "n")
+    return p.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("count"))
 
 
 def merge_pair(w: Column, a: str, b: str) -> Column:
     """Merge every left-to-right, non-overlapping occurrence of the adjacent
-    symbols (a, b) in a SYM_SEP-joined word: one anchored regex rewrite."""
-    sep = _java_literal(SYM_SEP)
-    pattern = f"(?<=^|{sep}){_java_literal(a)}{sep}{_java_literal(b)}(?={sep}|$)"
+    symbols (a, b) in a word of ``word_table``.
+
+    Two plain replacements do for a != b: occurrences can't overlap, and the
+    second takes those whose leading separator the first one used up. A
+    symbol paired with itself needs left-to-right order: one anchored regex."""
+    if a != b:
+        old, new = F.lit(f"{SYM_SEP}{a}{SYM_SEP}{b}{SYM_SEP}"), F.lit(f"{SYM_SEP}{a}{b}{SYM_SEP}")
+        return F.replace(F.replace(w, old, new), old, new)
+    sep, x = _java_literal(SYM_SEP), _java_literal(a)
     rep = (a + b).replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(w, pattern, rep)
+    return F.regexp_replace(w, f"(?<={sep}){x}{sep}{x}(?={sep})", rep)
+
+
+def _java_literal(x: str) -> str:
+    return "".join("\\" + ch if not ch.isalnum() and ord(ch) < 128 else ch for ch in x)
 
 
 MERGE_SCHEMA = "rank int, a string, b string, count bigint"
