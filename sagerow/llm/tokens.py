@@ -2,44 +2,66 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 250_000
+#: Segments of characters below this (Latin) take the fast encoder; the two encoders' character classes agree there.
+LATIN = "\u0250"
 
 
 class SegmentTokenizer:
-    """Ids as little-endian unsigned 32-bit bytes, equal to encoding each text whole.
+    """Ids as little-endian unsigned 32-bit bytes, equal to encoding each text whole with the tokenizer file.
 
     The byte-level pre-tokenizer starts a new piece at a space between two
     characters that aren't white space, so a text cut at such spaces gives
-    the same ids segment by segment, and segments repeat. A text with any
-    other space (doubled, leading, trailing, beside a line break) is encoded
-    whole.
+    the same ids segment by segment, and segments repeat. New Latin segments
+    are encoded by a rank-based encoder built from the same file's
+    vocabulary (its ids are the merge ranks); segments with other characters,
+    and whole texts with any other space (doubled, leading, trailing, beside
+    a line break), by the tokenizer itself.
     """
 
     def __init__(self, vocabulary: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        import public_tokenizers
+        import tiktoken
 
-        if not os.path.isabs(vocabulary):
-            import public_tokenizers
-
-            vocabulary = public_tokenizers.path(vocabulary)
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.file = vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary)
+        with open(self.file, encoding="utf-8") as f:
+            model = json.load(f)
+        special = {t["content"] for t in model["added_tokens"]}
+        byte_of = _byte_alphabet()
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["model"]["vocab"].items() if t not in special}
+        self.fast = tiktoken.Encoding("segments", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.spaced = np.zeros(max(ranks.values()) + 1, bool)  # ids of tokens that begin with a space
+        self.spaced[[i for t, i in ranks.items() if t.startswith(b" ")]] = True
         self.known: dict[str, bytes] = {}
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.spaced = np.zeros(max(vocab.values()) + 1, bool)  # ids of tokens that begin with a space
-        self.spaced[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        self._slow = None
+
+    @property
+    def tokenizer(self):
+        """The file's own tokenizer, loaded at its first use."""
+        if self._slow is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.file)
+            self._slow.encode_special_tokens = True  # their strings in a text are ordinary text
+        return self._slow
 
-    def _segments(self, segments: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _latin(self, segments: list[str]) -> list[bytes]:
         """Ids of " " + segment for each; many are encoded in one text and cut where a token begins with a space."""
         out: list[bytes] = []
-        for k in range(0, len(segments), 2048):
-            some = segments[k : k + 2048]
-            ids = np.frombuffer(self._encode([" " + " ".join(some)])[0], "<u4")
+        for k in range(0, len(segments), 4096):
+            some = segments[k : k + 4096]
+            ids = np.array(self.fast.encode_ordinary(" " + " ".join(some)), "<u4")
             at = (np.flatnonzero(self.spaced[ids]) * 4).tolist()
             if len(at) != len(some):
                 raise RuntimeError("a segment holds a token that begins with a space")
@@ -47,24 +69,45 @@ class SegmentTokenizer:
             out += [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
         return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in out]
-
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_SEGMENTS:
             self.known.clear()
         known, cut = self.known, []
         for text in texts:
             first, *rest = text.split(" ")
-            whole = not rest or not first or first[-1].isspace()
-            cut.append(None if whole else (first, rest))
-        new = set().union(*[c[1] for c in cut if c]) - known.keys()
+            whole = not rest or not first or first[0].isspace() or first[-1].isspace()
+            cut.append(None if whole else [first, *rest])
+        new = set().union(*filter(None, cut)) - known.keys()
         plain = [s for s in new if s and not s[0].isspace() and not s[-1].isspace()]
-        known.update(zip(plain, self._segments(plain)))
-        odd = new - known.keys()
-        for k, (text, c) in enumerate(zip(texts, cut)):
-            if c and odd and not odd.isdisjoint(c[1]):
-                cut[k] = None
-        heads = self._encode([t if c is None else c[0] for t, c in zip(texts, cut)])
-        return [h if c is None else h + b"".join(map(known.__getitem__, c[1])) for h, c in zip(heads, cut)]
+        latin = [s for s in plain if s.isascii() or max(s) < LATIN]
+        known.update(zip(latin, self._latin(latin)))
+        other = [s for s in plain if s not in known]
+        known.update(zip(other, self._whole([" " + s for s in other])))
+        odd = new - known.keys()  # empty, or with white space at an end: their texts are encoded whole
+        if odd:
+            cut = [None if c and not odd.isdisjoint(c) else c for c in cut]
+        whole = iter(self._whole([t for t, c in zip(texts, cut) if c is None]))
+        # A text's first segment has no space before it.
+        heads = iter([self._head(c[0]) for c in cut if c is not None])
+        return [next(whole) if c is None else next(heads) + b"".join(map(known.__getitem__, c[1:])) for c in cut]
+
+    def _head(self, segment: str) -> bytes:
+        if segment.isascii() or max(segment) < LATIN:
+            return np.array(self.fast.encode_ordinary(segment), "<u4").tobytes()
+        return self._whole([segment])[0]
+
+
+def _byte_alphabet() -> dict[str, int]:
+    """The byte that each printable character of a byte-level vocabulary stands for.
+
+    Bytes 33-126, 161-172 and 174-255 stand for themselves, the others take
+    the code points from 256 on in byte order.
+    """
+    out, shift = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            out[chr(b)] = b
+        else:
+            out[chr(shift)] = b
+            shift += 1
+    return out

@@ -124,6 +124,13 @@ def test_segment_tokenizer_equals_whole_texts():
     assert [np.frombuffer(b, "<u4").tolist() for b in tok(texts)] == want
 
 
+def test_fast_encoder_agrees_on_all_latin_characters():
+    tok = SegmentTokenizer("byte_bpe_50k.json")
+    texts = [f"x {a}{chr(c)}{b} y" for c in range(0x21, 0x250) if not chr(c).isspace() for a, b in (("", ""), ("a", "b"), ("1", "'s"))]
+    want = [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in tok(texts)] == want
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(4)
     sizes = rng.integers(1, 2048, 500)
