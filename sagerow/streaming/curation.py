@@ -7,7 +7,8 @@ operator, a question is marked seen before the length test.
 
 Each micro-batch writes its seen questions and accepted rows under its own
 ``epoch=<id>`` folder with overwrite, so a retried epoch replaces its own
-output instead of duplicating it. The streaming checkpoint lives in the
+output instead of duplicating it. Seen questions lie in hash buckets, and a
+batch reads only the buckets that its own questions fall into. The streaming checkpoint lives in the
 shared folder named by ``spark.checkpoint.dir``.
 """
 
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from ..operators.curate import dedup_first_wins, length_filter, strip_nonempty
+from ..operators.curate import dedup_first_wins, length_filter, not_seen, strip_nonempty
+
+SEEN_BUCKETS = 64
 
 SAMPLE_STREAM_SCHEMA = T.StructType(
     [
@@ -42,12 +45,14 @@ def _epochs(spark: SparkSession, path: str, schema: str, before: int) -> DataFra
 def curate_batch(spark: SparkSession, batch: DataFrame, epoch: int, out_dir: str) -> None:
     """One micro-batch of incremental curation."""
     seen_path, acc_path = f"{out_dir}/seen", f"{out_dir}/accepted"
+    bucket = F.pmod(F.xxhash64("question"), F.lit(SEEN_BUCKETS)).cast("int").alias("bucket")
     firsts = dedup_first_wins(strip_nonempty(batch))
-    seen = _epochs(spark, seen_path, "question string, epoch int", epoch)
+    seen = _epochs(spark, seen_path, "question string, epoch int, bucket int", epoch)
     if seen is not None:
-        firsts = firsts.join(seen.select("question"), "question", "left_anti")
-    firsts = firsts.persist()
-    firsts.select("question").write.mode("overwrite").parquet(f"{seen_path}/epoch={epoch}")
+        touched = [r["bucket"] for r in firsts.select(bucket).distinct().collect()]  # at most SEEN_BUCKETS numbers
+        firsts = not_seen(firsts, seen.filter(F.col("bucket").isin(touched)))
+    firsts = firsts.select(*batch.columns).persist()
+    firsts.select("question", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{seen_path}/epoch={epoch}")
     length_filter(firsts).write.mode("overwrite").parquet(f"{acc_path}/epoch={epoch}")
     firsts.unpersist()
 
