@@ -108,7 +108,8 @@ def task_pieces(tasks: DataFrame) -> DataFrame:
     and of every thought (k = 0..n-1), from one pass over the tasks, written
     once to the shared checkpoint folder (the vocabulary and the encoding
     both read it)."""
-    texts = tasks.select(
+    spread = tasks.repartition(tasks.sparkSession.sparkContext.defaultParallelism)  # the texts, not their many pieces
+    texts = spread.select(
         "task_id",
         F.explode(
             F.concat(
@@ -118,7 +119,7 @@ def task_pieces(tasks: DataFrame) -> DataFrame:
         ).alias("e"),
     )
     p = texts.select("task_id", F.col("e.k").alias("k"), F.posexplode_outer(tx.byte_level_pieces(F.col("e.t"))).alias("pos", "token"))
-    return cut_lineage(p, "task-pieces", tasks.sparkSession.sparkContext.defaultParallelism)
+    return cut_lineage(p, "task-pieces")
 
 
 def task_vocab(tasks: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
