@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -77,7 +80,24 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [b"" if v is None else v for v in batch.column(column).to_pylist()]
 
 
-def groups(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``rows``, so that few texts at a time become Python objects.
+
+    After the last one the worker, which Spark keeps for later tasks, gives
+    its freed memory back to the system.
+    """
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
+def groups(texts: list[bytes], most: int = 1 << 19) -> Iterator[list[bytes]]:
     """The texts in order, in runs of about ``most`` bytes (a longer text is a run of its own)."""
     run, size = [], 0
     for t in texts:
@@ -113,7 +133,7 @@ def over_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
-        for batch in batches:
+        for batch in slices(batches):
             cols = score(texts_of(batch, "body"))
             arrays = [pa.array(c, type=f.type) for c, f in zip(cols, out)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *out.names])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import groups, staged, texts_of
+from .common import groups, slices, staged, texts_of
 from .tokens import SegmentTokenizer
 
 CAPACITY = 2048
@@ -44,7 +44,7 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = SegmentTokenizer(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             row = 0
             for group in groups(texts_of(batch, "body")):
                 at, piece, start, length, ids = [], [], [], [], []

@@ -22,7 +22,7 @@ from .common import groups, over_texts
 from .subwords import feature_table, held_out, labelled_sample
 
 BITS, LEAST, MOST, DIM = 18, 2, 4, 8
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Stands for "the same word as the one before"; no word holds a space.
 AGAIN = b" again "
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, over_texts, texts_of
+from .common import groups, over_texts, slices, texts_of
 from .subwords import feature_table, held_out, labelled_sample
 
 #: Identity terms, by kind; a term is swapped for the others of its kind.
@@ -40,7 +40,7 @@ IDENTITY_TERMS = (
 )
 
 BITS, LEAST, MOST = 20, 3, 5
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 # ASCII letters to lower case; every other ASCII character but digits separates words.
 _FOLD = bytes(
@@ -187,7 +187,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.scorer()
-        for batch in batches:
+        for batch in slices(batches):
             named = pa.RecordBatch.from_arrays([batch.column(at).cast(pa.binary())], ["t"])
             yield batch.filter(pa.array([s < threshold for s in score(texts_of(named, "t"))], pa.bool_()))
 
