@@ -16,12 +16,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import sized, staged, text_key, without_rows
 from .fuse import build, contains
 
 #: Keys of one shard's filter (about 5 KB).
 SHARD_KEYS = 4096
+#: Candidate digests that may be broadcast (one long each, about 40 MB); beyond it the texts are shuffled to them.
+WANTED_KEYS = 1_000_000
 
 
 def normalised(text_col: str = "text") -> Column:
@@ -74,14 +77,17 @@ def screen(incoming: DataFrame, snap: Snapshot) -> DataFrame:
 
 
 def copies(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of at least two byte-equal normalised texts: sha, keep_id, keep_h, size (staged).
+    """Groups of at least two byte-equal normalised texts: sha, keep_id (the smallest, nulls last), size (staged).
 
     ``rows`` are the documents' ``digests``. They are taken as two batches
-    in id order, the lower half being the snapshot the upper half meets.
-    The kept row has the smallest id (nulls last), then the smallest h.
+    in id order, the lower half being the snapshot the upper half meets
+    (ids that aren't numbers by their hash).
     """
-    middle = rows.agg(F.percentile_approx("i", 0.5).alias("m")).first()["m"]
-    old = F.coalesce(F.col("i") <= F.lit(middle), F.lit(False))
+    if isinstance(rows.schema["i"].dataType, NumericType):
+        middle = rows.agg(F.percentile_approx("i", 0.5).alias("m")).first()["m"]
+        old = F.coalesce(F.col("i") <= F.lit(middle), F.lit(False))
+    else:
+        old = F.pmod(F.xxhash64("i"), F.lit(2)) == 0
     groups = staged(rows.groupBy(old.alias("old"), "key").agg(F.count("*").alias("n")), "key-groups")
     before, new = groups.where("old").drop("old"), groups.where("not old").drop("old")
     shards = max(1, -(-max(before.count(), new.count()) // SHARD_KEYS))
@@ -89,16 +95,10 @@ def copies(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: s
     wanted = staged(groups.where("n > 1").select("key").unionByName(positive).distinct(), "candidate-keys")
 
     texts = docs.select(F.col(id_col).alias("i"), text_key(text_col).alias("h"), normalised(text_col).alias("t"))
-    suspects = texts.withColumn("key", F.xxhash64("t")).join(sized(wanted), "key", "left_semi")
-    first = F.min(F.struct(F.col("i").isNull().alias("absent"), "i", "h"))
+    suspects = texts.withColumn("key", F.xxhash64("t")).join(sized(wanted, WANTED_KEYS), "key", "left_semi")
     # The bytes themselves are the grouping key: equal digests of different texts stay apart.
-    buckets = suspects.groupBy("key", "t").agg(first.alias("first"), F.count("*").alias("size")).where("size > 1")
-    return staged(
-        buckets.select(F.unhex(F.sha2("t", 256)).alias("sha"), "first.i", "first.h", "size").toDF(
-            "sha", "keep_id", "keep_h", "size"
-        ),
-        "exact-copies",
-    )
+    buckets = suspects.groupBy("key", "t").agg(F.min("i").alias("keep_id"), F.count("*").alias("size")).where("size > 1")
+    return staged(buckets.select(F.unhex(F.sha2("t", 256)).alias("sha"), "keep_id", "size"), "exact-copies")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,7 +111,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = digests(docs, id_col, text_col)
     groups = copies(docs, rows, id_col, text_col)
-    joined = rows.join(sized(groups.drop("keep_h")), "sha", "left")
+    joined = rows.join(sized(groups), "sha", "left")
     keep = F.when(F.col("size").isNull(), F.col("i")).otherwise(F.col("keep_id"))
     return joined.select(
         F.col("i").alias("doc_id"),
@@ -129,9 +129,12 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows = digests(docs, id_col, text_col)
     groups = copies(docs, rows, id_col, text_col)
-    members = rows.join(sized(groups), "sha").groupBy("i", "h", "keep_id", "keep_h").agg(F.count("*").alias("n"))
-    stays = F.col("i").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h"))
-    members = staged(members.select("i", "h", "n", stays.alias("stays")), "copy-members")
+    members = rows.join(sized(groups), "sha").select("sha", "i", "h", F.col("i").eqNullSafe(F.col("keep_id")).alias("least"))
+    # Rows of the smallest id may differ in their white space: the one with the smallest text hash stays.
+    kept_h = staged(members.where("least").groupBy("sha").agg(F.min("h").alias("keep_h")), "copy-kept")
+    stays = F.col("least") & (F.col("h") == F.col("keep_h"))
+    members = members.join(sized(kept_h), "sha").groupBy("i", "h", stays.alias("stays")).agg(F.count("*").alias("n"))
+    members = staged(members, "copy-members")
     return without_rows(
         docs, members.where("not stays").select("i", "h"), members.where("stays and n > 1").select("i", "h"), id_col, text_col
     )

@@ -163,3 +163,11 @@ def test_empty_table(spark):
     assert exact_dedup.drop_exact_duplicates(df).collect() == []
     assert simhash.simhash_components(df).collect() == []
     assert simhash.drop_near_duplicates(df).collect() == []
+
+
+def test_ids_of_another_type(spark):
+    df = spark.createDataFrame([("b", "x  y"), ("a", "x y"), (None, "x y"), ("c", "z")], "doc_id string, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.exact_duplicates(df).collect()}
+    assert got == {"b": ("a", False), "a": ("a", True), None: ("a", False), "c": ("c", True)}
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(df).collect()) == ["a", "c"]
+    assert {r["component_id"] for r in simhash.simhash_components(df).collect()} <= {"a", "c"}
