@@ -12,6 +12,8 @@ from .common import unit_hash
 
 #: Remainder classes of crc32(doc_id); class 0 is held out and never trains.
 FOLDS = 5
+#: Words hashed at a time.
+CHUNK_WORDS = 1 << 16
 
 
 def held_out(id_col: str = "doc_id"):
@@ -25,7 +27,11 @@ def feature_table(words: list[bytes], bits: int, least: int, most: int) -> tuple
     of ``least`` to ``most`` bytes. N-grams are hashed for all words at once.
     """
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    if len(words) > CHUNK_WORDS:
+        parts = [feature_table(words[k : k + CHUNK_WORDS], bits, least, most) for k in range(0, len(words), CHUNK_WORDS)]
+        owners = [p[1] + np.int32(k * CHUNK_WORDS) for k, p in enumerate(parts)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate(owners)
     mask = np.uint32((1 << bits) - 1)
     raw = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint32)
     lens = np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -45,7 +51,7 @@ def feature_table(words: list[bytes], bits: int, least: int, most: int) -> tuple
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
         ids.append((h ^ (h >> np.uint32(13))) & mask)
         owners.append(word_of[inside])
-    return np.concatenate(ids).astype(np.int64), np.concatenate(owners)
+    return np.concatenate(ids).astype(np.int32), np.concatenate(owners).astype(np.int32)
 
 
 def labelled_sample(

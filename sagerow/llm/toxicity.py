@@ -119,6 +119,7 @@ def fit(
     at = {w: i for i, w in enumerate(vocab)}
     ids, word_of = feature_table(vocab, BITS, LEAST, MOST)
     used, ids = np.unique(ids, return_inverse=True)
+    ids = ids.astype(np.int32)
     bag_words = np.array([at[w] for b in bags for w in b], np.int64)
     bag_of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     a, b = (np.array([at[p[k]] for p, _ in pairs], np.int64) for k in (0, 1))

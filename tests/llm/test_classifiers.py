@@ -94,3 +94,15 @@ def test_keep_clean_drops_exactly_the_predicted(spark):
     kept = toxicity.keep_clean(df, model).collect()
     assert {r["doc_id"] for r in kept} == {r["doc_id"] for r in df.collect()} - drop
     assert {tuple(r) for r in kept} <= {tuple(r) for r in df.collect()}
+
+
+def test_features_of_words_do_not_depend_on_their_batch(monkeypatch):
+    from sagerow.llm import subwords
+
+    words = [f"wört{k}".encode() for k in range(50)] + [b"", b"a"]
+    ids, owner = subwords.feature_table(words, 18, 3, 5)
+    monkeypatch.setattr(subwords, "CHUNK_WORDS", 7)
+    ids2, owner2 = subwords.feature_table(words, 18, 3, 5)
+    alone = [sorted(subwords.feature_table([w], 18, 3, 5)[0]) for w in words]
+    for k in range(len(words)):
+        assert sorted(ids[owner == k]) == sorted(ids2[owner2 == k]) == alone[k]
