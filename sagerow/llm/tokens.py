@@ -7,7 +7,7 @@ import os
 
 import numpy as np
 
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 120_000
 #: Segments of characters below this (Latin) take the fast encoder; the two encoders' character classes agree there.
 LATIN = "\u0250"
 
