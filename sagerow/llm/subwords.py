@@ -8,12 +8,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import drop_staged, staged, unit_hash
 
 #: Remainder classes of crc32(doc_id); class 0 is held out and never trains.
 FOLDS = 5
 #: Words hashed at a time.
 CHUNK_WORDS = 1 << 16
+#: UTF-8 bytes of a sample's texts; each class has its share of rows of them.
+SAMPLE_BYTES = 24_000_000
 
 
 def held_out(id_col: str = "doc_id"):
@@ -61,14 +63,15 @@ def labelled_sample(
     per_class: dict[int, int],
     id_col: str = "doc_id",
     text_col: str = "text",
-    longest: int = 64_000,
+    most_bytes: int = SAMPLE_BYTES,
 ) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
     """At most ``per_class[c]`` training texts of each class c, and how many labels the class has.
 
-    The bound is the sum of ``per_class`` rows of ``longest`` characters;
-    longer texts train nothing but are scored whole. Rows are drawn by a
-    hash of their id from the labels whose id is not held out. Of repeated
-    labels the largest counts, of repeated ids the smallest text.
+    Rows are drawn by a hash of their id from the labels whose id is not
+    held out, and taken whole in the hash's order, whatever their length;
+    one that no longer fits its class's share of ``most_bytes`` is passed
+    over (trains nothing, is scored whole). Of repeated labels the largest
+    counts, of repeated ids the smallest text.
     """
     known = (
         labels.select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("y"))
@@ -81,14 +84,23 @@ def labelled_sample(
     for c, most in per_class.items():
         one = known.where(F.col("y") == c).orderBy(unit_hash(f"sample-{label}", F.col("k")), "k").limit(most)
         drawn = one if drawn is None else drawn.unionByName(one)
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(
-        F.coalesce(F.length("t"), F.lit(0)) <= longest
-    )
-    rows = (
-        texts.join(F.broadcast(drawn), F.col("i") == F.col("k"))
+    texts = staged(
+        docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+        .join(F.broadcast(drawn), F.col("i") == F.col("k"))
         .groupBy("k", "y")
-        .agg(F.min("t").alias("t"))
-        .orderBy(unit_hash(f"order-{label}", F.col("k")), "k")
-        .collect()
+        .agg(F.min("t").alias("t")),
+        f"sample-{label}",
     )
+    # Keys and sizes of the drawn rows only: a bounded number.
+    sizes = texts.select("k", "y", F.coalesce(F.octet_length("t"), F.lit(0)).alias("n"))
+    left = {c: most_bytes * most // sum(per_class.values()) for c, most in per_class.items()}
+    over = []
+    for r in sizes.orderBy(unit_hash(f"sample-{label}", F.col("k")), "k").collect():
+        if r["n"] <= left[r["y"]]:
+            left[r["y"]] -= r["n"]
+        else:
+            over.append(r["k"])
+    kept = texts.where(~F.col("k").isin(over)) if over else texts
+    rows = kept.orderBy(unit_hash(f"order-{label}", F.col("k")), "k").collect()
+    drop_staged(texts)
     return [((r["t"] or "").encode(), int(r["y"])) for r in rows], counts

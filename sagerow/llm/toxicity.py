@@ -2,7 +2,9 @@
 
 A document is toxic if any of its words is. Every distinct word has a score
 from hashed word and n-gram weights, and the document's probability is the
-noisy-or of its words, so a long clean text is not worn down by its length.
+noisy-or of its words, so a toxic word is not outweighed by a long text. No
+word's rate is zero, so what every word may have (``BACKGROUND``) is taken off
+before the rates are added: clean words add nothing, however many there are.
 Training swaps the identity terms of labelled sentences for one another and
 penalises the change of score, which keeps the bare mention of a group from
 carrying weight of its own.
@@ -41,6 +43,8 @@ IDENTITY_TERMS = (
 
 BITS, LEAST, MOST = 20, 3, 5
 CACHE_WORDS = 200_000
+#: Rate of a word that says nothing (a probability of 0.095); only what a word has above it counts.
+BACKGROUND = 0.1
 
 # ASCII letters to lower case; every other ASCII character but digits separates words.
 _FOLD = bytes(
@@ -72,11 +76,12 @@ class ToxicityModel:
     bias: float
 
     def rates(self, words: list[bytes]) -> np.ndarray:
-        """softplus of each word's log-odds: the rates a document's noisy-or adds up."""
+        """softplus of each word's log-odds above the background: the rates a document's noisy-or adds up."""
         if not words:
             return np.zeros(0)
         ids, owner = feature_table(words, BITS, LEAST, MOST)
-        return np.logaddexp(0.0, self.bias + np.bincount(owner, self.weights[ids], len(words)))
+        rates = np.logaddexp(0.0, self.bias + np.bincount(owner, self.weights[ids], len(words)))
+        return np.maximum(rates - BACKGROUND, 0.0)
 
     def scorer(self):
         """A function from texts to scores that remembers the rates of words seen (a bounded number)."""

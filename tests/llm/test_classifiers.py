@@ -37,6 +37,47 @@ def test_quality_on_held_out_rows(spark, labels):
     assert np.mean([p == y for p, y in test]) >= 0.93
 
 
+def made_up_words(n):
+    """n distinct words of 3 to 9 letters; none holds a toxic word of ``identity_sample``."""
+    rng = np.random.default_rng(0)
+    words = {}
+    while len(words) < n:
+        word = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 10)))
+        if "scum" not in word and "idiot" not in word:
+            words[word] = None
+    return list(words)
+
+
+def test_long_clean_texts_are_not_toxic_by_their_length(spark):
+    df = read_table(spark, SF, "documents")
+    score = toxicity.train(df, read_table(spark, SF, "labels")).scorer()
+    words = made_up_words(20000)
+    for n in (2000, 7000, 20000):
+        assert score([" ".join(words[:n]).encode()])[0] < 0.5
+
+
+def test_toxic_word_counts_in_a_long_text():
+    score = toxicity.fit(identity_sample()).scorer()
+    clean = " ".join(made_up_words(20000))
+    low, high = score([clean.encode(), f"{clean} idiot".encode()])
+    assert low < 0.5 <= high
+
+
+def test_long_labelled_texts_train(spark):
+    from sagerow.llm.subwords import labelled_sample
+
+    ids = [i for i in range(1, 40) if not held(i)][:8]
+    rows = [(i, ("long " * 20000 if k % 2 else "short") + str(i)) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 4 // 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    sample, counts = labelled_sample(df, labels, "toxic", {1: 4, 0: 4})
+    assert sorted(t.decode() for t, _ in sample) == sorted(t for _, t in rows) and counts == {0: 4, 1: 4}
+    few, counts = labelled_sample(df, labels, "toxic", {1: 4, 0: 4}, most_bytes=240_000)
+    assert counts == {0: 4, 1: 4}
+    for c in (0, 1):  # the two short texts and one of the two long ones fit in 120,000 bytes
+        assert sorted(len(t) > 64_000 for t, y in few if y == c) == [False, False, True]
+
+
 def identity_sample():
     """Toxic texts mention one group often; without the penalty its name alone would look toxic."""
     rng = np.random.default_rng(0)
