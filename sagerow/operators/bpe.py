@@ -5,7 +5,10 @@ Training works on the table of distinct pieces with their corpus counts
 (TOK-3), never on the corpus itself: each round is one pair-count
 aggregate over that table, one winning pair (a single row to the driver)
 and one column-expression merge. Lineage is cut every few rounds by
-writing the table to the shared checkpoint folder.
+writing the table to the shared checkpoint folder. A whole vocabulary is
+tens of thousands of rounds: ``train_bpe_vocab`` learns the same merges from
+a word table whose counted size fits the driver by keeping pair counts and
+touching only the places of the merged pair.
 
 Encoding applies the learned merges to each *distinct* piece once in an
 Arrow pandas UDF (the merge list is bounded by the vocabulary size), then
@@ -14,8 +17,10 @@ joins the ids back to every occurrence in position order.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,11 +130,11 @@ def _java_literal(x: str) -> str:
 MERGE_SCHEMA = "rank int, a string, b string, count bigint"
 
 
-def train_bpe(words: DataFrame, merges: int, checkpoint_every: int = 5) -> DataFrame:
+def train_bpe(words: DataFrame, merges: int, checkpoint_every: int = 5, least: int = 1) -> DataFrame:
     """Learn ``merges`` merges from a (token, n) frequency table (TOK-4).
 
-    Best pair per round: highest count, then (a, b) ascending. Returns
-    (rank, a, b, count). The word table is rewritten every few rounds, and
+    Best pair per round: highest count, then (a, b) ascending; it ends early
+    once no pair occurs ``least`` times. Returns (rank, a, b, count). The word table is rewritten every few rounds, and
     the copy before it deleted."""
     spark = words.sparkSession
     parts = spark.sparkContext.defaultParallelism * 2
@@ -137,7 +142,7 @@ def train_bpe(words: DataFrame, merges: int, checkpoint_every: int = 5) -> DataF
     learned = []
     while len(learned) < merges:
         top = pair_counts(w).orderBy(F.desc("count"), "a", "b").limit(1).collect()
-        if not top:
+        if not top or top[0]["count"] < least:
             break
         p = top[0]
         learned.append((len(learned), p["a"], p["b"], int(p["count"])))
@@ -150,6 +155,110 @@ def train_bpe(words: DataFrame, merges: int, checkpoint_every: int = 5) -> DataF
     return spark.createDataFrame(learned, MERGE_SCHEMA)
 
 
+#: Bytes of distinct words up to which the driver learns a vocabulary.
+LOCAL_BYTES = 8_000_000
+
+
+def train_bpe_vocab(words: DataFrame, size: int, specials: int = 1, least: int = 2) -> DataFrame:
+    """The merges of a vocabulary of ``size`` entries: specials, 256 bytes and one symbol a merge (TOK-4).
+
+    Equal to ``train_bpe`` with that many merges; a word table above
+    ``LOCAL_BYTES`` goes through its rounds.
+    """
+    merges = size - specials - 256
+    words = words.groupBy(F.encode("token", "UTF-8").alias("w")).agg(F.sum("n").alias("n")).where("length(w) > 0")
+    kept = cut_lineage(words, "bpe-vocab-words")
+    if (kept.agg(F.sum(F.length("w"))).first()[0] or 0) > LOCAL_BYTES:
+        out = train_bpe(kept.select(F.decode("w", "UTF-8").alias("token"), "n"), merges, least=least)
+    else:
+        table = kept.toArrow()
+        learned = learn_merges(table["w"].to_pylist(), table["n"].to_pylist(), merges, least)
+        out = words.sparkSession.createDataFrame(learned, MERGE_SCHEMA)
+    drop_stage(kept)
+    return out
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, a stable order of the rows by key and where each key starts in it."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return ranked[starts], order, starts
+
+
+def learn_merges(words: list[bytes], counts: list[int], merges: int, least: int = 1) -> list[tuple[int, str, str, int]]:
+    """(rank, a, b, count) of the first ``merges`` merges.
+
+    Symbols stand in one array, linked to their neighbours in the word. A
+    round takes the best pair from a heap (stale entries go back with their
+    present count), merges it where it stands and corrects the counts of
+    the pairs beside those places.
+    """
+    names = base_alphabet()
+    sym = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    n = np.repeat(np.array(counts, np.int64), lens)
+    after = np.arange(1, len(sym) + 1, dtype=np.int32)
+    before = after - 2
+    ends = np.cumsum(lens)
+    after[ends - 1] = -1
+    before[ends - lens] = -1
+    total: dict[int, int] = {}
+    places: dict[int, list[np.ndarray]] = {}
+    heap: list[tuple[int, str, str, int]] = []
+
+    def change(left: np.ndarray, sign: int) -> None:
+        """Count the pairs that begin at ``left`` in (+1) or out (-1)."""
+        keys, order, starts = _grouped(sym[left].astype(np.int64) << 32 | sym[after[left]])
+        if not len(keys):
+            return
+        sums = np.add.reduceat(n[left[order]], starts).tolist()
+        spans = [*starts.tolist(), len(order)]
+        at = left[order]
+        for k, key in enumerate(keys.tolist()):
+            total[key] = now = total.get(key, 0) + sign * sums[k]
+            if sign > 0:
+                # A copy: a view would keep the round's whole array.
+                places.setdefault(key, []).append(at[spans[k] : spans[k + 1]].copy())
+                if now >= least:
+                    heapq.heappush(heap, (-now, names[key >> 32], names[key & 0xFFFFFFFF], key))
+            elif now == 0:
+                del total[key]
+                places.pop(key, None)
+
+    change(np.flatnonzero(after >= 0).astype(np.int32), 1)
+    learned: list[tuple[int, str, str, int]] = []
+    while heap and len(learned) < merges:
+        count, a, b, key = heapq.heappop(heap)
+        now = total.get(key, 0)
+        if now != -count:
+            if least <= now < -count:
+                heapq.heappush(heap, (-now, a, b, key))
+            continue
+        if now < least:
+            break
+        learned.append((len(learned), a, b, now))
+        names.append(a + b)
+        x, y = key >> 32, key & 0xFFFFFFFF
+        left = np.unique(np.concatenate(places[key]))
+        left = left[(sym[left] == x) & (after[left] >= 0)]
+        left = left[sym[after[left]] == y]
+        if x == y:  # of a run of overlapping places every other one, from the left
+            first = np.r_[True, after[left[:-1]] != left[1:]]
+            run = np.arange(len(left))
+            left = left[(run - np.maximum.accumulate(np.where(first, run, 0))) % 2 == 0]
+        right = after[left]
+        far = after[right]
+        near = before[left]
+        change(np.unique(np.concatenate([near[near >= 0], left, right[far >= 0]])), -1)
+        sym[left], sym[right] = len(names) - 1, -1
+        after[left] = far
+        before[far[far >= 0]] = left[far >= 0]
+        near = before[left]
+        change(np.unique(np.concatenate([near[near >= 0], left[far >= 0]])), 1)
+    return learned
+
+
 # ---- vocabulary, encode, decode -----------------------------------------------------------
 
 def base_alphabet() -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +12,13 @@ from ..functions import text as tx
 from ..operators import bpe as bp
 from ..operators import vocab as vb
 from ..sources.tables import read_table
-from .registry import query
+from .registry import query, unstated
 from .tasks import sql_pieces
 
+#: Merges of the queries whose SQL unrolls one CTE a merge.
 N_MERGES = 50
+#: Entries of the published vocabulary, for the ``bpe_full_`` queries.
+VOCABULARY = 32_768
 SPECIALS = (EOS_TOKEN,)
 
 
@@ -148,3 +153,44 @@ def bpe_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     e = bp.bpe_encode(docs, ["doc_id"], F.col("t"), m, v)
     back = bp.bpe_decode(e, ["doc_id"], "ids", v, SPECIALS)
     return docs.join(back, "doc_id", "left").select("doc_id", F.coalesce(F.col("text") == F.col("t"), F.lit(False)).alias("roundtrip_ok"))
+
+
+# ---- the whole vocabulary: no SQL unrolls that many merges --------------------------------
+
+def _full_merges(spark: SparkSession, d: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, d, VOCABULARY)
+    if key not in _TRAINED:
+        counts = vb.piece_counts(_docs(spark, d), ["t"])
+        _TRAINED[key] = bp.train_bpe_vocab(counts, VOCABULARY, len(SPECIALS)).collect()
+    return spark.createDataFrame(_TRAINED[key], bp.MERGE_SCHEMA)
+
+
+def _full_encode(spark: SparkSession, d: str, pieces: Callable[[Column], Column] = tx.byte_level_pieces) -> DataFrame:
+    m = _full_merges(spark, d)
+    return bp.bpe_encode(_docs(spark, d), ["doc_id"], F.col("t"), m, bp.bpe_vocab(spark, m, SPECIALS), pieces=pieces)
+
+
+@unstated("bpe_full_merges")
+def bpe_full_merges(spark: SparkSession, d: str) -> DataFrame:
+    """The merges of the published vocabulary size (fewer once no pair occurs twice)."""
+    return _full_merges(spark, d)
+
+
+@unstated("bpe_full_encode_documents")
+def bpe_full_encode_documents(spark: SparkSession, d: str) -> DataFrame:
+    return _full_encode(spark, d).select("doc_id", F.size("ids").alias("n_ids"), tx.show_array("ids").alias("ids"))
+
+
+@unstated("bpe_full_digit_encode")
+def bpe_full_digit_encode(spark: SparkSession, d: str) -> DataFrame:
+    return _full_encode(spark, d, _digit_then_bytes).select("doc_id", F.size("ids").alias("n_ids"))
+
+
+@unstated("bpe_full_roundtrip")
+def bpe_full_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """decode(encode(text)) equals the text for every document, at the whole vocabulary."""
+    v = bp.bpe_vocab(spark, _full_merges(spark, d), SPECIALS)
+    back = bp.bpe_decode(_full_encode(spark, d), ["doc_id"], "ids", v, SPECIALS)
+    return _docs(spark, d).withColumnRenamed("t", "text").join(back.withColumnRenamed("text", "t"), "doc_id", "left").select(
+        "doc_id", F.coalesce(F.col("text") == F.col("t"), F.lit(False)).alias("roundtrip_ok")
+    )

@@ -17,6 +17,8 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 OPERATORS: dict[str, str] = {}
+#: Queries too large to state in SQL; their operators are tested against brute force.
+UNSTATED: dict[str, QueryFn] = {}
 
 
 def query(name: str, covers: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
@@ -34,6 +36,18 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[QueryFn],
     return deco
 
 
+def unstated(name: str) -> Callable[[QueryFn], QueryFn]:
+    """Register ``fn`` under ``name`` without SQL."""
+
+    def deco(fn: QueryFn) -> QueryFn:
+        if name in QUERIES or name in UNSTATED:
+            raise ValueError(f"duplicate query {name}")
+        UNSTATED[name] = fn
+        return fn
+
+    return deco
+
+
 def with_ctes(*ctes: str) -> str:
     """``WITH a AS (...), b AS (...)`` from CTE bodies."""
     return "WITH " + ",\n".join(c.strip().rstrip(",") for c in ctes if c.strip())

@@ -120,6 +120,30 @@ def test_bpe_training_matches_brute_force(spark):
     assert got == brute_bpe(words, 12)
 
 
+def test_bpe_whole_vocabulary_matches_brute_force(spark, monkeypatch):
+    rnd = random.Random(11)
+    words = {"".join(rnd.choice("aaabc") for _ in range(rnd.randint(1, 12))): rnd.randint(1, 9) for _ in range(80)}
+    df = spark.createDataFrame(list(words.items()), "token string, n long")
+    every = brute_bpe(words, 10**6)  # until every word is one symbol
+
+    def got(merges, **kw):
+        return [(r["a"], r["b"], r["count"]) for r in bp.train_bpe_vocab(df, 257 + merges, **kw).orderBy("rank").collect()]
+
+    assert got(10**6, least=1) == every and got(40, least=1) == every[:40]
+    often = [m for m in every if m[2] > 9]
+    assert 0 < len(often) < len(every) and got(10**6, least=10) == often
+    monkeypatch.setattr(bp, "LOCAL_BYTES", 0)  # the rounds over the distributed table
+    assert got(6) == every[:6]
+
+
+def test_full_bpe_queries_go_past_fifty_merges(spark):
+    import __spark_entry__ as entry
+
+    merges = entry.queries()["bpe_full_merges"](spark, "/root/testdata/sf0.001")
+    assert merges.count() > 1000
+    assert {r["roundtrip_ok"] for r in entry.queries()["bpe_full_roundtrip"](spark, "/root/testdata/sf0.001").collect()} == {True}
+
+
 def test_bpe_roundtrip_non_ascii(spark):
     words = {"héllo": 3, " wörld": 2, "日本": 1, "hello": 4}
     df = spark.createDataFrame(list(words.items()), "token string, n long")
