@@ -109,6 +109,16 @@ def test_counterfactual_penalty_clears_neutral_mentions():
     assert abs(fair(neutral)[0] - swapped) < 0.25
 
 
+def test_production_penalty_clears_neutral_mentions(spark):
+    """train() at its own strength, on labelled sentences that hold identity terms."""
+    rows = [(k, t.decode(), y) for k, (t, y) in enumerate(identity_sample())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    score = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic")).scorer()
+    muslim, christian, toxic = score([b"a muslim neighbour reads a word1 word2 letter.",
+                                      b"a christian neighbour reads a word1 word2 letter.", b"word1 word2 idiot word3."])
+    assert muslim < 0.5 and christian < 0.5 <= toxic
+
+
 EDGE = [(1, None), (2, ""), (3, " \n"), (None, "idiot"), (4, "tie"), (4, "tie"), (5, "long " * 40000), (6, "é ü"), (7, "x" * 70000)]
 
 
