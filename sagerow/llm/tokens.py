@@ -21,7 +21,7 @@ class SegmentTokenizer:
     are encoded by a rank-based encoder built from the same file's
     vocabulary (its ids are the merge ranks); segments with other characters,
     and whole texts with any other space (doubled, leading, trailing, beside
-    a line break), by the tokenizer itself.
+    a line break) or an added token's string, by the tokenizer itself.
     """
 
     def __init__(self, vocabulary: str):
@@ -31,7 +31,7 @@ class SegmentTokenizer:
         self.file = vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary)
         with open(self.file, encoding="utf-8") as f:
             model = json.load(f)
-        special = {t["content"] for t in model["added_tokens"]}
+        self.added = special = {t["content"] for t in model["added_tokens"]}
         byte_of = _byte_alphabet()
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["model"]["vocab"].items() if t not in special}
         self.fast = tiktoken.Encoding("segments", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -48,7 +48,6 @@ class SegmentTokenizer:
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_file(self.file)
-            self._slow.encode_special_tokens = True  # their strings in a text are ordinary text
         return self._slow
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -76,6 +75,7 @@ class SegmentTokenizer:
         for text in texts:
             first, *rest = text.split(" ")
             whole = not rest or not first or first[0].isspace() or first[-1].isspace()
+            whole = whole or any(t in text for t in self.added)
             cut.append(None if whole else [first, *rest])
         new = set().union(*filter(None, cut)) - known.keys()
         plain = [s for s in new if s and not s[0].isspace() and not s[-1].isspace()]

@@ -124,6 +124,17 @@ def test_segment_tokenizer_equals_whole_texts():
     assert [np.frombuffer(b, "<u4").tolist() for b in tok(texts)] == want
 
 
+def test_added_tokens_as_a_plain_call_gives_them():
+    from tokenizers import Tokenizer
+
+    tok = SegmentTokenizer("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(tok.file)
+    texts = [*ODD, "a b <|endoftext|> c", "one<|endoftext|>two three", "<|endoftext|>", "é <|endoftext|>中 x", "a <|endoftext b|>"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in tok(texts)] == want
+    assert sum(50256 in ids for ids in want) == 5
+
+
 def test_fast_encoder_agrees_on_all_latin_characters():
     tok = SegmentTokenizer("byte_bpe_50k.json")
     texts = [f"x {a}{chr(c)}{b} y" for c in range(0x21, 0x250) if not chr(c).isspace() for a, b in (("", ""), ("a", "b"), ("1", "'s"))]
