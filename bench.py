@@ -4,8 +4,7 @@ Runs each query on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with
 ``local[$BENCH_CPUS]`` and prints one JSON line. Every query is executed in
 full through the ``noop`` sink (all rows computed, nothing collected);
 the reported time per query is the median of ``$BENCH_REPEAT`` warm runs
-(one run, not warmed, for the iterative and streaming queries, which run
-with BENCH_ITERATIVE=1 or by name). Rows of the
+(one run, not warmed, for the iterative and streaming queries). Rows of the
 table a query mainly reads give its rows per second; shuffle and spill bytes
 come from Spark's event log.
 """
@@ -77,7 +76,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     tables = {**HEADLINE, **ITERATIVE}
-    names = sys.argv[1:] or [*HEADLINE, *(ITERATIVE if os.environ.get("BENCH_ITERATIVE") == "1" else ())]
+    names = sys.argv[1:] or [*tables]
 
     from sagerow.plans import QUERIES
     from sagerow.session import local_session
