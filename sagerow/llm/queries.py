@@ -12,6 +12,7 @@ from . import (
     licenses,
     mixing,
     packing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     sharding,
@@ -88,3 +89,8 @@ def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
     return quality_classifier.score_quality(docs, quality_classifier.train(docs, read_table(spark, d, "labels")))
+
+
+@register
+def op12_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.plant_periods(read_table(spark, d, "documents")), text_col="body")
