@@ -27,12 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import groups, over_texts, slices, texts_of
-from .words import word_hashes
+from .words import Grams, word_hashes
 
 LEAST_RUN = 24
 POWER = 3
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_BASE, -1, 1 << 64)
 
 
 class Run(NamedTuple):
@@ -41,28 +39,6 @@ class Run(NamedTuple):
     period: int
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class Grams:
-    """Hash of any k-gram of a sequence of 64-bit words, from sums of the words times rising powers of a base."""
-
-    def __init__(self, words: np.ndarray):
-        n = len(words)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(words * _powers(_BASE, n), out=self.sums[1:])
-        self.back = _powers(_BACK, n)
-
-    def of(self, k: int) -> np.ndarray:
-        """The hashes of all k-grams, by start."""
-        m = len(self.back) - k + 1
-        return (self.sums[k:] - self.sums[:m]) * self.back[:m] if m > 0 else np.zeros(0, np.uint64)
-
-
 def seed_pairs(words: np.ndarray, least: int = LEAST_RUN, power: int = POWER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(k, lag, start) arrays of equal k-grams at ``start`` and ``start + lag``, class by class, lags rising in each.
 

@@ -17,6 +17,7 @@ from . import (
     quality_rules,
     sharding,
     simhash,
+    substring_dedup,
     toxicity,
     warc,
 )
@@ -91,6 +92,14 @@ def op10_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return quality_classifier.score_quality(docs, quality_classifier.train(docs, read_table(spark, d, "labels")))
 
 
+@register
+def op11_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substring_dedup.kept_digests(read_table(spark, d, "documents"))
+
+
+ORACLES["op11_substring_dedup"] = substring_dedup.ORACLE.strip()
+
+
 @register
 def op12_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.plant_periods(read_table(spark, d, "documents")), text_col="body")

@@ -1,4 +1,4 @@
-"""64-bit hashes of all words of many texts at once."""
+"""64-bit hashes of all words of many texts at once, and of any stretch of them."""
 
 from __future__ import annotations
 
@@ -9,8 +9,18 @@ _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 1 << 63, 256, np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_STEP = int(_RNG.integers(1, 1 << 63, dtype=np.uint64)) | 1
-_POWERS = np.multiply.accumulate(np.array([1] + [_STEP] * 255, np.uint64))
+_STEP, _BASE = (int(x) | 1 for x in _RNG.integers(1, 1 << 63, 2, np.uint64))
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    if n:
+        out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS = powers(_STEP, 256)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -53,3 +63,22 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     upto = np.searchsorted(first, ends)
     return mixed(sums + lens.astype(np.uint64)), np.diff(upto, prepend=0)
+
+
+class Grams:
+    """Hash of any stretch of a sequence of word hashes, from sums of the words times rising powers of a base."""
+
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(words * powers(_BASE, n), out=self.sums[1:])
+        self.back = powers(_BACK, n)
+
+    def of(self, k: int) -> np.ndarray:
+        """The hashes of all stretches of k words, by start."""
+        m = len(self.back) - k + 1
+        return (self.sums[k:] - self.sums[:m]) * self.back[:m] if m > 0 else np.zeros(0, np.uint64)
+
+    def between(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The hashes of the (non-empty) stretches [start, stop)."""
+        return (self.sums[stop] - self.sums[start]) * self.back[start]
