@@ -52,10 +52,8 @@ def smallest_grams(words: np.ndarray, ends: np.ndarray, window: int, gram: int)
     return np.arange(len(least)) + window <= ends[: len(least)], least, at
 
 
-def passages(
-    docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM, single: bool = False
-) -> DataFrame:
-    """i (id), h (text hash), start, n (words), gram and print (hashes) of every passage, or of every window if ``single``."""
+def passages(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """i (id), h (text hash), start, n (words), gram and print (hashes) of every passage."""
     id_type = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("i"), text_key(text_col).alias("h"), F.col(text_col).cast("binary").alias("body"))
 
@@ -69,12 +67,11 @@ def passages(
                     text_of = np.repeat(np.arange(len(group)), lens)
                     inside, least, at = smallest_grams(words, (begins + lens)[text_of], window, gram)
                     first = inside.copy()
-                    if not single:
-                        first[1:] &= ~inside[:-1] | (at[1:] != at[:-1])
+                    first[1:] &= ~inside[:-1] | (at[1:] != at[:-1])
                     first = np.flatnonzero(first)
                     # A passage ends where the next one starts or its text has no more windows.
                     stops = np.minimum(np.append(first[1:], len(inside)), (begins + lens)[text_of[first]] - window + 1)
-                    n = (first + 1 if single else stops) - first + window - 1
+                    n = stops - first + window - 1
                     prints = mixed(Grams(words).between(first, first + n) + n.astype(np.uint64))
                     take = pa.array(row + text_of[first], pa.int64())
                     yield pa.RecordBatch.from_arrays(
@@ -174,6 +171,34 @@ def _with_lists(packed: DataFrame, rows: DataFrame, how: str, *cols: str) -> Dat
     return packed.join(lists, (packed["h"] == lists["g"]) & packed["i"].eqNullSafe(lists["j"]), how).drop("j", "g")
 
 
+def _windows(packed: DataFrame, heavy: DataFrame, window: int) -> DataFrame:
+    """The passages' rows cut into single windows, each with its own print."""
+    listed = _with_lists(packed, heavy, "inner", "start", "n", "gram")
+    id_type = packed.schema["i"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            for row, (text, parts) in enumerate(zip(_unpacked(batch), batch.column("list"))):
+                start, n, gram = (parts.values.field(c).to_numpy() for c in ("start", "n", "gram"))
+                count = n - window + 1
+                first = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                prints = mixed(Grams(word_hashes([text])[0]).between(first, first + window))
+                take = pa.array(np.full(len(first), row))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("i").take(take),
+                        batch.column("h").take(take),
+                        pa.array(first.astype(np.int32)),
+                        pa.array(np.full(len(first), window, np.int32)),
+                        pa.array(np.repeat(gram, count)),
+                        pa.array(prints.view(np.int64)),
+                    ],
+                    ["i", "h", "start", "n", "gram", "print"],
+                )
+
+    return listed.mapInArrow(run, _PASSAGE.format(id=id_type))
+
+
 def repeated_intervals(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM
 ) -> DataFrame:
@@ -185,7 +210,6 @@ def repeated_intervals(
     Words are compared by 64-bit hashes. Passages whose gram is very frequent
     are taken window by window instead, counted before they are shuffled.
     """
-    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     out_type = f"i {id_type}, h long, start int, n int"
     sample = docs.where(F.pmod(F.xxhash64(F.col(id_col), text_key(text_col)), F.lit(SAMPLED)) == 0)
@@ -196,11 +220,11 @@ def repeated_intervals(
     shards = max(1, -(-size // (PASSAGE_BYTES * SHARD_PASSAGES)))
 
     cut = passages(docs, id_col, text_col, window, gram)
+    packed = _packed(docs, id_col, text_col)
     found = []
     if n_heavy:
+        one = staged(_windows(packed, cut.join(sized(heavy), "gram", "left_semi"), window), "substring-windows")
         cut = cut.join(sized(heavy), "gram", "left_anti")
-        one = passages(docs, id_col, text_col, window, gram, single=True).join(sized(heavy), "gram", "left_semi")
-        one = staged(one, "substring-windows")
         place = F.struct(F.col("i").isNull().alias("last"), "i", "h", "start")
         firsts = one.groupBy("gram", "print").agg(F.min(place).alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
         joined = one.join(sized(staged(firsts, "substring-firsts")), ["gram", "print"])
@@ -211,7 +235,6 @@ def repeated_intervals(
     judged = staged(dealt.groupBy("shard").applyInArrow(_sort_passages, sorted_type), "substring-judged")
     found.append(judged.where("kind = 0").select("i", "h", "start", "n"))
 
-    packed = _packed(docs, id_col, text_col)
     wanted = _with_lists(packed, judged.where("kind = 1"), "inner", "shard", "start", "n")
 
     def passages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
