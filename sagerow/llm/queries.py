@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
 from . import (
+    conversations,
     exact_dedup,
     licenses,
     mixing,
@@ -103,3 +104,8 @@ ORACLES["op11_substring_dedup"] = substring_dedup.ORACLE.strip()
 @register
 def op12_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.plant_periods(read_table(spark, d, "documents")), text_col="body")
+
+
+@register
+def op13_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.conversation_repair(read_table(spark, d, "conversations"))
