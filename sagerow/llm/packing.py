@@ -12,6 +12,7 @@ The bins that a block leaves badly filled are pooled and packed once more.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import groups, slices, staged, texts_of
-from .tokens import SegmentTokenizer
+from .tokens import TextTokenizer
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,33 +32,40 @@ POOR = 0.98
 
 
 def token_pieces(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    capacity: int = CAPACITY,
+    vocabulary: str = VOCABULARY,
+    checksums: bool = False,
 ) -> DataFrame:
     """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every piece of every row.
 
-    A document is its ids and then id 0; null and empty texts are that id
-    alone. Documents over ``capacity`` are cut into pieces of that many
-    tokens, the first taking the remainder.
+    With ``checksums``, ids_crc32 in place of ids. A document is its ids and
+    then id 0; null and empty texts are that id alone. Documents over
+    ``capacity`` are cut into pieces of that many tokens, the first taking
+    the remainder.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
+    last, kind = ("ids_crc32", pa.int64()) if checksums else ("ids", pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = SegmentTokenizer(vocabulary)
+        tokenizer, end = TextTokenizer(vocabulary), np.zeros(1, "<u4")
         for batch in slices(batches):
             row = 0
             for group in groups(texts_of(batch, "body")):
-                at, piece, start, length, ids = [], [], [], [], []
-                for raw in tokenizer([t.decode("utf-8", "replace") for t in group]):
-                    raw += b"\0\0\0\0"
-                    n = len(raw) // 4
+                at, piece, start, length, out = [], [], [], [], []
+                for text in group:
+                    ids = np.concatenate((tokenizer(text.decode("utf-8", "replace")), end))
+                    n = len(ids)
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                         at.append(row)
                         piece.append(k)
                         start.append(a)
                         length.append(b - a)
-                        ids.append(raw[4 * a : 4 * b])
+                        out.append(crc32(ids[a:b]) if checksums else ids[a:b].tobytes())
                     row += 1
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -65,12 +73,12 @@ def token_pieces(
                         pa.array(piece, pa.int32()),
                         pa.array(start, pa.int64()),
                         pa.array(length, pa.int64()),
-                        pa.array(ids, pa.binary()),
+                        pa.array(out, kind),
                     ],
-                    ["doc_id", "piece", "start", "length", "ids"],
+                    ["doc_id", "piece", "start", "length", last],
                 )
 
-    return src.mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids binary")
+    return src.mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, {last} {'long' if checksums else 'binary'}")
 
 
 class Bins:
@@ -249,16 +257,12 @@ def packed_pieces(
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
 
     Rows repeated with the same id are packed one by one; null ids pass
-    through. The ids are tokenized once and only their lengths and
-    checksums are kept for packing.
+    through; a text of any length is tokenized whole and once, and only its
+    pieces' lengths and checksums are kept for packing; an empty table gives
+    an empty one; other columns are not read.
     """
-    pieces = token_pieces(docs, id_col, text_col, capacity, vocabulary)
-    narrow = staged(
-        pieces.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
-        ),
-        "pack-pieces",
-    )
+    pieces = token_pieces(docs, id_col, text_col, capacity, vocabulary, checksums=True)
+    narrow = staged(pieces.select(F.monotonically_increasing_id().alias("row"), "*"), "pack-pieces")
     return pack(narrow, capacity).drop("row")
 
 

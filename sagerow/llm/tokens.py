@@ -1,4 +1,4 @@
-"""Token ids of whole texts with a public tokenizer file, cached by space-separated segment."""
+"""Token ids of whole texts with a public tokenizer file."""
 
 from __future__ import annotations
 
@@ -7,21 +7,16 @@ import os
 
 import numpy as np
 
-CACHE_SEGMENTS = 120_000
-#: Segments of characters below this (Latin) take the fast encoder; the two encoders' character classes agree there.
-LATIN = "\u0250"
 
+class TextTokenizer:
+    """Ids as little-endian unsigned 32-bit arrays, equal to encoding each text whole with the tokenizer file.
 
-class SegmentTokenizer:
-    """Ids as little-endian unsigned 32-bit bytes, equal to encoding each text whole with the tokenizer file.
-
-    The byte-level pre-tokenizer starts a new piece at a space between two
-    characters that aren't white space, so a text cut at such spaces gives
-    the same ids segment by segment, and segments repeat. New Latin segments
-    are encoded by a rank-based encoder built from the same file's
-    vocabulary (its ids are the merge ranks); segments with other characters,
-    and whole texts with any other space (doubled, leading, trailing, beside
-    a line break) or an added token's string, by the tokenizer itself.
+    Texts go whole through a rank-based encoder built from the same file's
+    vocabulary (its ids are the merge ranks) and the file's own split
+    pattern. The two agree on every code point (compared one by one, in and
+    beside words, digits and spaces). A text that holds an added token's
+    string goes through the tokenizer itself, which gives it its id, and so
+    does one with more white space in a row than the pattern's matcher takes.
     """
 
     def __init__(self, vocabulary: str):
@@ -34,10 +29,7 @@ class SegmentTokenizer:
         self.added = special = {t["content"] for t in model["added_tokens"]}
         byte_of = _byte_alphabet()
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["model"]["vocab"].items() if t not in special}
-        self.fast = tiktoken.Encoding("segments", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.spaced = np.zeros(max(ranks.values()) + 1, bool)  # ids of tokens that begin with a space
-        self.spaced[[i for t, i in ranks.items() if t.startswith(b" ")]] = True
-        self.known: dict[str, bytes] = {}
+        self.fast = tiktoken.Encoding("texts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._slow = None
 
     @property
@@ -50,51 +42,13 @@ class SegmentTokenizer:
             self._slow = Tokenizer.from_file(self.file)
         return self._slow
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _latin(self, segments: list[str]) -> list[bytes]:
-        """Ids of " " + segment for each; many are encoded in one text and cut where a token begins with a space."""
-        out: list[bytes] = []
-        for k in range(0, len(segments), 4096):
-            some = segments[k : k + 4096]
-            ids = np.array(self.fast.encode_ordinary(" " + " ".join(some)), "<u4")
-            at = (np.flatnonzero(self.spaced[ids]) * 4).tolist()
-            if len(at) != len(some):
-                raise RuntimeError("a segment holds a token that begins with a space")
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_SEGMENTS:
-            self.known.clear()
-        known, cut = self.known, []
-        for text in texts:
-            first, *rest = text.split(" ")
-            whole = not rest or not first or first[0].isspace() or first[-1].isspace()
-            whole = whole or any(t in text for t in self.added)
-            cut.append(None if whole else [first, *rest])
-        new = set().union(*filter(None, cut)) - known.keys()
-        plain = [s for s in new if s and not s[0].isspace() and not s[-1].isspace()]
-        latin = [s for s in plain if s.isascii() or max(s) < LATIN]
-        known.update(zip(latin, self._latin(latin)))
-        other = [s for s in plain if s not in known]
-        known.update(zip(other, self._whole([" " + s for s in other])))
-        odd = new - known.keys()  # empty, or with white space at an end: their texts are encoded whole
-        if odd:
-            cut = [None if c and not odd.isdisjoint(c) else c for c in cut]
-        whole = iter(self._whole([t for t, c in zip(texts, cut) if c is None]))
-        # A text's first segment has no space before it.
-        heads = iter([self._head(c[0]) for c in cut if c is not None])
-        return [next(whole) if c is None else next(heads) + b"".join(map(known.__getitem__, c[1:])) for c in cut]
-
-    def _head(self, segment: str) -> bytes:
-        if segment.isascii() or max(segment) < LATIN:
-            return np.array(self.fast.encode_ordinary(segment), "<u4").tobytes()
-        return self._whole([segment])[0]
+    def __call__(self, text: str) -> np.ndarray:
+        if not any(t in text for t in self.added):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+            except ValueError:  # the matcher's stack
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def _byte_alphabet() -> dict[str, int]:

@@ -3,13 +3,16 @@
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sagerow.llm import mixing, packing, sharding
-from sagerow.llm.tokens import SegmentTokenizer
+from sagerow.llm.tokens import TextTokenizer
 
 SCHEMA = "doc_id long, text string, source string, shard string, Slot int, mix_rate double, row string"
 
@@ -115,31 +118,55 @@ ODD = ["", "  a b", " a", "a  b c", "a\n b c", "x \ny z", "a b ", "a b\n", "a b
 
 
 def test_segment_tokenizer_equals_whole_texts():
-    tok = SegmentTokenizer("byte_bpe_50k.json")
+    tok = TextTokenizer("byte_bpe_50k.json")
     rng = np.random.default_rng(1)
     chars = list("ab'!é \n\t12,. 中") + [" "] * 6
     texts = ODD + ["".join(rng.choice(chars, int(rng.integers(0, 60)))) for _ in range(2000)]
     want = [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [np.frombuffer(b, "<u4").tolist() for b in tok(texts)] == want
-    assert [np.frombuffer(b, "<u4").tolist() for b in tok(texts)] == want
+    assert [tok(t).tolist() for t in texts] == want
 
 
 def test_added_tokens_as_a_plain_call_gives_them():
     from tokenizers import Tokenizer
 
-    tok = SegmentTokenizer("byte_bpe_50k.json")
+    tok = TextTokenizer("byte_bpe_50k.json")
     plain = Tokenizer.from_file(tok.file)
     texts = [*ODD, "a b <|endoftext|> c", "one<|endoftext|>two three", "<|endoftext|>", "é <|endoftext|>中 x", "a <|endoftext b|>"]
     want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [np.frombuffer(b, "<u4").tolist() for b in tok(texts)] == want
+    assert [tok(t).tolist() for t in texts] == want
     assert sum(50256 in ids for ids in want) == 5
 
 
-def test_fast_encoder_agrees_on_all_latin_characters():
-    tok = SegmentTokenizer("byte_bpe_50k.json")
-    texts = [f"x {a}{chr(c)}{b} y" for c in range(0x21, 0x250) if not chr(c).isspace() for a, b in (("", ""), ("a", "b"), ("1", "'s"))]
-    want = [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [np.frombuffer(b, "<u4").tolist() for b in tok(texts)] == want
+def test_fast_encoder_agrees_on_characters_of_all_scripts():
+    tok = TextTokenizer("byte_bpe_50k.json")
+    chars = [*range(0x21, 0x250), *range(0x250, 0x110000, 97), *range(0x2000, 0x2070), 0x85, 0xA0, 0x1680, 0x3000, 0xFEFF]
+    chars = [chr(c) for c in chars if not 0xD800 <= c <= 0xDFFF]
+    texts = [f for c in chars for f in (f"x {c}y", f"{c}1 {c}{c}", f" \n{c} a{c}'s {c}")]
+    want = [e.ids for e in tok.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [tok(t).tolist() for t in texts] == want
+
+
+TEXT = st.text(st.one_of(st.sampled_from(" \t\n\r\x0b\x0c\x85\xa0\u2003\u3000'stred.,09aZé中אй٣½"), st.characters(exclude_categories=["Cs"])), max_size=80)
+
+
+@settings(max_examples=400, deadline=None)
+@given(TEXT)
+def test_fast_encoder_agrees_on_mixed_texts(text):
+    tok = _tokenizer()
+    assert tok(text).tolist() == tok.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@cache
+def _tokenizer():
+    return TextTokenizer("byte_bpe_50k.json")
+
+
+@pytest.mark.parametrize("text", ["a" * 60_000, " " * 60_000 + "x", "ab " * 20_000, "é" * 30_000, "\n" * 50_000, " " * 1_500_000 + "x"])
+def test_long_unbroken_texts(text):
+    tok = _tokenizer()
+    ids = tok(text)
+    assert tok.fast.decode(ids.tolist()) == text
+    assert ids[:50].tolist() == tok.tokenizer.encode(text, add_special_tokens=False).ids[:50]
 
 
 def test_crossover_keeps_every_piece():
@@ -157,7 +184,7 @@ def test_packed_pieces(spark, rows, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK_PIECES", 100)
     df = frame(spark, rows + [(900 + k, t, "s") for k, t in enumerate(ODD)])
     got = packing.packed_pieces(df).collect()
-    tok = SegmentTokenizer("byte_bpe_50k.json").tokenizer
+    tok = TextTokenizer("byte_bpe_50k.json").tokenizer
     want = Counter()
     for i, t, _ in rows + [(900 + k, t, "s") for k, t in enumerate(ODD)]:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]

@@ -9,7 +9,7 @@ import xxhash
 import corpus_pipeline
 from sagerow.llm import mixing, queries
 from sagerow.llm.common import staged
-from sagerow.llm.tokens import SegmentTokenizer
+from sagerow.llm.tokens import TextTokenizer
 from sagerow.sources.tables import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -88,7 +88,7 @@ def test_copies_follow_the_mix(spark, steps):
 
 
 def test_pieces_cover_every_copy(steps):
-    tok = SegmentTokenizer("byte_bpe_50k.json").tokenizer
+    tok = TextTokenizer("byte_bpe_50k.json").tokenizer
     want = Counter()
     for r in steps[4]:
         want[r["doc_id"]] += len(tok.encode(r["text"] or "", add_special_tokens=False).ids) + 1
