@@ -140,12 +140,6 @@ def byte_level_pieces(text: Column | str) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(_GPT2_JAVA), 0)
 
 
-def collapse_ws(text: Column | str) -> Column:
-    """Whitespace runs to one space, ends trimmed (after the collapse only
-    plain spaces are left, so ``trim`` is enough)."""
-    return F.trim(F.regexp_replace(_c(text), rf"{WS}+", " "))
-
-
 def show_array(arr: Column | str, sep: str = "|") -> Column:
     """Render an array as one delimited string (for reports and cross-engine checks)."""
     return F.array_join(F.transform(_c(arr), lambda x: x.cast("string")), sep)

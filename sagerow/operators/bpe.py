@@ -1,27 +1,28 @@
-"""Byte-level BPE: symbols, pair counts, training loop, encode/decode
+"""Byte-level BPE: symbols, pair counts, training, encode/decode
 (AGG-12, TOK-4, TOK-5, TOK-6, TOK-7, UDF-6).
 
 Training works on the table of distinct pieces with their corpus counts
-(TOK-3), never on the corpus itself: each round is one pair-count
-aggregate over that table, one winning pair (a single row to the driver)
-and one column-expression merge. Lineage is cut every few rounds by
-writing the table to the shared checkpoint folder. A whole vocabulary is
-tens of thousands of rounds: ``train_bpe_vocab`` learns the same merges from
-a word table whose counted size fits the driver by keeping pair counts and
-touching only the places of the merged pair.
-
-Encoding applies the learned merges to each *distinct* piece once in an
-Arrow pandas UDF (the merge list is bounded by the vocabulary size), then
-joins the ids back to every occurrence in position order.
+(TOK-3), which stays distributed. A round learns many merges at once and
+exactly: with all pairs that occur at least t times marked, words fall apart
+into segments linked by marked pairs. A pair that merges can form later never
+occurs more often than the old pair at the border it spans, so every merge of
+a count of t or more happens inside a segment, and the distinct segments with
+their summed counts give the same merges, in the same order, as the corpus.
+They are few; t is set so that their counted bytes stay under a bound, the
+driver learns from them, and the words are rewritten segment by segment.
+
+Encoding and decoding work on each text in place: merges and vocabulary are
+bounded by the vocabulary size and broadcast once, pieces that recur in a
+batch are encoded once, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,10 +48,6 @@ def byte_to_cp(b: Column) -> Column:
     )
 
 
-def cp_to_byte(cp: Column) -> Column:
-    return F.when(cp < 256, cp).when(cp <= 288, cp - 256).when(cp <= 322, cp - 162).otherwise(F.lit(173))
-
-
 def _cp_hex(cp: Column) -> Column:
     """UTF-8 bytes (hex) of a code point below 0x800."""
     one = F.lpad(F.hex(cp), 2, "0")
@@ -64,30 +61,6 @@ def byte_symbols(piece: Column) -> Column:
     return F.transform(hx, lambda h: F.decode(F.unhex(_cp_hex(byte_to_cp(F.conv(h, 16, 10).cast("int")))), "UTF-8"))
 
 
-def _token_hex(tok: Column) -> Column:
-    """UTF-8 bytes (hex) that a byte-level token stands for."""
-    chars = F.filter(F.split(tok, "", -1), lambda c: c != "")
-    return F.array_join(F.transform(chars, lambda c: F.lpad(F.hex(cp_to_byte(_codepoint(c))), 2, "0")), "")
-
-
-def symbols_to_text(tokens: Column, specials: tuple[str, ...] = ()) -> Column:
-    """Byte-level tokens back to UTF-8 text; special tokens stay as written."""
-    spec = F.array(*[F.lit(x) for x in specials]) if specials else F.array().cast("array<string>")
-    hx = F.transform(
-        tokens,
-        lambda t: F.when(F.array_contains(spec, t), F.hex(F.encode(t, "UTF-8"))).otherwise(_token_hex(t)),
-    )
-    return F.decode(F.unhex(F.array_join(hx, "")), "UTF-8")
-
-
-def _codepoint(c: Column) -> Column:
-    """Code point of a one-char string below 0x800 (from its UTF-8 bytes)."""
-    h = F.hex(F.encode(c, "UTF-8"))
-    b0 = F.conv(F.substring(h, 1, 2), 16, 10).cast("int")
-    b1 = F.conv(F.substring(h, 3, 2), 16, 10).cast("int")
-    return F.when(F.length(h) == 2, b0).otherwise(F.shiftleft(b0.bitwiseAND(F.lit(0x1F)), 6).bitwiseOR(b1.bitwiseAND(F.lit(0x3F))))
-
-
 # ---- training ------------------------------------------------------------------------------
 
 SYM_SEP = "\u0001"  # never a byte-level symbol (control bytes map to 256+)
@@ -108,74 +81,166 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return p.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("count"))
 
 
-def merge_pair(w: Column, a: str, b: str) -> Column:
-    """Merge every left-to-right, non-overlapping occurrence of the adjacent
-    symbols (a, b) in a word of ``word_table``.
-
-    Two plain replacements do for a != b: occurrences can't overlap, and the
-    second takes those whose leading separator the first one used up. A
-    symbol paired with itself needs left-to-right order: one anchored regex."""
-    if a != b:
-        old, new = F.lit(f"{SYM_SEP}{a}{SYM_SEP}{b}{SYM_SEP}"), F.lit(f"{SYM_SEP}{a}{b}{SYM_SEP}")
-        return F.replace(F.replace(w, old, new), old, new)
-    sep, x = _java_literal(SYM_SEP), _java_literal(a)
-    rep = (a + b).replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(w, f"(?<={sep}){x}{sep}{x}(?={sep})", rep)
-
-
-def _java_literal(x: str) -> str:
-    return "".join("\\" + ch if not ch.isalnum() and ord(ch) < 128 else ch for ch in x)
-
-
 MERGE_SCHEMA = "rank int, a string, b string, count bigint"
+#: Pairs a round marks at most (ties aside), pairs the driver sees, and bytes of distinct segments it learns from.
+ROUND_PAIRS, MOST_PAIRS, SEGMENT_BYTES = 4096, 100_000, 4_000_000
 
 
-def train_bpe(words: DataFrame, merges: int, checkpoint_every: int = 5, least: int = 1) -> DataFrame:
-    """Learn ``merges`` merges from a (token, n) frequency table (TOK-4).
+def _symbols(batch: pa.RecordBatch) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A batch's words end to end: their bytes, their symbols, and the word each symbol is in."""
+    words = batch.column("w").to_pylist()
+    raw = b"".join(words)
+    lens = np.fromiter(map(len, words), np.int64, len(words)) // 4
+    return raw, np.frombuffer(raw, "<i4").astype(np.int64), np.repeat(np.arange(len(words)), lens)
 
-    Best pair per round: highest count, then (a, b) ascending; it ends early
-    once no pair occurs ``least`` times. Returns (rank, a, b, count). The word table is rewritten every few rounds, and
-    the copy before it deleted."""
+
+def _neighbours(symbols: np.ndarray, word_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which neighbours share a word, and every pair of neighbours as one number."""
+    return word_of[1:] == word_of[:-1], symbols[:-1] << 32 | symbols[1:]
+
+
+def _cuts(symbols: np.ndarray, word_of: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Where segments begin: at every symbol that no marked pair (sorted) links to the one before it in its word."""
+    inside, pairs = _neighbours(symbols, word_of)
+    at = np.minimum(np.searchsorted(marked, pairs), len(marked) - 1)
+    return np.flatnonzero(np.concatenate(([True], ~(inside & (marked[at] == pairs)))))
+
+
+def _word_ids(words: DataFrame) -> DataFrame:
+    """(w, n): distinct words of two bytes or more as little-endian 32-bit symbols, at first their bytes."""
+    counted = words.groupBy(F.encode("token", "UTF-8").alias("w")).agg(F.sum("n").alias("n")).where("length(w) > 1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [np.frombuffer(w, np.uint8).astype("<i4").tobytes() for w in batch.column("w").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(wide, pa.binary()), batch.column("n")], ["w", "n"])
+
+    return counted.mapInArrow(run, "w binary, n long")
+
+
+def _pair_table(words: DataFrame) -> DataFrame:
+    """(pair, n) of the word table, summed in each batch before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, symbols, word_of = _symbols(batch)
+            inside, pairs = _neighbours(symbols, word_of)
+            pairs, at = np.unique(pairs[inside], return_inverse=True)
+            sums = np.zeros(len(pairs), np.int64)
+            np.add.at(sums, at, batch.column("n").to_numpy()[word_of[1:][inside]])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(sums)], ["pair", "n"])
+
+    return words.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def _segments(words: DataFrame, marked: list[int]) -> DataFrame:
+    """(s, n): distinct segments of two symbols or more, with their counts in the corpus."""
+    shared = words.sparkSession.sparkContext.broadcast(np.array(sorted(marked), np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, symbols, word_of = _symbols(batch)
+            if not len(symbols):
+                continue
+            cuts = _cuts(symbols, word_of, shared.value)
+            ends = np.append(cuts[1:], len(symbols))
+            some = ends - cuts > 1
+            cuts, ends = cuts[some], ends[some]
+            found = [raw[4 * a : 4 * b] for a, b in zip(cuts.tolist(), ends.tolist())]
+            n = batch.column("n").to_numpy()[word_of[cuts]]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(n)], ["s", "n"])
+
+    return words.mapInArrow(run, "s binary, n long").groupBy("s").agg(F.sum("n").alias("n"))
+
+
+def _rewritten(words: DataFrame, marked: list[int], merged: dict[bytes, bytes]) -> DataFrame:
+    """The word table after a round: its segments replaced, words of one symbol left out."""
+    shared = words.sparkSession.sparkContext.broadcast((np.array(sorted(marked), np.int64), merged))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, symbols, word_of = _symbols(batch)
+            if not len(symbols):
+                continue
+            pairs, of = shared.value
+            cuts = _cuts(symbols, word_of, pairs)
+            bounds = (4 * np.append(cuts, len(symbols))).tolist()
+            parts = [of.get(p, p) for p in (raw[a:b] for a, b in zip(bounds, bounds[1:]))]
+            starts = np.flatnonzero(np.concatenate(([True], word_of[1:] != word_of[:-1])))
+            first = np.searchsorted(cuts, starts).tolist()
+            new = [b"".join(parts[a:b]) for a, b in zip(first, [*first[1:], len(parts)])]
+            out = pa.RecordBatch.from_arrays([pa.array(new, pa.binary()), batch.column("n")], ["w", "n"])
+            yield out.filter(pa.array([len(w) > 4 for w in new], pa.bool_()))
+
+    return words.mapInArrow(run, "w binary, n long")
+
+
+def _best_pair(pairs: DataFrame, names: list[str]) -> int:
+    """Of the most frequent pairs, any number of them, the first by name."""
+    spark = pairs.sparkSession
+    most = pairs.agg(F.max("n")).first()[0]
+    named = F.broadcast(spark.createDataFrame(list(enumerate(names)), "id long, name string"))
+    left = named.select(F.col("id").alias("x"), F.col("name").alias("a"))
+    right = named.select(F.col("id").alias("y"), F.col("name").alias("b"))
+    halves = pairs.where(F.col("n") == most).select("pair", F.shiftright("pair", 32).alias("x"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("y"))
+    return halves.join(left, "x").join(right, "y").orderBy("a", "b").select("pair").first()[0]
+
+
+def train_bpe(words: DataFrame, merges: int, least: int = 1) -> DataFrame:
+    """Learn up to ``merges`` merges from a (token, n) frequency table (TOK-4): (rank, a, b, count).
+
+    Best pair per merge: highest count, then (a, b) ascending; it ends early
+    once no pair occurs ``least`` times. A round rewrites the word table in
+    the shared checkpoint folder and deletes the copy before it. The driver
+    sees the most frequent pairs and a round's distinct segments, both
+    bounded (``MOST_PAIRS``, ``SEGMENT_BYTES``, counted before they are
+    fetched); where even the pairs of the highest count alone give more, the
+    round takes the one best pair, whose segments are that pair or runs of
+    one symbol.
+    """
     spark = words.sparkSession
     parts = spark.sparkContext.defaultParallelism * 2
-    w = stage = cut_lineage(word_table(words), "bpe-words", parts)
-    learned = []
+    names = base_alphabet()
+    learned: list[tuple[int, str, str, int]] = []
+    stage = cut_lineage(_word_ids(words), "bpe-words", parts)
+    take = ROUND_PAIRS
     while len(learned) < merges:
-        top = pair_counts(w).orderBy(F.desc("count"), "a", "b").limit(1).collect()
-        if not top or top[0]["count"] < least:
+        pairs = cut_lineage(_pair_table(stage), "bpe-pairs")
+        top = pairs.where(F.col("n") >= least).orderBy(F.desc("n")).limit(MOST_PAIRS + 1).collect()
+        if not top:
+            drop_stage(pairs)
             break
-        p = top[0]
-        learned.append((len(learned), p["a"], p["b"], int(p["count"])))
-        w = w.withColumn("w", merge_pair(F.col("w"), p["a"], p["b"]))
-        if len(learned) % checkpoint_every == 0:
-            w = cut_lineage(w.groupBy("w").agg(F.sum("n").alias("n")), "bpe-words", parts)
+        seen = top[-1]["n"] + 1 if len(top) > MOST_PAIRS else least  # all pairs from this count on are in ``top``
+        while True:
+            floor = max(seen, top[take - 1]["n"] if 0 < take <= len(top) else least)
+            marked = [r["pair"] for r in top if r["n"] >= floor] if take else []
+            most = merges - len(learned)
+            if not marked:
+                marked, most, floor = [_best_pair(pairs, names)], 1, least
+            segments = cut_lineage(_segments(stage, marked), "bpe-segments")
+            if most == 1 or (segments.agg(F.sum(F.length("s"))).first()[0] or 0) <= SEGMENT_BYTES:
+                break
+            drop_stage(segments)
+            take //= 4
+        table = segments.toArrow()
+        drop_stage(segments)
+        drop_stage(pairs)
+        before = table["s"].to_pylist()
+        found, after = learn_merges(before, table["n"].to_pylist(), names, most, floor)
+        learned += [(len(learned) + k, *m) for k, m in enumerate(found)]
+        take = min(ROUND_PAIRS, max(4, 2 * take))
+        if len(learned) < merges:
+            merged = {a: b for a, b in zip(before, after) if a != b}
+            new = cut_lineage(_rewritten(stage, marked, merged), "bpe-words")
             drop_stage(stage)
-            stage = w
+            stage = new
     drop_stage(stage)
     return spark.createDataFrame(learned, MERGE_SCHEMA)
 
 
-#: Bytes of distinct words up to which the driver learns a vocabulary.
-LOCAL_BYTES = 8_000_000
-
-
 def train_bpe_vocab(words: DataFrame, size: int, specials: int = 1, least: int = 2) -> DataFrame:
-    """The merges of a vocabulary of ``size`` entries: specials, 256 bytes and one symbol a merge (TOK-4).
-
-    Equal to ``train_bpe`` with that many merges; a word table above
-    ``LOCAL_BYTES`` goes through its rounds.
-    """
-    merges = size - specials - 256
-    words = words.groupBy(F.encode("token", "UTF-8").alias("w")).agg(F.sum("n").alias("n")).where("length(w) > 0")
-    kept = cut_lineage(words, "bpe-vocab-words")
-    if (kept.agg(F.sum(F.length("w"))).first()[0] or 0) > LOCAL_BYTES:
-        out = train_bpe(kept.select(F.decode("w", "UTF-8").alias("token"), "n"), merges, least=least)
-    else:
-        table = kept.toArrow()
-        learned = learn_merges(table["w"].to_pylist(), table["n"].to_pylist(), merges, least)
-        out = words.sparkSession.createDataFrame(learned, MERGE_SCHEMA)
-    drop_stage(kept)
-    return out
+    """The merges of a vocabulary of ``size`` entries: specials, 256 bytes and one symbol a merge (TOK-4)."""
+    return train_bpe(words, size - specials - 256, least)
 
 
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,17 +251,18 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[starts], order, starts
 
 
-def learn_merges(words: list[bytes], counts: list[int], merges: int, least: int = 1) -> list[tuple[int, str, str, int]]:
-    """(rank, a, b, count) of the first ``merges`` merges.
+def learn_merges(
+    words: list[bytes], counts: list[int], names: list[str], merges: int, least: int = 1
+) -> tuple[list[tuple[str, str, int]], list[bytes]]:
+    """(a, b, count) of the first ``merges`` merges, and the words after them; new symbols' names are added to ``names``.
 
-    Symbols stand in one array, linked to their neighbours in the word. A
-    round takes the best pair from a heap (stale entries go back with their
-    present count), merges it where it stands and corrects the counts of
-    the pairs beside those places.
+    Symbols (little-endian 32-bit) stand in one array, linked to their
+    neighbours in the word. A merge takes the best pair from a heap (stale
+    entries go back with their present count), replaces it where it stands
+    and corrects the counts of the pairs beside those places.
     """
-    names = base_alphabet()
-    sym = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
-    lens = np.fromiter(map(len, words), np.int64, len(words))
+    sym = np.frombuffer(b"".join(words), "<i4").astype(np.int32)
+    lens = np.fromiter(map(len, words), np.int64, len(words)) // 4
     n = np.repeat(np.array(counts, np.int64), lens)
     after = np.arange(1, len(sym) + 1, dtype=np.int32)
     before = after - 2
@@ -227,7 +293,7 @@ def learn_merges(words: list[bytes], counts: list[int], merges: int, least: int
                 places.pop(key, None)
 
     change(np.flatnonzero(after >= 0).astype(np.int32), 1)
-    learned: list[tuple[int, str, str, int]] = []
+    learned: list[tuple[str, str, int]] = []
     while heap and len(learned) < merges:
         count, a, b, key = heapq.heappop(heap)
         now = total.get(key, 0)
@@ -237,7 +303,7 @@ def learn_merges(words: list[bytes], counts: list[int], merges: int, least: int
             continue
         if now < least:
             break
-        learned.append((len(learned), a, b, now))
+        learned.append((a, b, now))
         names.append(a + b)
         x, y = key >> 32, key & 0xFFFFFFFF
         left = np.unique(np.concatenate(places[key]))
@@ -256,7 +322,10 @@ def learn_merges(words: list[bytes], counts: list[int], merges: int, least: int
         before[far[far >= 0]] = left[far >= 0]
         near = before[left]
         change(np.unique(np.concatenate([near[near >= 0], left[far >= 0]])), 1)
-    return learned
+    kept = sym >= 0
+    sizes = np.add.reduceat(kept, ends - lens) if len(lens) else lens
+    raw, stops = sym[kept].astype("<i4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+    return learned, [raw[a:b] for a, b in zip([0, *stops], stops)]
 
 
 # ---- vocabulary, encode, decode -----------------------------------------------------------
@@ -286,31 +355,38 @@ def bpe_vocab(spark: SparkSession, merges: DataFrame, specials: tuple[str, ...])
     return b.unionByName(m)
 
 
-def _encode_fn(ranks: dict[tuple[str, str], int], ids: dict[str, int]) -> Callable[[pd.Series], pd.Series]:
-    def enc_word(syms: list[str]) -> list[int]:
-        while len(syms) > 1:
-            best, best_rank = None, None
-            for i in range(len(syms) - 1):
-                r = ranks.get((syms[i], syms[i + 1]))
-                if r is not None and (best_rank is None or r < best_rank):
-                    best, best_rank = (syms[i], syms[i + 1]), r
-            if best is None:
-                break
-            out, i = [], 0
-            while i < len(syms):
-                if i < len(syms) - 1 and (syms[i], syms[i + 1]) == best:
-                    out.append(syms[i] + syms[i + 1])
-                    i += 2
-                else:
-                    out.append(syms[i])
-                    i += 1
-            syms = out
-        return [ids[s] for s in syms]
+def merge_word(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
+    """A word's symbols after all merges, lowest rank first, each from the left: n log n.
+
+    Symbols are linked; a heap holds the ranked pairs by (rank, place), and a
+    pair whose symbols have changed since is passed over. ``ranks`` gives a
+    pair's rank and new symbol.
+    """
+    n = len(symbols)
+    sym, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r[0], i) for i in range(n - 1) if (r := ranks.get(sym[i] << 32 | sym[i + 1]))]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i]
+        if sym[i] < 0 or j >= n:
+            continue
+        found = ranks.get(sym[i] << 32 | sym[j])
+        if found is None or found[0] != rank:
+            continue
+        sym[i], sym[j] = found[1], -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if r := ranks.get(sym[i] << 32 | sym[k]):
+                heapq.heappush(heap, (r[0], i))
+        if (h := before[i]) >= 0 and (r := ranks.get(sym[h] << 32 | sym[i])):
+            heapq.heappush(heap, (r[0], h))
+    return [x for x in sym if x >= 0]
 
-    def run(col: pd.Series) -> pd.Series:
-        return col.map(lambda syms: None if syms is None else enc_word(list(syms)))
 
-    return run
+#: Encoded pieces a worker remembers, of at most so many bytes each.
+CACHE_PIECES, CACHE_PIECE_BYTES = 200_000, 64
 
 
 def bpe_encode(
@@ -322,29 +398,49 @@ def bpe_encode(
     pieces: Callable[[Column], Column] = byte_level_pieces,
     out: str = "ids",
 ) -> DataFrame:
-    """Text → BPE ids per row (TOK-5); ``pieces`` may chain digit isolation
-    (TOK-6). The merge list and vocabulary are bounded by the vocabulary
-    size and travel to the tasks with the UDF."""
-    m = merges.orderBy("rank").collect()
-    ranks = {(r["a"], r["b"]): r["rank"] for r in m}
+    """Text → BPE ids per row (TOK-5); ``pieces`` may chain digit isolation (TOK-6).
+
+    The merges and the vocabulary, bounded by its size, are broadcast once;
+    each row is encoded where it is, a piece that recurs once a batch. NULL
+    texts give no ids."""
     ids = {r["token"]: r["id"] for r in vocab.collect()}
-    fn = _encode_fn(ranks, ids)
-    udf = F.pandas_udf(fn, T.ArrayType(T.IntegerType()))
-    ex = df.select(*keys, F.posexplode_outer(pieces(text)).alias("pos", "piece"))
-    distinct = ex.select("piece").where(F.col("piece").isNotNull()).distinct()
-    enc = distinct.withColumn("pid", udf(byte_symbols(F.col("piece"))))
-    joined = ex.join(enc, "piece", "left")
-    g = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "pid"))).alias("_p"))
-    kept = F.filter("_p", lambda s: s["pos"].isNotNull())
-    return g.select(*keys, F.flatten(F.transform(kept, lambda s: s["pid"])).alias(out))
+    learned = merges.orderBy("rank").select("a", "b").collect()
+    ranks = {ids[r["a"]] << 32 | ids[r["b"]]: (k + 1, ids[r["a"] + r["b"]]) for k, r in enumerate(learned)}
+    shared = df.sparkSession.sparkContext.broadcast(([ids[c] for c in base_alphabet()], ranks))
+    known: dict[str, list[int]] = {}
+
+    def encoded(piece: str) -> list[int]:
+        if (got := known.get(piece)) is None:
+            base, ranks = shared.value
+            raw = piece.encode()
+            got = merge_word([base[b] for b in raw], ranks)
+            if len(raw) <= CACHE_PIECE_BYTES:
+                if len(known) >= CACHE_PIECES:
+                    known.clear()
+                known[piece] = got
+        return got
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([[x for p in row or () for x in encoded(p)] for row in column.to_pylist()], pa.list_(pa.int32()))
+
+    encode = F.arrow_udf(run, T.ArrayType(T.IntegerType()))
+    return df.select(*keys, encode(pieces(text)).alias(out))
 
 
 def bpe_decode(
     df: DataFrame, keys: list[str], ids: str, vocab: DataFrame, specials: tuple[str, ...] = (), out: str = "text"
 ) -> DataFrame:
-    """Ids → text; special tokens are kept as their strings (TOK-7)."""
-    ex = df.select(*keys, F.posexplode_outer(F.col(ids)).alias("pos", "id"))
-    j = ex.join(vocab, "id", "left")
-    g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_p"))
-    toks = F.transform(F.filter("_p", lambda s: s["pos"].isNotNull()), lambda s: s["token"])
-    return g.select(*keys, symbols_to_text(toks, specials).alias(out))
+    """Ids → text; special tokens are kept as their strings (TOK-7). Ids without a token are left out.
+
+    The vocabulary's byte strings are broadcast; rows are decoded where they are."""
+    byte_of = {c: b for b, c in enumerate(base_alphabet())}
+    tokens = {r["id"]: r["token"] for r in vocab.collect()}
+    raw = {i: t.encode() if t in specials else bytes(byte_of[c] for c in t) for i, t in tokens.items()}
+    shared = df.sparkSession.sparkContext.broadcast(raw)
+
+    def run(column: pa.Array) -> pa.Array:
+        of = shared.value
+        texts = [b"".join([of.get(i, b"") for i in row or ()]).decode("utf-8", "replace") for row in column.to_pylist()]
+        return pa.array(texts, pa.string())
+
+    return df.select(*keys, F.arrow_udf(run, T.StringType())(F.col(ids)).alias(out))

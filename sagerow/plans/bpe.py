@@ -26,17 +26,25 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").select("doc_id", F.col("text").alias("t"))
 
 
-_TRAINED: dict[tuple[str, str, int], list] = {}
+_TRAINED: dict[tuple, list] = {}
 
 
-def _merges(spark: SparkSession, d: str) -> DataFrame:
-    """The merges of a table are learned once per application and used by all queries over it."""
-    key = (spark.sparkContext.applicationId, d, N_MERGES)
+def _learned(spark: SparkSession, d: str, merges: int, least: int) -> DataFrame:
+    """The merges of a table, learned once per application and state of its files, for all queries over it."""
+    docs = _docs(spark, d)
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    files = [path(f) for f in sorted(docs.inputFiles())]
+    states = [p.getFileSystem(conf).getFileStatus(p) for p in files]
+    key = (spark.sparkContext.applicationId, merges, *((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in states))
     if key not in _TRAINED:
-        _TRAINED[key] = bp.train_bpe(vb.piece_counts(_docs(spark, d), ["t"]), N_MERGES).collect()
+        _TRAINED[key] = bp.train_bpe(vb.piece_counts(docs, ["t"]), merges, least).collect()
     return spark.createDataFrame(_TRAINED[key], bp.MERGE_SCHEMA)
 
 
+def _merges(spark: SparkSession, d: str) -> DataFrame:
+    return _learned(spark, d, N_MERGES, 1)
+
+
 def _digit_then_bytes(text: Column) -> Column:
     """Digit isolation first, then byte-level pieces inside every chunk."""
     return F.flatten(F.transform(tx.digit_chunks(text), tx.byte_level_pieces))
@@ -158,11 +166,7 @@ def bpe_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 # ---- the whole vocabulary: no SQL unrolls that many merges --------------------------------
 
 def _full_merges(spark: SparkSession, d: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, d, VOCABULARY)
-    if key not in _TRAINED:
-        counts = vb.piece_counts(_docs(spark, d), ["t"])
-        _TRAINED[key] = bp.train_bpe_vocab(counts, VOCABULARY, len(SPECIALS)).collect()
-    return spark.createDataFrame(_TRAINED[key], bp.MERGE_SCHEMA)
+    return _learned(spark, d, VOCABULARY - len(SPECIALS) - 256, 2)
 
 
 def _full_encode(spark: SparkSession, d: str, pieces: Callable[[Column], Column] = tx.byte_level_pieces) -> DataFrame:

@@ -1,8 +1,11 @@
 """Operators against brute-force restatements and properties."""
 
 import random
+import time
 from collections import Counter
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sagerow.operators import analytics as an
@@ -116,7 +119,7 @@ def test_bpe_training_matches_brute_force(spark):
     rnd = random.Random(7)
     words = {"".join(rnd.choice("abcab ") for _ in range(rnd.randint(1, 7))).replace(" ", "a"): rnd.randint(1, 9) for _ in range(60)}
     df = spark.createDataFrame(list(words.items()), "token string, n long")
-    got = [(r["a"], r["b"], r["count"]) for r in bp.train_bpe(df, 12, checkpoint_every=3).orderBy("rank").collect()]
+    got = [(r["a"], r["b"], r["count"]) for r in bp.train_bpe(df, 12).orderBy("rank").collect()]
     assert got == brute_bpe(words, 12)
 
 
@@ -132,8 +135,51 @@ def test_bpe_whole_vocabulary_matches_brute_force(spark, monkeypatch):
     assert got(10**6, least=1) == every and got(40, least=1) == every[:40]
     often = [m for m in every if m[2] > 9]
     assert 0 < len(often) < len(every) and got(10**6, least=10) == often
-    monkeypatch.setattr(bp, "LOCAL_BYTES", 0)  # the rounds over the distributed table
-    assert got(6) == every[:6]
+    monkeypatch.setattr(bp, "ROUND_PAIRS", 3)  # many rounds
+    assert got(10**6, least=1) == every
+    monkeypatch.setattr(bp, "SEGMENT_BYTES", 200)  # rounds that have to mark fewer pairs
+    assert got(25, least=1) == every[:25]
+    monkeypatch.setattr(bp, "MOST_PAIRS", 1)  # more pairs of one count than the driver sees
+    assert got(8, least=1) == every[:8]
+
+
+def slow_merge(symbols, ranks):
+    """Each merge in rank order over the whole word, from the left."""
+    for pair, (_, new) in sorted(ranks.items(), key=lambda x: x[1]):
+        out, i = [], 0
+        while i < len(symbols):
+            if i + 1 < len(symbols) and symbols[i] << 32 | symbols[i + 1] == pair:
+                out.append(new)
+                i += 2
+            else:
+                out.append(symbols[i])
+                i += 1
+        symbols = out
+    return symbols
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcd", max_size=60), st.lists(st.text("abcd", min_size=1, max_size=12), min_size=1, max_size=12))
+def test_merge_word_applies_merges_in_rank_order(text, words):
+    names = bp.base_alphabet()
+    wide = [b"".join(bytes([ord(c), 0, 0, 0]) for c in w) for w in words]
+    learned, after = bp.learn_merges(wide, [1 + k for k in range(len(words))], names, 30)
+    ids = {n: i for i, n in enumerate(names)}
+    ranks = {ids[a] << 32 | ids[b]: (k + 1, ids[a + b]) for k, (a, b, _) in enumerate(learned)}
+    assert bp.merge_word([ord(c) for c in text], ranks) == slow_merge([ord(c) for c in text], ranks)
+    for w, got in zip(words, after):
+        want = slow_merge([ord(c) for c in w], ranks)
+        assert [int.from_bytes(got[k : k + 4], "little") for k in range(0, len(got), 4)] == want
+
+
+def test_merge_word_on_long_pieces_is_not_quadratic():
+    names = bp.base_alphabet()
+    learned, _ = bp.learn_merges([b"a\0\0\0" * 64 + b"b\0\0\0"], [1], names, 8)
+    ids = {n: i for i, n in enumerate(names)}
+    ranks = {ids[a] << 32 | ids[b]: (k + 1, ids[a + b]) for k, (a, b, _) in enumerate(learned)}
+    start = time.process_time()
+    got = bp.merge_word([ord("a")] * 256_000, ranks)
+    assert time.process_time() - start < 20 and len(got) < 256_000 // 30
 
 
 def test_full_bpe_queries_go_past_fifty_merges(spark):
