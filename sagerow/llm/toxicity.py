@@ -2,19 +2,18 @@
 
 A document is toxic if any of its words is. Every distinct word has a score
 from hashed word and n-gram weights, and the document's probability is the
-noisy-or of its words, so a toxic word is not outweighed by a long text. No
-word's rate is zero, so what every word may have (``BACKGROUND``) is taken off
-before the rates are added: clean words add nothing, however many there are.
-Training swaps the identity terms of labelled sentences for one another and
-penalises the change of score, which keeps the bare mention of a group from
-carrying weight of its own.
+noisy-or of its words, so a toxic word is not outweighed by a long text. A
+word's rate falls off with the square of its evidence below ``BACKGROUND``, in
+training as in scoring, so clean words add next to nothing, however many
+there are. Training swaps the identity terms of labelled sentences for one
+another and penalises the change of the sentence's score, which keeps the
+bare mention of a group from carrying weight of its own.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,9 +41,11 @@ IDENTITY_TERMS = (
 )
 
 BITS, LEAST, MOST = 20, 3, 5
+#: Log-odds of a word before training.
+START = -8.0
 CACHE_WORDS = 200_000
-#: Rate of a word that says nothing (a probability of 0.095); only what a word has above it counts.
-BACKGROUND = 0.1
+#: Evidence (the softplus of a word's log-odds) below which its rate falls off.
+BACKGROUND = 0.02
 
 # ASCII letters to lower case; every other ASCII character but digits separates words.
 _FOLD = bytes(
@@ -57,15 +58,23 @@ def words_of(text: bytes) -> set[bytes]:
     return set(text.translate(_FOLD).split())
 
 
-def swaps(texts: list[bytes], kinds=IDENTITY_TERMS) -> Counter:
-    """How often each pair (term, other term of its kind) arises by swapping in the texts' sentences."""
+def swaps(texts: list[bytes], kinds=IDENTITY_TERMS) -> list[tuple[frozenset[bytes], bytes, bytes]]:
+    """(words of the sentence, its term, another term of that kind) for every swap in the texts' sentences."""
     kind_of = {t.encode(): [o.encode() for o in k if o != t] for k in kinds for t in k}
-    pairs: Counter = Counter()
+    out = []
     for text in texts:
         for sentence in re.split(rb"[.!?\n]+", text):
-            for term in words_of(sentence) & kind_of.keys():
-                pairs.update((term, other) for other in kind_of[term])
-    return pairs
+            words = frozenset(words_of(sentence))
+            out += [(words, term, other) for term in sorted(words & kind_of.keys()) for other in kind_of[term]]
+    return out
+
+
+def word_rates(log_odds: np.ndarray, floor: float = BACKGROUND) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's rate, the parts of a document's noisy-or, and its slope: evidence e gives e * e / (e + floor)."""
+    e = np.logaddexp(0.0, log_odds)
+    slope = np.exp(-np.logaddexp(0.0, -log_odds))  # of the evidence: a sigmoid that can't overflow
+    part = e / np.maximum(e + floor, 1e-300)
+    return e * part, slope * part * (2 - part)
 
 
 @dataclass
@@ -76,12 +85,11 @@ class ToxicityModel:
     bias: float
 
     def rates(self, words: list[bytes]) -> np.ndarray:
-        """softplus of each word's log-odds above the background: the rates a document's noisy-or adds up."""
+        """The rates that a document's noisy-or adds up."""
         if not words:
             return np.zeros(0)
         ids, owner = feature_table(words, BITS, LEAST, MOST)
-        rates = np.logaddexp(0.0, self.bias + np.bincount(owner, self.weights[ids], len(words)))
-        return np.maximum(rates - BACKGROUND, 0.0)
+        return word_rates(self.bias + np.bincount(owner, self.weights[ids], len(words)))[0]
 
     def scorer(self):
         """A function from texts to scores that remembers the rates of words seen (a bounded number)."""
@@ -109,7 +117,7 @@ def fit(
     steps: int = 100,
     rate: float = 0.3,
 ) -> ToxicityModel:
-    """Full-batch AdaGrad on the noisy-or likelihood plus ``fairness`` times the squared swap differences.
+    """Full-batch AdaGrad on the noisy-or likelihood plus ``fairness`` times the mean squared score change of the swaps.
 
     ``counts`` (labels per class) weighs the classes back to their real
     shares. Without both classes the model scores every text near zero.
@@ -119,35 +127,44 @@ def fit(
     if len(ys) == 0 or ys.min() == ys.max():
         return model
     bags = [sorted(words_of(t)) for t, _ in sample]
-    pairs = sorted(swaps([t for t, _ in sample]).items())
-    vocab = sorted({w for b in bags for w in b} | {w for p, _ in pairs for w in p})
+    swapped = swaps([t for t, _ in sample])
+    sentences = {b: i for i, b in enumerate(dict.fromkeys(b for b, _, _ in swapped))}
+    vocab = sorted({w for b in bags for w in b} | {other for _, _, other in swapped})
     at = {w: i for i, w in enumerate(vocab)}
     ids, word_of = feature_table(vocab, BITS, LEAST, MOST)
     used, ids = np.unique(ids, return_inverse=True)
     ids = ids.astype(np.int32)
     bag_words = np.array([at[w] for b in bags for w in b], np.int64)
     bag_of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    a, b = (np.array([at[p[k]] for p, _ in pairs], np.int64) for k in (0, 1))
-    share = np.array([n for _, n in pairs], float)
-    share = fairness * share / max(1.0, share.sum())
+    said_words = np.array([at[w] for b in sentences for w in sorted(b)], np.int64)
+    said_in = np.repeat(np.arange(len(sentences)), [len(b) for b in sentences])
+    swap_in = np.array([sentences[b] for b, _, _ in swapped], np.int64)
+    term, other = (np.array([at[x[k]] for x in swapped], np.int64) for k in (1, 2))
+    added = np.array([float(o not in b) for b, _, o in swapped])  # 0 where the sentence already holds the other term
     seen = {c: max(1, int((ys == c).sum())) for c in (0, 1)}
     total = {c: (counts or {}).get(c, seen[c]) for c in (0, 1)}
     weight = np.where(ys == 1, total[1] / seen[1], total[0] / seen[0])
     weight /= weight.sum()
 
-    w, bias = np.zeros(len(used)), -8.0
+    n = len(vocab)
+    w, bias = np.zeros(len(used)), START
     g2, b2 = np.full(len(used), 1e-8), 1e-8
-    for _ in range(steps):
-        s = bias + np.bincount(word_of, w[ids], len(vocab))
-        lam, sig = np.logaddexp(0.0, s), 1 / (1 + np.exp(-s))
-        total_rate = np.bincount(bag_of, lam[bag_words], len(bags))
-        p = -np.expm1(-total_rate)
+    for step in range(steps):
+        # The floor rises from nothing to its full height over the middle of the training.
+        floor = BACKGROUND * min(1.0, max(0.0, 4 * step / steps - 1))
+        lam, slope = word_rates(bias + np.bincount(word_of, w[ids], n), floor)
+        p = -np.expm1(-np.bincount(bag_of, lam[bag_words], len(bags)))
         down = weight * np.where(ys == 1, -(1 - p) / np.maximum(p, 1e-9), 1.0)
-        ds = np.bincount(bag_words, down[bag_of], len(vocab))
-        if len(a):
-            diff = 2 * share * (lam[a] - lam[b])
-            ds += np.bincount(a, diff, len(vocab)) - np.bincount(b, diff, len(vocab))
-        ds *= sig
+        ds = np.bincount(bag_words, down[bag_of], n)
+        if len(swapped):
+            before = np.bincount(said_in, lam[said_words], len(sentences))[swap_in]
+            after = np.exp(lam[term] - added * lam[other] - before)
+            before = np.exp(-before)
+            change = 2 * fairness / len(swapped) * (after - before)
+            both = np.bincount(swap_in, change * (before - after), len(sentences))
+            ds += np.bincount(said_words, both[said_in], n)
+            ds += np.bincount(term, change * after, n) - np.bincount(other, change * after * added, n)
+        ds *= slope
         gw = np.bincount(ids, ds[word_of], len(used)) + l2 * w
         gb = ds.sum()
         g2 += gw * gw

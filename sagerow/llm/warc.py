@@ -8,6 +8,7 @@ neighbouring byte ranges into single reads, and parses only those records.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, sized, staged
+from .common import scratch_path, sized, slices, staged
 
 #: Payloads from this many bytes on are stored once, equal ones as revisits.
 REVISIT_BYTES = 1000
@@ -38,27 +39,37 @@ def _open(folder: str):
     return FileSystem.from_uri(folder)
 
 
-def record_id(page: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'page:' + page)}>"
+def escaped(value: str) -> str:
+    """A header value on one line: CR and LF as %0D and %0A (a URL stands for the same address), all else as it is."""
+    return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record. A revisit has the HTTP header alone and names the response it repeats."""
+def id_field(page: str) -> str:
+    """An id for our own header fields, whatever it holds: a JSON string (ASCII, one line)."""
+    return json.dumps(page)
+
+
+def record(
+    page: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, revisit: bool, name: str, refers_to_name: str | None
+) -> bytes:
+    """One WARC/1.1 record. A revisit has the HTTP header alone and names the response it repeats.
+
+    ``name`` and ``refers_to_name`` are the records' UUIDs.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id('' if page is None else page)}",
+        f"WARC-Record-ID: <urn:uuid:{name}>",
         f"WARC-Date: {DATE}",
     ]
     if page is not None:
-        head.append(f"X-Page-Id: {page}")
+        head.append(f"X-Page-Id: {id_field(page)}")
     if url is not None:
-        clean = url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
-        head.append(f"WARC-Target-URI: {clean}")
+        head.append(f"WARC-Target-URI: {escaped(url)}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to or '')}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{refers_to_name}>", f"X-Refers-To-Page: {id_field(refers_to or '')}"]
     head += [
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http;msgtype=response",
@@ -68,64 +79,79 @@ def record(page: str | None, url: str | None, payload: bytes, digest: str, refer
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """A record's header fields and its payload (what follows the block's HTTP header)."""
+    """A record's header fields (our own ids read back) and its payload (what follows the block's HTTP header)."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if lines[0] != "WARC/1.1":
         raise ValueError("not a WARC record")
     fields = dict(line.split(": ", 1) for line in lines[1:])
+    for own in ("X-Page-Id", "X-Refers-To-Page"):
+        if own in fields:
+            fields[own] = json.loads(fields[own])
     block = rest[: int(fields["Content-Length"])]
     return fields, block.partition(b"\r\n\r\n")[2]
 
 
 def page_roles(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(page, url, payload, digest, refers_to, revisit) of every row.
+    """(page, url, payload, digest, refers_to, refers_to_url, revisit, referred) of every row.
 
     Of equal payloads of at least ``REVISIT_BYTES`` the largest id is the
-    response; rows repeated with that very id are responses too. Null ids
-    rank last. Only payloads that occur twice are looked up.
+    response; rows repeated with that very id are responses too, and the one
+    with the largest URL is referred to. Null ids rank last. Only payloads
+    that occur twice are looked up.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(
         F.col(id_col).alias("page"), F.col("url").cast("string").alias("url"), payload.alias("payload")
     ).withColumn("key", F.unhex(F.sha2("payload", 256)))
     large = rows.where(F.octet_length("payload") >= REVISIT_BYTES)
-    again = large.groupBy("key").agg(F.max("page").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = large.groupBy("key").agg(F.max(F.struct("page", "url")).alias("top"), F.count("*").alias("n")).where("n > 1")
+    again = again.select("key", F.col("top.page").alias("first"), F.col("top.url").alias("first_url"))
     twice = sized(staged(again, "warc-repeats"))
     joined = rows.join(twice, "key", "left")
     revisit: Column = F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))
+    top = F.col("first").isNotNull() & F.col("page").eqNullSafe(F.col("first")) & F.col("url").eqNullSafe(F.col("first_url"))
     return joined.select(
-        "page", "url", "payload", F.sha1("payload").alias("digest"),
-        F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"),
+        "page", "url", "payload", F.sha1("payload").alias("digest"), F.when(revisit, F.col("first")).alias("refers_to"),
+        F.when(revisit, F.col("first_url")).alias("refers_to_url"), revisit.alias("revisit"), top.alias("referred"),
     )
 
 
+def referred_name(page: str, url: str | None, digest: str) -> str:
+    """The UUID of a response that revisits name, from what both know of it."""
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, json.dumps([page, url, digest])))
+
+
 def write_archives(roles: DataFrame, folder: str) -> DataFrame:
     """Write all rows to gzipped archives under ``folder`` (shared by all executors) and return the staged index.
 
     A file belongs to one attempt of one task; the index names only files
     of attempts that Spark committed, so what a lost or repeated attempt
-    left behind is never read.
+    left behind is never read. Every record has a UUID of its own; only rows
+    equal in id, URL and payload that others refer to share one.
     """
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
+    fields = ("page", "url", "payload", "digest", "refers_to", "refers_to_url", "revisit", "referred")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _open(folder)
         out, name, at = None, "", 0
         try:
-            for batch in batches:
+            for batch in slices(batches):
                 rows: list[tuple] = []
-                for r in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "payload", "digest", "refers_to", "revisit"))):
+                for page, url, payload, digest, to, to_url, revisit, referred in zip(*(batch.column(c).to_pylist() for c in fields)):
                     if out is None or at >= FILE_BYTES:
                         if out is not None:
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = fs.open_output_stream(f"{path}/{name}", compression=None)
+                    own = referred_name(page, url, digest) if referred else str(uuid.uuid4())
+                    of = referred_name(to, to_url, digest) if revisit else None
                     packer = zlib.compressobj(4, zlib.DEFLATED, 31)
-                    member = packer.compress(record(*r)) + packer.flush()
+                    member = packer.compress(record(page, url, payload, digest, to, revisit, own, of)) + packer.flush()
                     out.write(member)
-                    rows.append((name, at, len(member), r[1], r[3]))
+                    rows.append((name, at, len(member), url, digest))
                     at += len(member)
                 cols = list(zip(*rows)) or [[]] * 5
                 types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -137,7 +163,7 @@ def write_archives(roles: DataFrame, folder: str) -> DataFrame:
                 out.close()
 
     text = roles.select(
-        F.col("page").cast("string").alias("page"), "url", "payload", "digest", F.col("refers_to").cast("string").alias("refers_to"), "revisit"
+        *[F.col(c).cast("string").alias(c) if c in ("page", "refers_to") else F.col(c) for c in fields]
     )
     return staged(text.mapInArrow(run, INDEX), "warc-index")
 
@@ -189,8 +215,9 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", html_col: str = "
 
     Null html is an empty payload, a null id or URL a record without that
     field. A revisit's payload figures are those of the response it refers
-    to. Rows repeated with the same id are a record each. Other columns are
-    not read.
+    to. Rows repeated with the same id are a record each; ids may be strings
+    of any characters; a payload of any length is one record; an empty table
+    gives an empty one. Other columns are not read.
     """
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")

@@ -1,5 +1,7 @@
 """The trained classifiers: held-out accuracy, counterfactual effect, edge cases."""
 
+import math
+import re
 import zlib
 
 import numpy as np
@@ -32,7 +34,8 @@ def test_toxicity_on_held_out_rows(spark, labels):
 def test_quality_on_held_out_rows(spark, labels):
     df = read_table(spark, SF, "documents")
     got = quality_classifier.score_quality(df, quality_classifier.train(df, read_table(spark, SF, "labels"))).collect()
-    assert len(got) == df.count() and all(r["predicted"] == (r["score"] >= 0.3) for r in got)
+    assert len(got) == df.count() and all(r["held_out"] == held(r["doc_id"]) for r in got)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
     test = [(r["predicted"], labels[r["doc_id"]]["quality"]) for r in got if r["held_out"] and r["doc_id"] in labels]
     assert np.mean([p == y for p, y in test]) >= 0.93
 
@@ -94,15 +97,81 @@ def identity_sample():
     return out
 
 
-def test_swaps_count_sentences():
-    pairs = toxicity.swaps([b"Gay people. Straight people\nand gay Gay."], kinds=(("gay", "straight"),))
-    assert pairs == {(b"gay", b"straight"): 2, (b"straight", b"gay"): 1}
+def test_swaps_of_sentences():
+    got = toxicity.swaps([b"Gay people. Straight people\nand gay Gay. No term."], kinds=(("gay", "straight"),))
+    want = [({b"gay", b"people"}, b"gay", b"straight"), ({b"straight", b"people"}, b"straight", b"gay"), ({b"and", b"gay"}, b"gay", b"straight")]
+    assert got == want
+
+
+def test_mean_training_score_is_the_share_of_labels():
+    """Fit and score use one rate: the fitted probabilities add up to the labels."""
+    sample = identity_sample()
+    for fairness in (0.0, 1.0):
+        scores = toxicity.fit(sample, fairness=fairness).scorer()([t for t, _ in sample])
+        assert abs(np.mean(scores) - np.mean([y for _, y in sample])) < 0.02
+
+
+def test_gradient_of_rates():
+    x = np.array([-800.0, -20.0, -8.0, -1.0, 0.0, 3.0, 800.0])
+    rates, slopes = toxicity.word_rates(x)
+    numeric = (toxicity.word_rates(x + 1e-5)[0] - toxicity.word_rates(x - 1e-5)[0]) / 2e-5
+    assert np.isfinite(rates).all() and np.allclose(slopes, numeric, atol=1e-5)
+
+
+def plain_features(word, bits, least, most):
+    """Buckets of a word and its n-grams, one by one."""
+    raw, out = b"<" + word + b">", [zlib.crc32(word) & ((1 << bits) - 1)]
+    for n in range(least, most + 1):
+        for k in range(len(raw) - n + 1):
+            h = n
+            for byte in raw[k : k + n]:
+                h = (h * 0x01000193 + byte) & 0xFFFFFFFF
+            h = (h ^ (h >> 15)) * 0x85EBCA6B & 0xFFFFFFFF
+            out.append((h ^ (h >> 13)) & ((1 << bits) - 1))
+    return out
+
+
+def some_texts(spark):
+    texts = [r["text"] for r in read_table(spark, SF, "documents").limit(40).collect()]
+    return [(t or "")[:4000] for t in texts] + ["", " \n", "a", "Idiot, IDIOT! scum", "é ü\x0b中"]
+
+
+def test_toxicity_scores_word_by_word(spark):
+    df = read_table(spark, SF, "documents")
+    model = toxicity.train(df, read_table(spark, SF, "labels"))
+    texts = some_texts(spark)
+    for text, got in zip(texts, model.scorer()([t.encode() for t in texts])):
+        lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+        words = {w.encode() for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower)}
+        total = 0.0
+        for w in words:
+            odds = model.bias + sum(float(model.weights[f]) for f in plain_features(w, toxicity.BITS, toxicity.LEAST, toxicity.MOST))
+            e = math.log1p(math.exp(odds)) if odds < 30 else odds
+            total += e * e / (e + toxicity.BACKGROUND)
+        assert got == pytest.approx(1 - math.exp(-total), abs=1e-9)
+
+
+def test_quality_scores_word_by_word(spark):
+    df = read_table(spark, SF, "documents")
+    model = quality_classifier.train(df, read_table(spark, SF, "labels"))
+    texts = some_texts(spark)
+    for text, got in zip(texts, model.scorer()([t.encode() for t in texts])):
+        words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0d]+", text)]
+        words += [quality_classifier.AGAIN] * sum(a == b for a, b in zip(words, words[1:]))
+        bounds = quality_classifier.BITS, quality_classifier.LEAST, quality_classifier.MOST
+        mean, n = np.zeros(model.vectors.shape[1]), 0
+        for w in words:
+            features = plain_features(w, *bounds)
+            mean += model.vectors[features].astype(float).sum(axis=0)
+            n += len(features)
+        z = (mean / max(1, n)) @ model.output + model.bias
+        assert got == pytest.approx(math.exp(z[1]) / (math.exp(z[0]) + math.exp(z[1])), abs=1e-5)
 
 
 def test_counterfactual_penalty_clears_neutral_mentions():
     neutral = [b"a muslim neighbour reads a word1 word2 letter."]
     free = toxicity.fit(identity_sample(), fairness=0.0).scorer()(neutral)[0]
-    fair = toxicity.fit(identity_sample(), fairness=10.0).scorer()
+    fair = toxicity.fit(identity_sample(), fairness=3.0).scorer()
     assert free > 0.5 > fair(neutral)[0]
     assert fair([b"word1 word2 idiot word3."])[0] > 0.5
     swapped = fair([b"a christian neighbour reads a word1 word2 letter."])[0]

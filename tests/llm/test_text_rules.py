@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -172,6 +173,40 @@ def test_warc_round_trip(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+ODD_IDS = ["a b", "x\r\ny: z", "line\nbreak", "%20", "", "é", '"q"', "10: 11"]
+
+
+def test_string_ids_of_any_characters(spark):
+    rows = [(i, f"http://h/{k}", "same " * 300) for k, i in enumerate(ODD_IDS)] + [(None, "u", "same " * 300)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.warc_round_trip(df).collect()}
+    top = max(ODD_IDS, key=lambda i: i.encode())
+    assert got == {i: ("response", None, 1500) if i == top else ("revisit", top, 1500) for i in [*ODD_IDS, None]}
+
+
+URLS = ["http://x/a%20b", "http://x/a%0Ab%25", "http://x/a b", "http://x/line\r\nX-Page-Id: 9", "http://x/é?q=1&r=%2520"]
+
+
+def test_headers_as_archives_hold_them(spark):
+    """URLs stand as they are (line breaks escaped), every record has an id, and revisits name their response's."""
+    rows = [(k, u, f"page {k}") for k, u in enumerate(URLS)] + [(20 + k, "u", "same " * 300) for k in range(3)]
+    rows += [(9, "a", "tie"), (9, "b", "tie"), (None, "u", "n"), (None, "u", "n")]
+    folder = scratch_path(spark, "warc")
+    index = warc.write_archives(warc.page_roles(pages(spark, rows), "page_id", "html"), folder).collect()
+    records = []
+    for r in index:
+        with open(f"{folder}/{r['file']}", "rb") as f:
+            f.seek(r["offset"])
+            records.append(warc.parse(zlib.decompress(f.read(r["length"]), 31)))
+    heads = [h for h, _ in records]
+    uris = {h["WARC-Target-URI"] for h in heads if h.get("X-Page-Id") in {str(k) for k in range(len(URLS))}}
+    assert uris == {u.replace("\r", "%0D").replace("\n", "%0A") for u in URLS}
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(rows)
+    response = {h["X-Page-Id"]: h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response" and "X-Page-Id" in h}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 2 and all(h["WARC-Refers-To"] == response["22"] for h in revisits)
+
+
 def test_selected_records_are_read_by_merged_ranges(spark, monkeypatch):
     rows = [(k, f"http://x/{k}", f"page {k} " * 50) for k in range(60)]
     folder = scratch_path(spark, "warc")
