@@ -8,10 +8,16 @@ combined), so a group of any size is reduced without collecting it.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .rank import global_index, halo_chunks, join_null_safe, range_sorted
 
 #: Entries folded at a time by the EMA's scan; each level up has a FAN-th of the rows.
@@ -34,39 +40,126 @@ def power_law_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     )
 
 
+#: Points of one group that one task takes through the whole grid, and partial results merged at a time.
+GRID_POINTS, GRID_MERGE = 20_000, 64
+
+
+def _grid_cells(x: np.ndarray, y: np.ndarray, floor: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """The points in small runs, each with its (points, grid) table of y - floor."""
+    step = max(1, (1 << 20) // len(floor))
+    for k in range(0, len(x), step):
+        yield slice(k, k + step), y[k : k + step, None] - floor
+
+
+def _summed(parts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Element-wise sums of array columns (as bytes of doubles) by group, ``GRID_MERGE`` rows at a time.
+
+    ``parts`` holds the number of its rows' slice in ``_part``; slices are merged level by level, so
+    a group of any number of them never meets whole in one task."""
+
+    def add(table: pa.Table) -> pa.Table:
+        out = table.slice(0, 1)
+        for c in columns:
+            total = sum(np.frombuffer(v, np.float64) for v in table.column(c).to_pylist())
+            out = out.set_column(out.schema.get_field_index(c), out.schema.field(c), pa.array([total.tobytes()], pa.binary()))
+        return out
+
+    last = parts.agg(F.max("_part")).first()[0] or 0
+    while True:
+        last //= GRID_MERGE
+        parts = parts.withColumn("_part", F.floor(F.col("_part") / GRID_MERGE))
+        parts = parts.groupBy(*keys, "_part").applyInArrow(add, parts.schema)
+        if last == 0:
+            return parts.drop("_part")
+
+
 def power_law_plus_constant_fit(df: DataFrame, keys: list[str], x: str, y: str, grid: int = 10_000) -> DataFrame:
     """``y = y0 + a·x^b``: y0 on an even grid of ``grid`` points over
     [0, min y]; per y0 a log-log fit of y − y0; keep the lowest MSE, the
     first one on ties (AGG-14). A y0 that makes any y − y0 ≤ 0 cannot be
-    fitted and never wins. Equal (x, y) pairs are pre-aggregated."""
-    pts = df.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    ymin = pts.groupBy(*keys).agg(F.min(y).alias("_ymin"))
-    g = pts.join(ymin, keys).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-    g = g.withColumn("_y0", F.col("_ymin") * F.col("_k") / F.lit(grid - 1))
-    g = g.withColumn("_d", F.col(y) - F.col("_y0"))
-    lx, ld = F.log(F.col(x)), F.log(F.col("_d"))
-    # weighted least squares = repeating each pair _w times
-    w = F.col("_w")
-    fit = g.groupBy(*keys, "_k", "_y0").agg(
-        F.sum(w).alias("n"),
-        F.sum(w * lx).alias("sx"),
-        F.sum(w * ld).alias("sy"),
-        F.sum(w * lx * lx).alias("sxx"),
-        F.sum(w * lx * ld).alias("sxy"),
-        F.sum(F.when(F.col("_d") <= 0, 1).otherwise(0)).alias("_bad"),
-    )
-    # one x value leaves the slope open: NULL, never an error
-    b = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    fit = fit.filter(F.col("_bad") == 0).withColumn("b", b).withColumn(
-        "a", F.exp((F.col("sy") - F.col("b") * F.col("sx")) / F.col("n"))
-    )
-    back = g.filter(F.col("_d") > 0).join(fit.select(*keys, "_k", "a", "b"), keys + ["_k"])
-    err = F.col(y) - (F.col("a") * F.pow(F.col(x), F.col("b")) + F.col("_y0"))
-    mse = back.groupBy(*keys, "_k", "_y0", "a", "b").agg((F.sum(w * err * err) / F.sum(w)).alias("mse"))
-    return mse.groupBy(*keys).agg(
-        F.min_by(F.struct("a", "b", "_y0", "mse"), F.struct("mse", "_k")).alias("best")
-    ).select(*keys, F.col("best.a").alias("a"), F.col("best.b").alias("b"), F.col("best._y0").alias("y0"),
-             F.col("best.mse").alias("mse"))
+    fitted and never wins. Equal (x, y) pairs are pre-aggregated.
+
+    No row is repeated for the grid: slices of up to ``GRID_POINTS`` points
+    sum all grid values as arrays, and one array a slice leaves the task.
+    What is shuffled are the distinct points and a slice's arrays."""
+    k_ = [f"_k{i}" for i in range(len(keys))]
+    pts = df.groupBy(*[F.col(c).alias(n) for c, n in zip(keys, k_)], F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    pts = cut_lineage(pts.agg(F.count(F.lit(1)).cast("double").alias("_w")).where("_x is not null and _y is not null"), "grid-points")
+    of = pts.groupBy(*k_).agg(F.min("_y").alias("_ymin"), F.ceil(F.count(F.lit(1)) / GRID_POINTS).alias("_slices"))
+    sliced = join_null_safe(pts, of, k_).withColumn("_part", F.pmod(F.xxhash64("_x", "_y"), "_slices")).drop("_slices")
+    key_fields = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for c, n in zip(keys, k_))
+    steps = np.arange(grid, dtype=float)
+
+    def columns(table: pa.Table) -> list[np.ndarray]:
+        return [table.column(c).to_numpy() for c in ("_x", "_y", "_w")]
+
+    def one_row(table: pa.Table, **arrays: np.ndarray) -> pa.Table:
+        out = table.slice(0, 1).select([*k_, "_part"])
+        for name, v in arrays.items():
+            out = out.append_column(name, pa.array([np.asarray(v, float).tobytes()], pa.binary()))
+        return out
+
+    def sums(table: pa.Table) -> pa.Table:
+        xs, ys, ws = columns(table)
+        floor = table.column("_ymin")[0].as_py() * steps / max(1, grid - 1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            lx = np.log(xs)
+            sy, sxy, bad = np.zeros(grid), np.zeros(grid), np.zeros(grid)
+            for part, d in _grid_cells(xs, ys, floor):
+                bad += (d <= 0).sum(axis=0)
+                ld = np.log(d) * ws[part, None]
+                sy += ld.sum(axis=0)
+                sxy += (ld * lx[part, None]).sum(axis=0)
+        plain = np.array([ws.sum(), (ws * lx).sum(), (ws * lx * lx).sum()])
+        return one_row(table, plain=plain, sy=sy, sxy=sxy, bad=bad)
+
+    arrays_of = ["plain", "sy", "sxy", "bad"]
+    fields = ", ".join(f"{c} binary" for c in arrays_of)
+    parts = sliced.groupBy(*k_, "_part").applyInArrow(sums, f"{key_fields}, _part long, {fields}")
+    fits = cut_lineage(_summed(parts, k_, arrays_of), "grid-fits")
+
+    def solved(fit: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        (n, sx, sxx), sy, sxy, bad = (np.frombuffer(fit.column(c)[0].as_py(), np.float64) for c in ("plain", "sy", "sxy", "bad"))
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            spread = n * sxx - sx * sx  # one x value leaves the slope open: no fit
+            b = (n * sxy - sx * sy) / spread if spread != 0 else np.full(grid, np.nan)
+            return np.exp((sy - b * sx) / n), b, (bad == 0) & np.isfinite(b)
+
+    def errors(table: pa.Table, fit: pa.Table) -> pa.Table:
+        xs, ys, ws = columns(table)
+        a, b, ok = solved(fit)
+        floor = table.column("_ymin")[0].as_py() * steps / max(1, grid - 1)
+        err = np.zeros(grid)
+        with np.errstate(invalid="ignore", over="ignore"):
+            for part, d in _grid_cells(xs, ys, floor):
+                e = d - a * np.power(xs[part, None], b)
+                err += (ws[part, None] * e * e).sum(axis=0)
+        return one_row(table, err=np.where(ok, err, 0.0))
+
+    every = join_null_safe(sliced.select(*k_, "_part").distinct(), fits, k_)
+    named = [f"_of{c}" for c in (*k_, "_part")]
+    every = every.select(*[F.col(c).alias(n) for c, n in zip((*k_, "_part"), named)], *arrays_of)
+    errs = sliced.groupBy(*k_, "_part").cogroup(every.groupBy(*named)).applyInArrow(errors, f"{key_fields}, _part long, err binary")
+    whole = join_null_safe(join_null_safe(_summed(errs, k_, ["err"]), fits, k_), of.drop("_slices"), k_)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for i in range(batch.num_rows):
+                fit = pa.Table.from_batches([batch.slice(i, 1)])
+                a, b, ok = solved(fit)
+                mse = np.frombuffer(fit.column("err")[0].as_py(), np.float64) / np.frombuffer(fit.column("plain")[0].as_py(), np.float64)[0]
+                mse = np.where(ok & ~np.isnan(mse), mse, np.inf)
+                k = int(mse.argmin())
+                floor = fit.column("_ymin")[0].as_py() * steps / max(1, grid - 1)
+                rows.append((i, float(a[k]), float(b[k]), float(floor[k]), float(mse[k])) if ok.any() else None)
+            kept = [r for r in rows if r is not None]
+            cols = list(zip(*kept)) or [[]] * 5
+            keep = batch.select(k_).take(pa.array(cols[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*keep.columns, *[pa.array(c, pa.float64()) for c in cols[1:]]], [*k_, "a", "b", "y0", "mse"])
+
+    out = whole.mapInArrow(best, f"{key_fields}, a double, b double, y0 double, mse double")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keys, k_)], "a", "b", "y0", "mse")
 
 
 def isoflop_optimum(df: DataFrame, keys: list[str], params: str, loss: str, grid: int = 1000, margin: float = 0.2) -> DataFrame:
@@ -196,13 +289,33 @@ def quantile_clip(df: DataFrame, keys: list[str], x: str, p: float, floor_val: f
 
 # ---- ordered windows ------------------------------------------------------------------
 
-def _sorted_quantile(arr: Column, q: float) -> Column:
-    """Linear-interpolated quantile of a sorted array."""
-    n = F.size(arr)
-    pos = (n - 1).cast("double") * q
-    lo, hi = F.floor(pos).cast("int"), F.ceil(pos).cast("int")
-    a, b = F.get(arr, lo), F.get(arr, hi)
-    return a + (b - a) * (pos - lo)
+def window_quantiles(values: list[float | None], starts: list[int], q: float, fill: float | None, window: int) -> list[float | None]:
+    """For each place, the interpolated quantile of the values from its start up to the one before it.
+
+    The window's values are kept sorted and moved one step a place: a binary
+    search and a shift to put one in, the same to take one out. Nulls don't
+    count; with ``fill`` the window is topped up with that value."""
+    held: list[float] = [fill] * window if fill is not None else []
+    out: list[float | None] = []
+    left = 0
+    for k, start in enumerate(starts):
+        while left < start:  # these have left the window
+            if (v := values[left]) is not None:
+                del held[bisect_left(held, v)]
+                if fill is not None:
+                    insort(held, fill)
+            left += 1
+        if k and (v := values[k - 1]) is not None:
+            insort(held, v)
+            if fill is not None:
+                del held[bisect_left(held, fill)]
+        if not held:
+            out.append(None)
+            continue
+        at = (len(held) - 1) * q
+        low, high = held[math.floor(at)], held[math.ceil(at)]
+        out.append(low + (high - low) * (at - math.floor(at)))
+    return out
 
 
 def rolling_quantile_clip(
@@ -215,21 +328,25 @@ def rolling_quantile_clip(
 
     Rows get a dense per-key position (distributed rank) and are cut into
     chunks of ``chunk`` positions with a ``window``-row halo, so one long
-    series is spread over many tasks. ``dense_order`` says ``order`` already
+    series is spread over many tasks. In a chunk the sorted window moves one
+    step a row (``window_quantiles``). ``dense_order`` says ``order`` already
     is that position (0, 1, 2, ... per key) and skips the ranking."""
     if dense_order:
         pos = df.withColumn("_rpos", F.col(order).cast("bigint"))
     else:
         pos = global_index(df, [order], out="_rpos", partition_by=keys)
-    h = halo_chunks(pos, "_rpos", max(chunk, 2 * window), window)
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_rpos").rowsBetween(-window, -1)
-    if fill is None:
-        out = h.withColumn("q", F.percentile(_c(x), q).over(w))
-    else:
-        hist = F.collect_list(_c(x)).over(w)
-        padded = F.array_sort(F.concat(hist, F.array_repeat(F.lit(float(fill)), F.lit(window) - F.size(hist))))
-        out = h.withColumn("q", _sorted_quantile(padded, q))
-    out = out.filter(~F.col("_halo")).drop("_halo", "_chunk", "_rpos")
+    h = halo_chunks(pos.withColumn("_rx", _c(x).cast("double")), "_rpos", max(chunk, 2 * window), window)
+    schema = T.StructType([*h.schema.fields, T.StructField("q", T.DoubleType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_rpos")
+        # A row's window begins ``window`` rows before it, in the halo or the chunk.
+        starts = np.maximum(np.arange(table.num_rows) - window, 0).tolist()
+        found = window_quantiles(table.column("_rx").to_pylist(), starts, q, None if fill is None else float(fill), window)
+        return table.append_column("q", pa.array(found, pa.float64()))
+
+    out = h.groupBy(*keys, "_chunk").applyInArrow(run, schema)
+    out = out.filter(~F.col("_halo")).drop("_halo", "_chunk", "_rpos", "_rx")
     return out.withColumn("clipped", F.when(F.col("q").isNull(), _c(x)).otherwise(F.least(_c(x), F.col("q"))))
 
 

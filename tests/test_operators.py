@@ -4,6 +4,8 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -364,3 +366,48 @@ def test_scratch_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_root(Session())
+
+
+def grid_fit(x, y, grid):
+    """y0 + a x^b by trying every y0 of the grid with plain numpy."""
+    best = None
+    for k in range(grid):
+        y0 = min(y) * k / max(1, grid - 1)
+        if min(v - y0 for v in y) <= 0:
+            continue
+        lx, ly = np.log(x), np.log(np.array(y) - y0)
+        b = ((lx - lx.mean()) * (ly - ly.mean())).sum() / ((lx - lx.mean()) ** 2).sum()
+        a = np.exp(ly.mean() - b * lx.mean())
+        mse = float(np.mean((np.array(y) - (a * np.array(x) ** b + y0)) ** 2))
+        if best is None or mse < best[-1]:
+            best = (a, b, y0, mse)
+    return best
+
+
+def test_grid_fit_in_slices_of_points(spark, monkeypatch):
+    monkeypatch.setattr(an, "GRID_POINTS", 7)  # many slices, merged over several levels
+    monkeypatch.setattr(an, "GRID_MERGE", 3)
+    rng = np.random.default_rng(1)
+    rows = [("hot", float(x), float(5 + 300 * x**-0.4 + rng.normal(0, 0.5))) for x in rng.uniform(1, 500, 300)]
+    rows += rows[:50] + [(None, float(x), float(2 + 3 * x**0.5)) for x in range(1, 12)]
+    rows += [("one x", 3.0, 4.0), ("one x", 3.0, 5.0), ("null", None, 1.0), ("null", 2.0, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    got = {r["k"]: r for r in an.power_law_plus_constant_fit(df, ["k"], "x", "y", grid=101).collect()}
+    assert set(got) == {"hot", None}
+    for k in got:
+        want = grid_fit(*zip(*[(r[1], r[2]) for r in rows if r[0] == k]), 101)
+        assert np.allclose([got[k][c] for c in ("a", "b", "y0", "mse")], want, rtol=1e-7)
+    assert an.power_law_plus_constant_fit(df.limit(0), ["k"], "x", "y", grid=11).collect() == []
+
+
+@pytest.mark.parametrize("window,fill", [(1, None), (5, None), (5, 100.0), (40, None), (40, -1.0)])
+def test_window_quantiles_against_sorting(window, fill):
+    rng = random.Random(window)
+    values = [None if rng.random() < 0.1 else float(rng.randrange(12)) for _ in range(200)]
+    starts = [max(0, k - window) for k in range(len(values))]
+    for q in (0.0, 0.3, 0.95, 1.0):
+        got = an.window_quantiles(values, starts, q, fill, window)
+        for k, g in enumerate(got):
+            held = [v for v in values[starts[k] : k] if v is not None]
+            held += [fill] * (window - len(held)) if fill is not None else []
+            assert (g is None) == (not held) and (not held or abs(g - np.quantile(held, q)) < 1e-9)
