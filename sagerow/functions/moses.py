@@ -23,16 +23,16 @@ from pyspark.sql import types as T
 from .arrays import let
 
 # ---- fixed values: normaliser rules, in order ------------------------------------
-# (pattern, replacement); {1} {2} are capture references.
+# (pattern, replacement)
 NORMALIZE_BEFORE_NFC = [
     ("\r", ""),
     (r"\(", " ("),
     (r"\)", ") "),
     (" +", " "),
-    (r"\) ([.!:?;,])", "){1}"),
+    (r"\) ([.!:?;,])", ")$1"),
     (r"\( ", "("),
     (r" \)", ")"),
-    (r"(\p{Nd}) %", "{1}%"),
+    (r"(\p{Nd}) %", "$1%"),
     (" :", ":"),
     (" ;", ";"),
     ("’", "'"),
@@ -54,8 +54,8 @@ NORMALIZE_AFTER_NFC = [
     ("â€”", " - "),
     (" +", " "),
     ("Â´", "'"),
-    ("(?i)([a-z])â€˜([a-z])", "{1}'{2}"),
-    ("(?i)([a-z])â€™([a-z])", "{1}'{2}"),
+    ("(?i)([a-z])â€˜([a-z])", "$1'$2"),
+    ("(?i)([a-z])â€™([a-z])", "$1'$2"),
     ("â€˜", '"'),
     ("â€š", '"'),
     ("â€™", '"'),
@@ -79,8 +79,8 @@ NORMALIZE_AFTER_NFC = [
     (",Â ", ", "),
     (" +", " "),
 ]
-QUOTE_RULES_EN = [(r'"([,.]+)', '{1}"')]
-QUOTE_RULES_OTHER = [(',"', '",'), (r'(\.+)"(\s*[^<])', '"{1}{2}')]
+QUOTE_RULES_EN = [(r'"([,.]+)', '$1"')]
+QUOTE_RULES_OTHER = [(',"', '",'), (r'(\.+)"(\s*[^<])', '"$1$2')]
 QUOTE_NONE_LANGS = ("cs", "cz")
 COMMA_DIGIT_LANGS = ("de", "es", "cz", "cs", "fr")
 DIGIT_GROUP = r"(\p{Nd})Â (\p{Nd})"
@@ -88,19 +88,15 @@ BOM_GARBLED = "ï»¿"
 # ---- end of fixed values ----------------------------------------------------------
 
 
-def _java(rep: str) -> str:
-    return rep.replace("$", "\\$").replace("{1}", "$1").replace("{2}", "$2")
-
-
 _META = set("\\^$.|?*+()[]{}")
 
 
 def _chain(c: Column, rules) -> Column:
     for pat, rep in rules:
-        if not (set(pat) & _META) and "{" not in rep:
+        if not (set(pat) & _META) and "$" not in rep:
             c = F.replace(c, F.lit(pat), F.lit(rep))  # literal rule: no regex engine
         else:
-            c = F.regexp_replace(c, ("(?U)" + pat) if "\\s" in pat else pat, _java(rep))
+            c = F.regexp_replace(c, ("(?U)" + pat) if "\\s" in pat else pat, rep)
     return c
 
 
@@ -203,24 +199,24 @@ DOT_MARK = "\ue000"  # stands in for the dots of a dot run while words are exami
 # ---- fixed values: contraction and comma rules, in order -------------------------
 CONTRACTIONS = {
     "en": [
-        (rf"([^{ALPHA}])'([^{ALPHA}])", "{1} ' {2}"),
-        (rf"([^{ALPHA}\p{{N}}])'([{ALPHA}])", "{1} ' {2}"),
-        (rf"([{ALPHA}])'([^{ALPHA}])", "{1} ' {2}"),
-        (rf"([{ALPHA}])'([{ALPHA}])", "{1} '{2}"),
-        (r"(\p{N})'(s)", "{1} '{2}"),
+        (rf"([^{ALPHA}])'([^{ALPHA}])", "$1 ' $2"),
+        (rf"([^{ALPHA}\p{{N}}])'([{ALPHA}])", "$1 ' $2"),
+        (rf"([{ALPHA}])'([^{ALPHA}])", "$1 ' $2"),
+        (rf"([{ALPHA}])'([{ALPHA}])", "$1 '$2"),
+        (r"(\p{N})'(s)", "$1 '$2"),
     ],
     "fr": [
-        (rf"([^{ALPHA}])'([^{ALPHA}])", "{1} ' {2}"),
-        (rf"([^{ALPHA}])'([{ALPHA}])", "{1} ' {2}"),
-        (rf"([{ALPHA}])'([^{ALPHA}])", "{1} ' {2}"),
-        (rf"([{ALPHA}])'([{ALPHA}])", "{1}' {2}"),
+        (rf"([^{ALPHA}])'([^{ALPHA}])", "$1 ' $2"),
+        (rf"([^{ALPHA}])'([{ALPHA}])", "$1 ' $2"),
+        (rf"([{ALPHA}])'([^{ALPHA}])", "$1 ' $2"),
+        (rf"([{ALPHA}])'([{ALPHA}])", "$1' $2"),
     ],
     "other": [("'", " ' ")],
 }
 COMMA_RULES = [
-    (r"([^\p{N}]),([^\p{N}])", "{1} , {2}"),
-    (r"(\p{N}),([^\p{N}])", "{1} , {2}"),
-    (r"([^\p{N}]),(\p{N})", "{1} , {2}"),
+    (r"([^\p{N}]),([^\p{N}])", "$1 , $2"),
+    (r"(\p{N}),([^\p{N}])", "$1 , $2"),
+    (r"([^\p{N}]),(\p{N})", "$1 , $2"),
 ]
 # ---- end of fixed values ------------------------------------------------------------
 

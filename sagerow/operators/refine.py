@@ -39,11 +39,13 @@ def refine(
     cur = df.withColumn("round", F.lit(0))
     done = None
     for r in range(rounds):
-        gen = cut_lineage(_model_step(cur, model, ids).withColumn("finished", finished(ids, tokens)), "refine")
+        gen = _model_step(cur, model, ids).withColumn("finished", F.coalesce(finished(ids, tokens), F.lit(False)))
+        # One write a round: unfinished rows already as the next round's input, in a folder of their own.
+        shifted = F.when(F.col("finished"), F.col(ids)).otherwise(shift_sep_to_pad(ids, seq_len, tokens)["ids"])
+        gen = cut_lineage(gen.withColumn(ids, shifted).withColumn("round", F.lit(r + 1)), "refine", by="finished")
         fin = gen.filter("finished").withColumn("rounds_used", F.lit(r + 1))
         done = fin if done is None else done.unionByName(fin)
-        shifted = gen.filter(~F.col("finished")).withColumn(ids, shift_sep_to_pad(ids, seq_len, tokens)["ids"])
-        cur = cut_lineage(shifted.withColumn("round", F.lit(r + 1)), "refine")
+        cur = gen.filter(~F.col("finished")).drop("finished")
         if cur.isEmpty():  # every row finished: stop early
             break
     rest = cur.withColumn("rounds_used", F.col("round")).withColumn("finished", F.lit(False))

@@ -170,5 +170,5 @@ def jsonl_corpus_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     en = back.filter(F.col("lang") == "en")
     split = rk.split_val_train(en, "doc_id", N_VAL, N_SHARDS, seed=0)
     out = f"{root}/corpus-{uuid.uuid4().hex}"
-    sc.write_splits(split.select("doc_id", "text", "split", "shard"), out)
+    sc.write_splits(split.select("doc_id", "text", "split", "shard", "shuffle_rank"), out, "shuffle_rank", N_SHARDS)
     return sc.read_splits(spark, out)

@@ -64,19 +64,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame, name: str = "stage", partitions: int | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "stage", partitions: int | None = None, by: str | None = None) -> DataFrame:
     """Materialise ``df`` as parquet in the shared checkpoint folder and read it back.
 
     Survives executor loss (the files live on shared storage), unlike
     ``localCheckpoint``. ``partitions`` spreads the rows over that many
-    files so later rounds read them in parallel.
+    files so later rounds read them in parallel; ``by`` gives each value of
+    that column a folder, which a filter on it reads alone.
     """
     spark = df.sparkSession
     root = checkpoint_root(spark).rstrip("/")
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     if partitions:
         df = df.repartition(partitions)
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -56,9 +56,20 @@ def read_raw_docs(spark: SparkSession, path: str, joiner: str = PARA_JOINER) ->
     )
 
 
-def write_splits(df: DataFrame, path: str) -> None:
-    """Val file + train shards as JSON lines, one folder per (split, shard)."""
-    df.write.mode("overwrite").partitionBy("split", "shard").json(path)
+def write_splits(df: DataFrame, path: str, order: str, shards: int, files: int = 1) -> None:
+    """Val file + train shards as JSON lines, one folder per (split, shard) with ``files`` files each (SNK-3).
+
+    ``order`` is the shuffled position. A shard's rows are cut into ``files``
+    ranges of it, each sorted and written by one task, and file names sort
+    like the ranges: read by name, a shard comes back in shuffled order. The
+    validation split is one shard. Ranges without rows have no file."""
+    total = df.groupBy("split").agg((F.max(order) + 1).alias("_end"), F.min(order).alias("_start"))
+    ranged = df.join(F.broadcast(total), "split")  # a row a split
+    part = F.floor((F.col(order) - F.col("_start")) * files / (F.col("_end") - F.col("_start")))
+    folder = F.when(F.col("split") == "val", F.lit(shards)).otherwise(F.col("shard"))
+    ranged = ranged.withColumn("_file", (folder * files + part).cast("int")).drop("_start", "_end")
+    dealt = ranged.repartitionById((shards + 1) * files, F.col("_file")).sortWithinPartitions(order)
+    dealt.drop("_file", order).write.mode("overwrite").partitionBy("split", "shard").json(path)
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
