@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import judge_prompt, parse_generation, parse_score, ustrip
 from ..session import cut_lineage
+from .prefilter import build_filter, may_hold
 
 # ---- fixed values: prompt templates for generation ------------------------------
 PROMPT_TEMPLATES = [
@@ -156,8 +157,16 @@ def curate(df: DataFrame, min_chars: int = MIN_CHARS, filter_first: bool = False
 
 
 def not_seen(new: DataFrame, seen: DataFrame, key: str = "question") -> DataFrame:
-    """New samples whose question was not accepted before (JOI-6)."""
-    old = seen.select(F.xxhash64(key).alias("_sh"), F.col(key).alias("_sk"))
+    """New samples whose question was not accepted before (JOI-6).
+
+    A Bloom filter of the new questions' hashes goes to the history, so that
+    of it only rows that may equal a new question are shuffled; the join
+    compares the texts. A batch too large for the filter's bound joins the
+    whole history."""
+    old = seen.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("_sh"), F.col(key).alias("_sk"))
+    bitmaps = build_filter(new.select(F.xxhash64(key)))
+    if bitmaps is not None:
+        old = old.where(may_hold(bitmaps, F.col("_sh"), old))
     return new.join(old, (F.xxhash64(new[key]) == F.col("_sh")) & (new[key] == F.col("_sk")), "left_anti")
 
 

@@ -14,7 +14,9 @@ from sagerow.operators import analytics as an
 from sagerow.operators import bpe as bp
 from sagerow.operators import curate as cu
 from sagerow.operators import evaluate as ev
+from sagerow.operators import prefilter as pf
 from sagerow.operators.rank import global_index, range_sorted, split_val_train
+from sagerow.streaming.metrics import METRIC_SCHEMA, STATE, fold_batch
 
 
 def py_vote(preds):
@@ -411,3 +413,48 @@ def test_window_quantiles_against_sorting(window, fill):
             held = [v for v in values[starts[k] : k] if v is not None]
             held += [fill] * (window - len(held)) if fill is not None else []
             assert (g is None) == (not held) and (not held or abs(g - np.quantile(held, q)) < 1e-9)
+
+
+def test_filter_holds_its_keys_and_few_others(spark, monkeypatch):
+    monkeypatch.setattr(pf, "REGION_KEYS", 5_000)  # several regions
+    keys = spark.range(20_000).select(F.xxhash64("id"))
+    bitmaps = pf.build_filter(keys.unionByName(keys))
+    assert bitmaps.shape == (4, 1 << 17)
+    hashed = spark.range(60_000).select("id", F.xxhash64("id").alias("h"))
+    held = [r["id"] for r in hashed.where(pf.may_hold(bitmaps, F.col("h"), hashed)).collect()]
+    assert set(range(20_000)) <= set(held) and len(held) - 20_000 < 0.001 * 40_000
+    monkeypatch.setattr(pf, "FILTER_BYTES", 10_000)
+    assert pf.build_filter(keys) is None
+
+
+@pytest.mark.parametrize("bound", [64 << 20, 0])
+def test_not_seen_with_and_without_the_filter(spark, monkeypatch, bound):
+    monkeypatch.setattr(pf, "FILTER_BYTES", bound)
+    new = spark.createDataFrame([(k, f"q{k % 40}" if k % 7 else None) for k in range(100)], "seq long, question string")
+    seen = spark.createDataFrame([(f"q{k}",) for k in range(20, 500)] * 2 + [(None,)], "question string")
+    got = sorted((r.seq, r.question) for r in cu.not_seen(new, seen).collect())
+    want = [(k, f"q{k % 40}" if k % 7 else None) for k in range(100)]
+    assert got == [w for w in want if w[1] is None or int(w[1][1:]) < 20]
+    assert cu.not_seen(new.limit(0), seen).collect() == []
+
+
+def test_metric_state_holds_open_buckets_only(spark):
+    every, state, parts = 5, spark.createDataFrame([], STATE), []
+    rows = [(run, step, "loss", float(run + step)) for run in (1, 2) for step in range(43) if (run, step) != (2, 9)]
+    drops = [[r for r in rows if lo <= r[1] < lo + 9] for lo in range(0, 45, 9)]
+    drops[3].append((1, 2, "loss", 100.0))  # late: its bucket has closed
+    drops = [spark.createDataFrame(d, METRIC_SCHEMA) for d in drops]
+    for batch in drops:
+        closed, state = fold_batch(state, batch, every)
+        parts += [(r["run_id"], r["bucket"], r["s"] / r["n"], r["n"]) for r in closed.collect()]
+        state = spark.createDataFrame(state.collect(), STATE)
+        assert state.where("n is not null").count() <= 2 and state.where("n is null").count() <= 2
+    want = []
+    for run in (1, 2):
+        for bucket in range(0, 10):
+            held = [r for r in rows if r[0] == run and (0 if r[1] == 0 else r[1] // every + 1) == bucket]
+            if held and (bucket == 0 or max(r[1] for r in held) % every == every - 1):
+                want.append((run, bucket, sum(r[3] for r in held) / len(held), len(held)))
+    assert sorted(parts) == sorted(want) and (2, 2) not in {p[:2] for p in parts}
+    one, _ = fold_batch(state.limit(0), spark.createDataFrame(rows, METRIC_SCHEMA), every)
+    assert sorted((r["run_id"], r["bucket"], r["s"] / r["n"], r["n"]) for r in one.collect()) == sorted(want)
