@@ -77,6 +77,14 @@ def word_rates(log_odds: np.ndarray, floor: float = BACKGROUND) -> tuple[np.ndar
     return e * part, slope * part * (2 - part)
 
 
+def spread(to: np.ndarray, values: np.ndarray, of: np.ndarray, n: int, step: int = 1 << 21) -> np.ndarray:
+    """The sums of ``values[of]`` by ``to``, taken in runs so that the driver never holds them all."""
+    out = np.zeros(n)
+    for k in range(0, len(to), step):
+        out += np.bincount(to[k : k + step], values[of[k : k + step]], n)
+    return out
+
+
 @dataclass
 class ToxicityModel:
     """Feature weights and the bias of a word's log-odds."""
@@ -132,8 +140,10 @@ def fit(
     vocab = sorted({w for b in bags for w in b} | {other for _, _, other in swapped})
     at = {w: i for i, w in enumerate(vocab)}
     ids, word_of = feature_table(vocab, BITS, LEAST, MOST)
-    used, ids = np.unique(ids, return_inverse=True)
-    ids = ids.astype(np.int32)
+    present = np.zeros(1 << BITS, bool)
+    present[ids] = True
+    used = np.flatnonzero(present)
+    ids = (np.cumsum(present, dtype=np.int32) - 1)[ids]
     bag_words = np.array([at[w] for b in bags for w in b], np.int64)
     bag_of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     said_words = np.array([at[w] for b in sentences for w in sorted(b)], np.int64)
@@ -152,7 +162,7 @@ def fit(
     for step in range(steps):
         # The floor rises from nothing to its full height over the middle of the training.
         floor = BACKGROUND * min(1.0, max(0.0, 4 * step / steps - 1))
-        lam, slope = word_rates(bias + np.bincount(word_of, w[ids], n), floor)
+        lam, slope = word_rates(bias + spread(word_of, w, ids, n), floor)
         p = -np.expm1(-np.bincount(bag_of, lam[bag_words], len(bags)))
         down = weight * np.where(ys == 1, -(1 - p) / np.maximum(p, 1e-9), 1.0)
         ds = np.bincount(bag_words, down[bag_of], n)
@@ -165,7 +175,7 @@ def fit(
             ds += np.bincount(said_words, both[said_in], n)
             ds += np.bincount(term, change * after, n) - np.bincount(other, change * after * added, n)
         ds *= slope
-        gw = np.bincount(ids, ds[word_of], len(used)) + l2 * w
+        gw = spread(ids, ds, word_of, len(used)) + l2 * w
         gb = ds.sum()
         g2 += gw * gw
         b2 += gb * gb
