@@ -1,15 +1,18 @@
 """Exact dedup: static binary fuse filters per immutable snapshot.
 
-Documents arrive in batches. The digests of what is already there form an
-immutable snapshot: one filter per hash shard, and exact buckets behind it.
-An incoming batch first groups its own equal digests; the distinct ones are
-screened by the shard filters, and only positives (true copies and about
-1 in 256 others) and repeated digests ever move their texts, to be compared
-byte for byte. Everything else is decided on 8-byte digests.
+Documents arrive in batches. What is already there is an immutable snapshot
+of segments, one a batch: one filter per hash shard, and behind it the exact
+buckets, the segment's rows by the 64-bit key of their normalised text. An
+incoming batch groups its own repeated keys by their bytes; its distinct
+keys are screened by each segment's filters, and only the positives (true
+copies and about 1 in 256 others) meet that segment's buckets, again byte
+for byte. Everything else is decided on 8-byte keys. A text is normalised
+and hashed once, when its batch is stored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,36 +38,51 @@ def normalised(text_col: str = "text") -> Column:
     return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x09-\x0D\x20]{2,}|[\x09-\x0D]", " ")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One narrow staged row per document: i (id), h (raw text hash), key (64 bits), sha (32 bytes)."""
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One staged row per document: i (id), h (raw text hash), key (64 bits), sha (32 bytes), t (normalised text)."""
     norm = docs.select(F.col(id_col).alias("i"), text_key(text_col).alias("h"), normalised(text_col).alias("t"))
-    return staged(
-        norm.select("i", "h", F.xxhash64("t").alias("key"), F.unhex(F.sha2("t", 256)).alias("sha")), "digests"
-    )
+    return staged(norm.select("i", "h", F.xxhash64("t").alias("key"), F.unhex(F.sha2("t", 256)).alias("sha"), "t"), "texts")
 
 
-@dataclass
-class Snapshot:
-    """Immutable: distinct keys and the filter of each of their shards."""
+@dataclass(frozen=True)
+class Batch:
+    """Rows as ``stored`` gives them, and their distinct keys with their counts."""
 
+    rows: DataFrame  # i, h, key, sha, t
     keys: DataFrame  # key, n
+
+
+@dataclass(frozen=True)
+class Segment:
+    """One immutable batch of a snapshot: a filter for each shard of its keys, its rows as the exact buckets."""
+
     filters: DataFrame  # shard, filter
     shards: int
+    buckets: DataFrame  # i, h, key, sha, t
+
 
+#: The segments in the order of their batches.
+Snapshot = tuple[Segment, ...]
 
-def snapshot(keys: DataFrame, shards: int) -> Snapshot:
-    """Build one filter per shard of the (staged, distinct) keys; each task holds a few thousand keys."""
+
+def as_batch(rows: DataFrame) -> Batch:
+    return Batch(rows, staged(rows.groupBy("key").agg(F.count("*").alias("n")), "batch-keys"))
+
+
+def segment(batch: Batch) -> Segment:
+    """One filter per shard of the batch's keys; each task holds a few thousand keys."""
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "filter": [build(pdf["key"].to_numpy().view(np.uint64))]})
 
-    sharded = keys.select("key", F.pmod("key", F.lit(shards)).alias("shard"))
+    shards = max(1, -(-batch.keys.count() // SHARD_KEYS))
+    sharded = batch.keys.select("key", F.pmod("key", F.lit(shards)).alias("shard"))
     filters = staged(sharded.groupBy("shard").applyInPandas(make, "shard long, filter binary"), "filters")
-    return Snapshot(keys, filters, shards)
+    return Segment(filters, shards, batch.rows)
 
 
-def screen(incoming: DataFrame, snap: Snapshot) -> DataFrame:
-    """The incoming distinct keys that the snapshot's filters let through."""
+def screen(incoming: DataFrame, old: Segment) -> DataFrame:
+    """The incoming distinct keys that the segment's filters let through."""
 
     def ask(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
         if keys.empty or filters.empty:
@@ -72,33 +90,70 @@ def screen(incoming: DataFrame, snap: Snapshot) -> DataFrame:
         maybe = contains(filters["filter"].iloc[0], keys["key"].to_numpy().view(np.uint64))
         return keys.loc[maybe, ["key"]]
 
-    sharded = incoming.select("key", F.pmod("key", F.lit(snap.shards)).alias("shard"))
-    return sharded.groupBy("shard").cogroup(snap.filters.groupBy("shard")).applyInPandas(ask, "key long")
+    sharded = incoming.select("key", F.pmod("key", F.lit(old.shards)).alias("shard"))
+    return sharded.groupBy("shard").cogroup(old.filters.groupBy("shard")).applyInPandas(ask, "key long")
+
 
+def _by_bytes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the wanted keys, grouped by their bytes: equal keys of different texts stay apart."""
+    suspects = rows.select("i", "key", "t").join(sized(wanted, WANTED_KEYS), "key", "left_semi")
+    return suspects.groupBy("key", "t").agg(F.min("i").alias("keep_id"), F.count("*").alias("size"))
 
-def copies(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of at least two byte-equal normalised texts: sha, keep_id (the smallest, nulls last), size (staged).
 
-    ``rows`` are the documents' ``digests``. They are taken as two batches
-    in id order, the lower half being the snapshot the upper half meets
-    (ids that aren't numbers by their hash).
+def copies(snapshot: Sequence[Segment], batch: Batch) -> DataFrame:
+    """The batch's texts that the snapshot holds or the batch repeats (staged).
+
+    sha, keep_id (the smallest id of the snapshot's and the batch's rows of
+    that text, nulls last), size (their number).
+    """
+    asked = [staged(screen(batch.keys, old), "positive-keys") for old in snapshot]
+    wanted = batch.keys.where("n > 1").select("key")
+    for positive in asked:
+        wanted = wanted.unionByName(positive)
+    own = staged(_by_bytes(batch.rows, staged(wanted.distinct(), "candidate-keys")), "batch-groups")
+    met = own
+    for old, positive in zip(snapshot, asked):
+        held = _by_bytes(old.buckets, positive)
+        # a bucket's rows whose bytes no row of the batch has are a filter's false positive
+        met = met.unionByName(held.join(own, ["key", "t"], "left_semi"))
+    total = met.groupBy("key", "t").agg(F.min("keep_id").alias("keep_id"), F.sum("size").alias("size"))
+    return staged(total.where("size > 1").select(F.unhex(F.sha2("t", 256)).alias("sha"), "keep_id", "size"), "exact-copies")
+
+
+def add(snapshot: Sequence[Segment], rows: DataFrame) -> tuple[Snapshot, DataFrame]:
+    """The snapshot with one more segment, and the ``copies`` of the rows (as ``stored``) against it.
+
+    An empty batch gives a segment whose filters let nothing through.
     """
+    batch = as_batch(rows)
+    return (*snapshot, segment(batch)), copies(snapshot, batch)
+
+
+def latest(reports: Sequence[DataFrame]) -> DataFrame:
+    """The ``copies`` of several batches as one table: a later report counts the earlier batches' rows too."""
+    every = reports[0]
+    for r in reports[1:]:
+        every = every.unionByName(r)
+    return staged(every.groupBy("sha").agg(F.min("keep_id").alias("keep_id"), F.max("size").alias("size")), "copy-groups")
+
+
+def halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows as two batches in id order (ids that aren't numbers by their hash); null ids come with the second."""
     if isinstance(rows.schema["i"].dataType, NumericType):
         middle = rows.agg(F.percentile_approx("i", 0.5).alias("m")).first()["m"]
         old = F.coalesce(F.col("i") <= F.lit(middle), F.lit(False))
     else:
-        old = F.pmod(F.xxhash64("i"), F.lit(2)) == 0
-    groups = staged(rows.groupBy(old.alias("old"), "key").agg(F.count("*").alias("n")), "key-groups")
-    before, new = groups.where("old").drop("old"), groups.where("not old").drop("old")
-    shards = max(1, -(-max(before.count(), new.count()) // SHARD_KEYS))
-    positive = screen(new, snapshot(before, shards))
-    wanted = staged(groups.where("n > 1").select("key").unionByName(positive).distinct(), "candidate-keys")
+        old = F.coalesce(F.pmod(F.xxhash64("i"), F.lit(2)) == 0, F.lit(False))
+    return rows.where(old), rows.where(~old)
+
 
-    texts = docs.select(F.col(id_col).alias("i"), text_key(text_col).alias("h"), normalised(text_col).alias("t"))
-    suspects = texts.withColumn("key", F.xxhash64("t")).join(sized(wanted, WANTED_KEYS), "key", "left_semi")
-    # The bytes themselves are the grouping key: equal digests of different texts stay apart.
-    buckets = suspects.groupBy("key", "t").agg(F.min("i").alias("keep_id"), F.count("*").alias("size")).where("size > 1")
-    return staged(buckets.select(F.unhex(F.sha2("t", 256)).alias("sha"), "keep_id", "size"), "exact-copies")
+def groups_of(rows: DataFrame) -> DataFrame:
+    """sha, keep_id and size of the texts that several rows (as ``stored``) share.
+
+    The lower half of the ids becomes the snapshot that the upper half meets.
+    """
+    first, second = map(as_batch, halves(rows))
+    return latest([copies((), first), copies((segment(first),), second)])
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,10 +162,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null texts count as empty, and empty texts equal each other. Null ids
     come last, so one is a keep_id only where a group has no other. Rows
     repeated with the same id are one document: each of them is kept or
-    none. Other columns are not read.
+    none. Texts of any length are compared whole; an empty table gives no
+    rows. Other columns are not read.
     """
-    rows = digests(docs, id_col, text_col)
-    groups = copies(docs, rows, id_col, text_col)
+    rows = stored(docs, id_col, text_col)
+    groups = groups_of(rows)
     joined = rows.join(sized(groups), "sha", "left")
     keep = F.when(F.col("size").isNull(), F.col("i")).otherwise(F.col("keep_id"))
     return joined.select(
@@ -127,8 +183,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Here exactly one row stays even among rows repeated with the same id.
     """
-    rows = digests(docs, id_col, text_col)
-    groups = copies(docs, rows, id_col, text_col)
+    rows = stored(docs, id_col, text_col)
+    groups = groups_of(rows)
     members = rows.join(sized(groups), "sha").select("sha", "i", "h", F.col("i").eqNullSafe(F.col("keep_id")).alias("least"))
     # Rows of the smallest id may differ in their white space: the one with the smallest text hash stays.
     kept_h = staged(members.where("least").groupBy("sha").agg(F.min("h").alias("keep_h")), "copy-kept")

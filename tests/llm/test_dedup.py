@@ -70,6 +70,43 @@ def test_drop_exact_duplicates_keeps_one_row_of_each(spark, rows):
     assert got == sorted({norm(t) for _, t in rows})
 
 
+def test_batches_meet_a_growing_snapshot(spark, rows):
+    """Three batches added in turn: each report against brute force over all rows so far."""
+    snapshot, so_far, reports = (), [], []
+    for part in (rows[::3], rows[1::3], rows[2::3]):
+        before = len(snapshot)
+        snapshot, report = exact_dedup.add(snapshot, exact_dedup.stored(frame(spark, part)))
+        assert len(snapshot) == before + 1
+        so_far += part
+        reports.append(report)
+        want = set()
+        for text in {norm(t) for _, t in part}:
+            ids = [i for i, t in so_far if norm(t) == text]
+            if len(ids) > 1:
+                want.add((hashlib.sha256(text.encode()).digest(), min((i for i in ids if i is not None), default=None), len(ids)))
+        assert {(bytes(r["sha"]), r["keep_id"], r["size"]) for r in report.collect()} == want
+    every = exact_dedup.latest(reports).collect()
+    repeated = [t for t in {norm(t) for _, t in rows} if sum(norm(u) == t for _, u in rows) > 1]
+    assert len(every) == len(repeated)
+    # an empty batch changes nothing, and nothing meets its segment
+    snapshot, report = exact_dedup.add(snapshot, exact_dedup.stored(frame(spark, []).limit(0)))
+    assert report.collect() == []
+    positive = exact_dedup.screen(exact_dedup.as_batch(exact_dedup.stored(frame(spark, rows))).keys, snapshot[-1])
+    assert positive.collect() == []
+
+
+def test_equal_keys_of_different_texts_stay_apart(spark):
+    """Rows forged to share one 64-bit key: the buckets compare bytes."""
+    import pyspark.sql.functions as F
+
+    docs = frame(spark, [(1, "a b"), (2, "c d"), (3, "a  b"), (4, "c d"), (5, "e")])
+    rows = exact_dedup.stored(docs).withColumn("key", F.lit(7).cast("long"))
+    snapshot, first = exact_dedup.add((), rows.where("i <= 2"))
+    assert first.collect() == []
+    _, second = exact_dedup.add(snapshot, rows.where("i > 2"))
+    assert sorted((r["keep_id"], r["size"]) for r in second.collect()) == [(1, 2), (2, 2)]
+
+
 def slow_print(text, n=4):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", lower) if w]
