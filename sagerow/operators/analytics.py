@@ -429,28 +429,65 @@ def interpolate(keypoints: DataFrame, probes: DataFrame, keys: list[str], x: str
     one x the value is the left one's. Probes of a key without keypoints
     give no row.
 
-    No window spans a whole key: keypoints get a dense per-key rank, the
-    union of keypoints and probes gets one too, and a probe's left keypoint
-    index is its merged rank minus its rank among probes minus one. The two
-    neighbours then come from equi-joins on (key, rank), which are unique,
-    so a key holding a third of the rows is spread like any other. Ends use
-    keypoints 0/1 and K-2/K-1."""
-    kp = keypoints.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    kr = global_index(kp, ["_x", "_y"], out="_i", partition_by=keys)
-    pr = global_index(probes.select(*keys, F.col(x).alias("_x")), ["_x"], out="_pi", partition_by=keys)
-    merged = kr.select(*keys, "_x", F.lit(0).alias("_probe"), F.col("_i").alias("_tie"), F.lit(None).cast("bigint").alias("_pi")).unionByName(
-        pr.select(*keys, "_x", F.lit(1).alias("_probe"), F.col("_pi").alias("_tie"), "_pi")
-    )
-    m = global_index(merged, ["_x", "_probe", "_tie"], out="_m", partition_by=keys)
-    p = m.filter(F.col("_probe") == 1).select(*keys, "_x", (F.col("_m") - F.col("_pi") - 1).alias("_left"))
-    k = kr.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
-    p = join_null_safe(p, k, keys)
-    last = F.greatest(F.col("_k") - 2, F.lit(0))
-    i0 = F.least(F.greatest(F.col("_left"), F.lit(0)), last)
-    p = p.withColumn("_i0", i0.cast("bigint")).withColumn("_i1", F.least(F.col("_i0") + 1, F.col("_k") - 1).cast("bigint"))
-    a_ = kr.select(*keys, F.col("_i").alias("_i0"), F.col("_x").alias("_x0"), F.col("_y").alias("_y0"))
-    b_ = kr.select(*keys, F.col("_i").alias("_i1"), F.col("_x").alias("_x1"), F.col("_y").alias("_y1"))
-    j = join_null_safe(join_null_safe(p, a_, [*keys, "_i0"]), b_, [*keys, "_i1"])
-    slope = F.try_divide(F.col("_y1") - F.col("_y0"), F.col("_x1") - F.col("_x0"))
-    val = F.col("_y0") + F.coalesce((F.col("_x") - F.col("_x0")) * slope, F.lit(0.0))
+    One sort: keypoints and probes are range-partitioned together on (key,
+    x), so a key holding a third of the rows is spread like any other. Each
+    (partition, key) gets the two keypoints before and after it from the
+    other partitions as border rows (one set a partition and key), and
+    windows inside (partition, key) then see every neighbour a probe needs:
+    one on either side, or the two outermost past an end."""
+    w = [*keys, "_x", "_probe", "_y"]
+    kp = keypoints.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"), F.lit(0).alias("_probe"))
+    nothing = F.lit(None).cast(kp.schema["_y"].dataType)
+    pr = probes.select(*keys, F.col(x).alias("_x"), nothing.alias("_y"), F.lit(1).alias("_probe"))
+    rows = range_sorted(kp.unionByName(pr), w).withColumn("_kp", F.when(F.col("_probe") == 0, F.struct("_x", "_y")))
+    span = ["_task", *keys]
+    borders = _border_keypoints(rows, span).withColumn("_x", F.lit(None).cast(rows.schema["_x"].dataType))
+    seen = rows.select(*span, "_local", "_x", "_probe", "_kp").unionByName(borders.withColumn("_probe", F.lit(0)))
+    for order, near, far in ((F.col("_local").asc(), "_l1", "_l2"), (F.col("_local").desc(), "_r1", "_r2")):
+        up = Window.partitionBy(*span).orderBy(order)
+        seen = seen.withColumn("_next", F.last("_kp", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)))
+        pair = F.when(F.col("_kp").isNotNull(), F.struct(F.col("_kp").alias("a"), F.col("_next").alias("b")))
+        last = seen.withColumn("_pair", pair).withColumn(
+            "_pair", F.last("_pair", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0))
+        )
+        seen = last.withColumn(near, F.col("_pair.a")).withColumn(far, F.col("_pair.b")).drop("_next", "_pair")
+    j = seen.filter((F.col("_probe") == 1) & (F.col("_l1").isNotNull() | F.col("_r1").isNotNull()))
+    p0 = F.when(F.col("_l1").isNull(), F.col("_r1")).when(F.col("_r1").isNull(), F.coalesce("_l2", "_l1")).otherwise(F.col("_l1"))
+    p1 = F.when(F.col("_l1").isNull(), F.coalesce("_r2", "_r1")).when(F.col("_r1").isNull(), F.col("_l1")).otherwise(F.col("_r1"))
+    j = j.select(*keys, "_x", p0.alias("_p0"), p1.alias("_p1"))
+    slope = F.try_divide(F.col("_p1._y") - F.col("_p0._y"), F.col("_p1._x") - F.col("_p0._x"))
+    val = F.col("_p0._y") + F.coalesce((F.col("_x") - F.col("_p0._x")) * slope, F.lit(0.0))
     return j.select(*keys, F.col("_x").alias(x), val.alias(y))
+
+
+def _border_keypoints(rows: DataFrame, span: list[str]) -> DataFrame:
+    """For each (partition, key): the key's last two keypoints in earlier
+    partitions at ``_local`` -2 and -1, and its next two in later ones past
+    every real position. A key that goes on in another partition is a
+    partition's first or last key, so the spans are at most two a partition,
+    and only their keypoints are looked at."""
+    last = F.broadcast(rows.groupBy("_task").agg(F.max("_local").alias("_last")))  # one row a partition
+    outer = rows.join(last, "_task").filter((F.col("_local") == 0) | (F.col("_local") == F.col("_last")))
+    spans = cut_lineage(outer.select(*span).distinct(), "border-keys")
+    near = join_null_safe(rows.filter("_probe = 0"), F.broadcast(spans), span, "left_semi")
+    for order, name in ((F.col("_local").asc(), "_f"), (F.col("_local").desc(), "_t")):
+        nth = F.row_number().over(Window.partitionBy(*span).orderBy(order))
+        ends = near.select(*span, "_local", "_kp").withColumn("_nth", nth).filter("_nth <= 2")
+        first, second = (F.max(F.when(F.col("_nth") == k, F.col("_kp"))) for k in (1, 2))
+        spans = join_null_safe(spans, ends.groupBy(*span).agg(first.alias(f"{name}1"), second.alias(f"{name}2")), span, "left")
+    spans = cut_lineage(spans, "border-keypoints")
+    far = 1 << 40  # past every position inside a partition
+    out = []
+    for order, name, places in ((F.col("_task").asc(), "_t", (-1, -2)), (F.col("_task").desc(), "_f", (far, far + 1))):
+        before = Window.partitionBy(*span[1:]).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        # a partition with one keypoint takes its second from the partition before
+        second = F.coalesce(F.col(f"{name}2"), F.last(f"{name}1", ignorenulls=True).over(before))
+        pair = spans.withColumn("_second", second)
+        pair = pair.withColumn("_pair", F.when(F.col(f"{name}1").isNotNull(), F.struct(F.col(f"{name}1").alias("a"), F.col("_second").alias("b"))))
+        pair = pair.withColumn("_pair", F.last("_pair", ignorenulls=True).over(before))
+        for field, place in zip("ab", places):
+            out.append(pair.select(*span, F.lit(place).cast("bigint").alias("_local"), F.col(f"_pair.{field}").alias("_kp")))
+    every = out[0]
+    for o in out[1:]:
+        every = every.unionByName(o)
+    return every.filter(F.col("_kp").isNotNull())

@@ -458,3 +458,31 @@ def test_metric_state_holds_open_buckets_only(spark):
     assert sorted(parts) == sorted(want) and (2, 2) not in {p[:2] for p in parts}
     one, _ = fold_batch(state.limit(0), spark.createDataFrame(rows, METRIC_SCHEMA), every)
     assert sorted((r["run_id"], r["bucket"], r["s"] / r["n"], r["n"]) for r in one.collect()) == sorted(want)
+
+
+def test_interpolate_across_partition_borders(spark):
+    """One hot key over many sorted partitions, keys with one or no keypoint, ties and NULLs, against brute force."""
+    rng = np.random.default_rng(11)
+    kps = [("hot", float(x), float(rng.integers(0, 50))) for x in rng.integers(0, 40, 30)]
+    kps += [("few", 5.0, 1.0), ("one", 3.0, 7.0), (None, 0.0, 1.0), (None, 2.0, 5.0), ("two", 1.0, 1.0), ("two", 1.0, 4.0)]
+    prs = [("hot", float(x) / 4) for x in rng.integers(-200, 400, 400)] + [("few", float(x)) for x in range(60)]
+    prs += [("one", -1.0), ("one", 9.0), (None, 1.0), (None, 7.0), ("none", 1.0), ("two", 1.0), ("two", 3.0), ("two", 0.0)]
+    want = []
+    for k, x in prs:
+        own = sorted((a, b) for key, a, b in kps if key == k)
+        if own:
+            left = sum(a <= x for a, _ in own) - 1
+            i = min(max(left, 0), max(len(own) - 2, 0))
+            (x0, y0), (x1, y1) = own[i], own[min(i + 1, len(own) - 1)]
+            want.append((k, x, y0 + ((x - x0) * (y1 - y0) / (x1 - x0) if x1 != x0 else 0.0)))
+    kp, pr = spark.createDataFrame(kps, "k string, x double, y double"), spark.createDataFrame(prs, "k string, x double")
+    for coalesce in ("false", "true"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        try:
+            got = [tuple(r) for r in an.interpolate(kp, pr, ["k"]).collect()]
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(got) == len(want)
+        for g, t in zip(sorted(got, key=repr), sorted(want, key=repr)):
+            assert g[:2] == t[:2] and g[2] == pytest.approx(t[2])
+    assert an.interpolate(kp.limit(0), pr, ["k"]).collect() == []
