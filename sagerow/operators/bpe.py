@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,30 +36,16 @@ from ..session import cut_lineage, drop_stage
 # Bytes 33-126, 161-172 and 174-255 stand for themselves; the other 68
 # bytes take code points 256, 257, ... in byte order.
 
-def _printable(b: Column) -> Column:
-    return ((b >= 33) & (b <= 126)) | ((b >= 161) & (b <= 172)) | ((b >= 174) & (b <= 255))
-
-
-def byte_to_cp(b: Column) -> Column:
-    return (
-        F.when(_printable(b), b)
-        .when(b <= 32, b + 256)
-        .when(b <= 160, b + 162)   # 127..160 → 289..322
-        .otherwise(F.lit(323))     # 173
-    )
-
-
-def _cp_hex(cp: Column) -> Column:
-    """UTF-8 bytes (hex) of a code point below 0x800."""
-    one = F.lpad(F.hex(cp), 2, "0")
-    two = F.concat(F.hex(F.lit(0xC0).bitwiseOR(F.shiftright(cp, 6))), F.hex(F.lit(0x80).bitwiseOR(cp.bitwiseAND(F.lit(0x3F)))))
-    return F.when(cp < 128, one).otherwise(two)
+def _mapped_bytes() -> tuple[str, str]:
+    """The bytes that don't stand for themselves, as Latin-1 characters, and their symbols."""
+    moved = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return "".join(map(chr, moved)), "".join(chr(256 + k) for k in range(len(moved)))
 
 
 def byte_symbols(piece: Column) -> Column:
     """A piece as its byte-level symbols (one printable char per UTF-8 byte)."""
-    hx = F.regexp_extract_all(F.hex(F.encode(piece, "UTF-8")), F.lit("(..)"), 1)
-    return F.transform(hx, lambda h: F.decode(F.unhex(_cp_hex(byte_to_cp(F.conv(h, 16, 10).cast("int")))), "UTF-8"))
+    latin = F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")
+    return F.regexp_extract_all(F.translate(latin, *_mapped_bytes()), F.lit("(?s)."), 0)
 
 
 # ---- training ------------------------------------------------------------------------------
@@ -73,16 +60,29 @@ def word_table(words: DataFrame, word: str = "token", count: str = "n") -> DataF
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
-    """Adjacent-pair counts weighted by word frequency (AGG-12)."""
-    inner = words.select(F.split(F.expr("substring(w, 2, length(w) - 2)"), SYM_SEP, -1).alias("s"), "n")
-    m = F.size("s") - 1
-    pairs = F.arrays_zip(F.slice("s", F.lit(1), m).alias("a"), F.slice("s", F.lit(2), m).alias("b"))
-    p = inner.filter(F.size("s") > 1).select(F.explode(pairs).alias("p"), "n")
-    return p.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("count"))
+    """Adjacent-pair counts weighted by word frequency (AGG-12), summed in each batch before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = pc.utf8_slice_codeunits(batch.column("w"), 1, -1)
+            parts = pc.split_pattern(w, SYM_SEP)
+            sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+            coded = parts.flatten().dictionary_encode()
+            at = coded.indices.to_numpy().astype(np.int64)
+            word_of = np.repeat(np.arange(len(sizes)), sizes)
+            inside, pairs = _neighbours(at, word_of)
+            pairs, group = np.unique(pairs[inside], return_inverse=True)
+            sums = np.zeros(len(pairs), np.int64)
+            np.add.at(sums, group, batch.column("n").to_numpy()[word_of[1:][inside]])
+            names = [coded.dictionary.take(pa.array(x)) for x in (pairs >> 32, pairs & 0xFFFFFFFF)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(sums)], ["a", "b", "n"])
+
+    some = words.where("w IS NOT NULL AND n IS NOT NULL").select(F.col("w").cast("string"), F.col("n").cast("long"))
+    return some.mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("count"))
 
 
 MERGE_SCHEMA = "rank int, a string, b string, count bigint"
-#: Pairs a round marks at most (ties aside), pairs the driver sees, and bytes of distinct segments it learns from.
+#: Pairs a round marks at most (ties aside), pairs of one level the driver sees, and bytes of distinct segments it learns from.
 ROUND_PAIRS, MOST_PAIRS, SEGMENT_BYTES = 4096, 100_000, 4_000_000
 
 
@@ -133,6 +133,31 @@ def _pair_table(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
+def _count_levels(pairs: DataFrame, least: int) -> list[tuple[int, int]]:
+    """(lowest count, pairs) of each level of counts, the highest first.
+
+    A level is a count's eight leading bits, so counts below 256 have a level
+    each and there are at most 128 an octave, whatever the number of pairs."""
+    low_bits = "greatest(length(bin(n)) - 8, 0)"
+    level = F.expr(f"shiftleft(shiftright(n, {low_bits}), {low_bits})").alias("level")
+    rows = pairs.where(F.col("n") >= least).groupBy(level).agg(F.count(F.lit(1)).alias("k")).collect()
+    return sorted(((r["level"], r["k"]) for r in rows), reverse=True)
+
+
+def _marked_from(levels: list[tuple[int, int]], take: int) -> int | None:
+    """From which count on a round marks pairs: the highest levels that hold
+    ``take`` pairs together, as far as the driver can see them; None if it can't see the first."""
+    floor, held = None, 0
+    for low, k in levels:
+        held += k
+        if held > MOST_PAIRS:
+            break
+        floor = low
+        if held >= take:
+            break
+    return floor if take else None
+
+
 def _segments(words: DataFrame, marked: list[int]) -> DataFrame:
     """(s, n): distinct segments of two symbols or more, with their counts in the corpus."""
     shared = words.sparkSession.sparkContext.broadcast(np.array(sorted(marked), np.int64))
@@ -192,11 +217,11 @@ def train_bpe(words: DataFrame, merges: int, least: int = 1) -> DataFrame:
     Best pair per merge: highest count, then (a, b) ascending; it ends early
     once no pair occurs ``least`` times. A round rewrites the word table in
     the shared checkpoint folder and deletes the copy before it. The driver
-    sees the most frequent pairs and a round's distinct segments, both
-    bounded (``MOST_PAIRS``, ``SEGMENT_BYTES``, counted before they are
-    fetched); where even the pairs of the highest count alone give more, the
-    round takes the one best pair, whose segments are that pair or runs of
-    one symbol.
+    sees how many pairs each level of counts has, the pairs a round marks and
+    its distinct segments, all bounded (``MOST_PAIRS``, ``SEGMENT_BYTES``,
+    counted before they are fetched); where even the pairs of the highest
+    level alone give more, the round takes the one best pair, whose segments
+    are that pair or runs of one symbol.
     """
     spark = words.sparkSession
     parts = spark.sparkContext.defaultParallelism * 2
@@ -206,22 +231,22 @@ def train_bpe(words: DataFrame, merges: int, least: int = 1) -> DataFrame:
     take = ROUND_PAIRS
     while len(learned) < merges:
         pairs = cut_lineage(_pair_table(stage), "bpe-pairs")
-        top = pairs.where(F.col("n") >= least).orderBy(F.desc("n")).limit(MOST_PAIRS + 1).collect()
-        if not top:
+        levels = _count_levels(pairs, least)
+        if not levels:
             drop_stage(pairs)
             break
-        seen = top[-1]["n"] + 1 if len(top) > MOST_PAIRS else least  # all pairs from this count on are in ``top``
         while True:
-            floor = max(seen, top[take - 1]["n"] if 0 < take <= len(top) else least)
-            marked = [r["pair"] for r in top if r["n"] >= floor] if take else []
+            floor = _marked_from(levels, take)
             most = merges - len(learned)
-            if not marked:
+            if floor is None:
                 marked, most, floor = [_best_pair(pairs, names)], 1, least
+            else:
+                marked = pairs.where(F.col("n") >= floor).select("pair").toArrow()["pair"].to_pylist()
             segments = cut_lineage(_segments(stage, marked), "bpe-segments")
             if most == 1 or (segments.agg(F.sum(F.length("s"))).first()[0] or 0) <= SEGMENT_BYTES:
                 break
             drop_stage(segments)
-            take //= 4
+            take = take // 4 if floor < levels[0][0] else 0
         table = segments.toArrow()
         drop_stage(segments)
         drop_stage(pairs)
@@ -389,6 +414,32 @@ def merge_word(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> list[in
 CACHE_PIECES, CACHE_PIECE_BYTES = 200_000, 64
 
 
+#: List items that a worker looks at together (one row's at least).
+SLICE_ITEMS = 500_000
+
+
+def _slices(column: pa.ListArray) -> Iterator[pa.ListArray]:
+    """A list column in slices of rows with few items, so that a batch of long rows takes little memory."""
+    ends = np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start, held = 0, 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, held + SLICE_ITEMS, "right")))
+        yield column.slice(start, stop - start)
+        start, held = stop, int(ends[stop - 1])
+
+
+def _lists_of(rows: pa.ListArray, at: np.ndarray, parts: list[np.ndarray], kind: type) -> pa.ListArray:
+    """For each row its items' parts end to end; ``at`` has each item's place in ``parts``."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    flat = np.concatenate([*parts, np.zeros(0, kind)]).astype(kind, copy=False)
+    starts, lens = (np.cumsum(sizes) - sizes)[at], sizes[at]
+    ends = np.concatenate(([0], np.cumsum(lens)))
+    values = flat[np.repeat(starts - ends[:-1], lens) + np.arange(ends[-1])]
+    items = np.cumsum(pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    offsets = ends[np.concatenate(([0], items))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
 def bpe_encode(
     df: DataFrame,
     keys: list[str],
@@ -407,21 +458,28 @@ def bpe_encode(
     learned = merges.orderBy("rank").select("a", "b").collect()
     ranks = {ids[r["a"]] << 32 | ids[r["b"]]: (k + 1, ids[r["a"] + r["b"]]) for k, r in enumerate(learned)}
     shared = df.sparkSession.sparkContext.broadcast(([ids[c] for c in base_alphabet()], ranks))
-    known: dict[str, list[int]] = {}
+    known: dict[str, np.ndarray] = {}
 
-    def encoded(piece: str) -> list[int]:
+    def encoded(piece: str) -> np.ndarray:
         if (got := known.get(piece)) is None:
             base, ranks = shared.value
             raw = piece.encode()
-            got = merge_word([base[b] for b in raw], ranks)
+            got = np.array(merge_word([base[b] for b in raw], ranks), np.int32)
             if len(raw) <= CACHE_PIECE_BYTES:
                 if len(known) >= CACHE_PIECES:
                     known.clear()
                 known[piece] = got
         return got
 
+    def some_rows(rows: pa.ListArray) -> pa.ListArray:
+        """Each different piece is a Python value once; the rows' ids are put together as arrays."""
+        coded = rows.flatten().dictionary_encode()
+        found = [encoded(p) for p in coded.dictionary.to_pylist()]
+        return _lists_of(rows, coded.indices.to_numpy(), found, np.int32)
+
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([[x for p in row or () for x in encoded(p)] for row in column.to_pylist()], pa.list_(pa.int32()))
+        done = [some_rows(x) for x in _slices(column)]
+        return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.int32()))
 
     encode = F.arrow_udf(run, T.ArrayType(T.IntegerType()))
     return df.select(*keys, encode(pieces(text)).alias(out))
@@ -434,13 +492,24 @@ def bpe_decode(
 
     The vocabulary's byte strings are broadcast; rows are decoded where they are."""
     byte_of = {c: b for b, c in enumerate(base_alphabet())}
-    tokens = {r["id"]: r["token"] for r in vocab.collect()}
-    raw = {i: t.encode() if t in specials else bytes(byte_of[c] for c in t) for i, t in tokens.items()}
-    shared = df.sparkSession.sparkContext.broadcast(raw)
+    tokens = sorted((r["id"], r["token"]) for r in vocab.collect())
+    raw = [t.encode() if t in specials else bytes(byte_of[c] for c in t) for _, t in tokens]
+    shared = df.sparkSession.sparkContext.broadcast((np.array([i for i, _ in tokens], np.int64), raw))
+
+    def some_rows(rows: pa.ListArray) -> pa.Array:
+        known, raw = shared.value
+        values = rows.flatten()
+        asked = values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        at[(known[at] != asked) | values.is_null().to_numpy(zero_copy_only=False)] = len(raw)
+        used, at = np.unique(at, return_inverse=True)
+        parts = [np.frombuffer(raw[k] if k < len(raw) else b"", np.uint8) for k in used.tolist()]
+        texts = _lists_of(rows, at, parts, np.uint8)
+        data, ends = texts.values.to_numpy().tobytes(), texts.offsets.to_pylist()
+        return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])], pa.string())
 
     def run(column: pa.Array) -> pa.Array:
-        of = shared.value
-        texts = [b"".join([of.get(i, b"") for i in row or ()]).decode("utf-8", "replace") for row in column.to_pylist()]
-        return pa.array(texts, pa.string())
+        done = [some_rows(x) for x in _slices(column)]
+        return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
     return df.select(*keys, F.arrow_udf(run, T.StringType())(F.col(ids)).alias(out))
