@@ -46,15 +46,18 @@ def curate_batch(spark: SparkSession, batch: DataFrame, epoch: int, out_dir: str
     """One micro-batch of incremental curation."""
     seen_path, acc_path = f"{out_dir}/seen", f"{out_dir}/accepted"
     bucket = F.pmod(F.xxhash64("question"), F.lit(SEEN_BUCKETS)).cast("int").alias("bucket")
-    firsts = dedup_first_wins(strip_nonempty(batch))
+    # Deduplicated once: the buckets, the filter of new questions and the join all read it.
+    new = dedup_first_wins(strip_nonempty(batch)).select(*batch.columns).persist()
+    firsts = new
     seen = _epochs(spark, seen_path, "question string, epoch int, bucket int", epoch)
     if seen is not None:
-        touched = [r["bucket"] for r in firsts.select(bucket).distinct().collect()]  # at most SEEN_BUCKETS numbers
-        firsts = not_seen(firsts, seen.filter(F.col("bucket").isin(touched)))
-    firsts = firsts.select(*batch.columns).persist()
+        touched = [r["bucket"] for r in new.select(bucket).distinct().collect()]  # at most SEEN_BUCKETS numbers
+        firsts = not_seen(new, seen.filter(F.col("bucket").isin(touched)))
+        firsts = firsts.select(*batch.columns).persist()
     firsts.select("question", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{seen_path}/epoch={epoch}")
     length_filter(firsts).write.mode("overwrite").parquet(f"{acc_path}/epoch={epoch}")
     firsts.unpersist()
+    new.unpersist()
 
 
 def run_curation_stream(
