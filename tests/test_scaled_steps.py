@@ -3,15 +3,21 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sagerow.config import Tokens
 from sagerow.functions import arrays as ar
 from sagerow.functions import text as tx
 from sagerow.operators import bpe as bp
+from sagerow.operators import refine as rf
 from sagerow.operators import vocab as vb
 from sagerow.plans import fixtures as fx
+from sagerow.plans import tasks
+from sagerow.session import cut_lineage
 from sagerow.streaming import curation as sc
 
 
@@ -112,3 +118,67 @@ def test_curate_batch_deduplicates_once(spark, tmp_path, monkeypatch):
     sc.curate_batch(spark, two, 1, str(tmp_path))
     assert rows_made.value == 40  # each row once a batch
     assert spark.read.parquet(f"{tmp_path}/accepted").count() == 30
+
+
+def test_refinement_runs_all_passes_in_one_stage(spark, monkeypatch, tmp_path):
+    """Rows finish in different passes or never; batches of 3 rows, one write whatever the rounds."""
+    tk, n = Tokens(eos_id=0, sep_id=1, pad_id=2), 8
+    rnd = random.Random(4)
+    rows = [(k, [rnd.randint(3, 9) for _ in range(rnd.randint(0, 3))], rnd.randint(1, 6), None if k % 5 else "x") for k in range(40)]
+    df = spark.createDataFrame([(k, s + [1] + [2] * (n - len(s) - 1), at, t) for k, s, at, t in rows], "k long, ids array<int>, at int, t string")
+
+    def model(pdf):  # one id after the SEP a pass, EOS in pass ``at``
+        out = []
+        for ids, r, at in zip(pdf["ids"], pdf["round"], pdf["at"]):
+            ids = [int(x) for x in ids]
+            p = ids.index(1)
+            out.append([*ids[: p + 1], 10 + r, *([0] if r + 1 == at else []), *ids[p + 1 :]])
+        return pd.Series(out, index=pdf.index, dtype=object)
+
+    stages = []
+    monkeypatch.setattr(rf, "cut_lineage", lambda df, name, **kw: stages.append(name) or cut_lineage(df, name, **kw))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = rf.refine(df, model, 4, n, "ids", tk)
+        got = {r.k: (r.ids, r.finished, r.rounds_used, r["at"], r.t) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for k, s, at, t in rows:
+        wrote = [10 + r for r in range(min(at, 4))]
+        if at <= 4:  # as the model left it
+            want[k] = (s + wrote[:-1] + [1] + wrote[-1:] + [0] + [2] * (n - len(s) - at), True, at, at, t)
+        else:
+            want[k] = (s + wrote + [1] + [2] * (n - len(s) - 5), False, 4, at, t)
+    assert got == want
+    assert out.columns == ["k", "ids", "at", "t", "finished", "rounds_used"]
+    assert stages == ["refine"]
+    assert [tuple(r) for r in rf.refine(df.limit(1), model, 0, n, "ids", tk).select("finished", "rounds_used").collect()] == [(False, 0)]
+
+
+@pytest.mark.parametrize("width", [None, 9])
+def test_list_forms_equal_the_column_forms(spark, width):
+    tk = Tokens(eos_id=0, sep_id=1, pad_id=2)
+    rnd = random.Random(6)
+    lists = []
+    for _ in range(200):
+        x = [rnd.choice([0, 2, 3, 4, 5, None]) for _ in range((width or rnd.randint(1, 12)) - 1)]
+        x.insert(rnd.randint(0, x.index(2) if 2 in x else len(x)), 1)
+        lists.append(x)
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k long, x array<int>")
+    want = df.orderBy("k").select(ar.shift_sep_to_pad("x", 9, tk)["ids"].alias("s"), F.coalesce(ar.finished("x", tk), F.lit(False)).alias("f")).collect()
+    column = pa.array([[7], *lists, [8]], pa.list_(pa.int32())).slice(1, len(lists))
+    assert ar.shift_sep_to_pad_lists(column, 9, tk).to_pylist() == [r.s for r in want]
+    assert ar.finished_lists(pa.concat_arrays([column, pa.array([None, []], column.type)]), tk).tolist() == [r.f for r in want] + [False, False]
+    for x in ([3, 4], [3, 2, 1], []):
+        with pytest.raises(ValueError, match="no SEP id"):
+            ar.shift_sep_to_pad_lists(pa.array([[1, 2], x], column.type), 9, tk)
+    assert not len(ar.shift_sep_to_pad_lists(pa.array([], column.type), 9, tk))
+
+
+def test_demo_thought_writer_writes_the_next_thought():
+    pdf = pd.DataFrame({"round": [0, 1, 2, 5], "ids": [np.array([7, 1, 2, 2])] * 4, "tgt_ids_list": [[[3, 4], [5]]] * 2 + [[[3], [4], []]] + [[[3]]]})
+    got = [x.tolist() for x in tasks.demo_thought_writer()(pdf)]
+    assert got == [x + [2] * (256 - len(x)) for x in ([7, 1, 3, 4], [7, 1, 5, 0], [7, 1, 0], [7, 1])]
+    with pytest.raises(ValueError, match="not in list"):
+        tasks.demo_thought_writer()(pdf.assign(ids=[[7, 2]] * 4))
