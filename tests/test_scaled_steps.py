@@ -1,6 +1,8 @@
 """Steps that keep their work, memory and what the driver gets in proportion, against plain restatements."""
 
+import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -17,7 +19,7 @@ from sagerow.operators import refine as rf
 from sagerow.operators import vocab as vb
 from sagerow.plans import fixtures as fx
 from sagerow.plans import tasks
-from sagerow.session import cut_lineage
+from sagerow.session import checkpoint_root, cut_lineage
 from sagerow.streaming import curation as sc
 
 
@@ -182,3 +184,65 @@ def test_demo_thought_writer_writes_the_next_thought():
     assert got == [x + [2] * (256 - len(x)) for x in ([7, 1, 3, 4], [7, 1, 5, 0], [7, 1, 0], [7, 1])]
     with pytest.raises(ValueError, match="not in list"):
         tasks.demo_thought_writer()(pdf.assign(ids=[[7, 2]] * 4))
+
+
+@pytest.mark.parametrize("head, buckets", [(2, 1 << 17), (2, 7), (1, 7)])
+def test_encode_lists_asks_once_a_block(spark, monkeypatch, head, buckets):
+    """Blocks of five rows or nine pieces; a block's repeated pieces are asked for once."""
+    monkeypatch.setattr(vb, "HEAD_IDS", head)
+    monkeypatch.setattr(vb, "BUCKET_TOKENS", buckets)
+    monkeypatch.setattr(vb, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(vb, "BLOCK_PIECES", 9)
+    rnd = random.Random(8)
+    words = ["=", "", "日本", "é", "a" * 70, *(f"w{k}" for k in range(40))]
+    lacks = ["none", "niet", None]
+    rows = []
+    for k in range(120):
+        texts = [None if rnd.random() < 0.1 else [rnd.choice(words + lacks) for _ in range(rnd.randint(0, 5))] for _ in range(rnd.randint(0, 4))]
+        rows.append((f"k{k}", None if k % 17 == 0 else texts))
+    rows.append(("same", [["w7"] * 500]))
+    df = spark.createDataFrame(rows, "k string, texts array<array<string>>").coalesce(2)
+    vocab = spark.createDataFrame([(w, i + 3) for i, w in enumerate(words)], "token string, id int")
+    coded = []
+    monkeypatch.setattr(vb, "cut_lineage", lambda df, name: coded.append(cut_lineage(df, name)) or coded[-1])
+    got = {r.k: r.ids for r in vb.encode_lists(df, "k", "texts", vocab).collect()}
+    assert got == {k: [[words.index(w) + 3 if w in words else None for w in t or []] for t in texts or []] for k, texts in rows}
+    blocks = coded[0].collect()
+    asked = [Counter(w for a in b.asks for w in vb._unpack_tokens(bytes(a.tokens)).to_pylist()) for b in blocks]
+    assert max(max(c.values(), default=0) for c in asked) == 1
+    assert [len(b.asks) for b in blocks if list(b["keys"]) == ["same"]] == [1]
+    assert all(len(b["keys"]) <= 5 for b in blocks) and len(blocks) > 30
+
+
+def test_packed_integers_and_tokens():
+    for arrays in ([np.array([1, -5, 2**31 - 1, vb._NO_ID])], [np.array([], int)], [np.array([], int), np.arange(3), np.array([], int)]):
+        assert [x.tolist() for x in vb._unpack(vb._pack(*arrays))] == [x.tolist() for x in arrays]
+    tokens = pa.array(["x", "a", None, "", "日本", "b", "y"])
+    for part in (tokens, tokens.slice(1, 5), tokens.slice(0, 0), tokens.slice(2, 1)):
+        assert vb._unpack_tokens(vb._pack_tokens(part)).to_pylist() == part.to_pylist()
+        assert vb._buckets(part, 5).tolist() == [b for w in part.to_pylist() for b in vb._buckets(pa.array([w], pa.string()), 5).tolist()]
+
+
+def test_stages_leave_no_shuffle_files(spark, tmp_path):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    name, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffles()
+    setting = spark.conf.get(name)
+    stage = cut_lineage(spark.range(1000).repartition(7, "id"), "shuffled")
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert stage.count() == 1000 and spark.conf.get(name) == setting
+    assert all(f.endswith(".zstd.parquet") for f in stage.inputFiles())
+
+
+def test_task_ids_keep_only_what_is_read(spark):
+    """The texts and the pieces leave the shared folder; the coded blocks and the vocabulary stay."""
+    root, d = checkpoint_root(spark), "/root/testdata/sf0.001"
+    before = set(os.listdir(root))
+    ids = tasks.ids_of_tasks(spark, d)
+    assert sorted(x.split("-")[0] for x in set(os.listdir(root)) - before) == ["coded", "ranked"]
+    assert ids.count() == tasks.gsm_tasks_df(spark, d).count()
